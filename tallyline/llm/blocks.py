@@ -43,3 +43,46 @@ def with_column(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
             names.append(name)
             arrays.append(array)
     return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+#: Fixed odd multipliers of the polynomial hashes.
+BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+SEEDS = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64)
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n modulo 2 to the 64, and their inverses."""
+    if not _powers or len(_powers[0]) <= n:
+        size = max(n + 1, 1 << 21)
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)]) for x in (BASE, inverse)]
+    return _powers[0], _powers[1]
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes; no run goes over from one text to the next."""
+    n, first = len(inside), offsets[:-1] - offsets[0]
+    first = first[first < n]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    starts[first] = inside[first]
+    ends[:-1] &= ~inside[1:]
+    before = first[first > 0] - 1
+    ends[before] = inside[before]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes: differences of one running polynomial sum, moved to a common power."""
+    up, down = powers(len(data))
+    terms = SEEDS[data]
+    terms *= up[: len(data)]
+    if inside is not None:
+        terms[~inside] = 0
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h ^= h >> np.uint64(31)
+    h *= MIX
+    return h ^ (h >> np.uint64(29))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.blocks import cuts, flat, texts, with_column
+from tallyline.llm.blocks import cuts, flat, run_hashes, runs, texts, with_column
 
 WINDOW = 10
 #: Windows that one pass broadcasts; about 60 MB in a worker.
@@ -29,19 +29,8 @@ LOWER[65:91] += 32
 #: Words are runs of digits, letters a-z and all that isn't ASCII.
 IN_WORD = np.zeros(256, bool)
 IN_WORD[48:58] = IN_WORD[97:123] = IN_WORD[128:] = True
-#: Fixed odd multipliers of the polynomial hashes.
-BASE, NEXT, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
-SEEDS = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the powers 0 to n modulo 2 to the 64, and their inverses."""
-    if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 21)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)]) for x in (BASE, inverse)]
-    return _powers[0], _powers[1]
+#: Fixed odd multiplier of the windows' polynomial hash.
+NEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words:
@@ -49,24 +38,10 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.bytes = LOWER[data[offsets[0] : offsets[-1]]]
-        inside, n = IN_WORD[self.bytes], len(self.bytes)
-        first = offsets[:-1] - offsets[0]
-        first = first[first < n]
-        starts = inside.copy()
-        starts[1:] &= ~inside[:-1]
-        starts[first] = inside[first]
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        before = first[first > 0] - 1
-        ends[before] = inside[before]
-        self.starts, self.ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        inside = IN_WORD[self.bytes]
+        self.starts, self.ends = runs(inside, offsets)
         self.before = np.searchsorted(self.starts, offsets - offsets[0])
-        up, down = powers(n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(inside, SEEDS[self.bytes] * up[:n], np.uint64(0)), dtype=np.uint64)])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        h ^= h >> np.uint64(31)
-        h *= MIX
-        self.hashes = h ^ (h >> np.uint64(29))
+        self.hashes = run_hashes(self.bytes, self.starts, self.ends, inside)
 
     def windows(self, size: int) -> np.ndarray:
         """Hash of the words from each place on; windows that run over the end of a text are among them."""

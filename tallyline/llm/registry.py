@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tallyline.llm import quality_rules, secret_scan
+from tallyline.llm import decontamination, quality_rules, secret_scan, token_files
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op9_decontamination": decontamination.op9_decontamination,
+    "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
+    "op9_decontamination": decontamination.ORACLE,
 }
