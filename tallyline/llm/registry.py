@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from tallyline.llm import decontamination, quality_rules, secret_scan, token_files
+from tallyline.llm import decontamination, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_files": token_files.op10_token_files,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op5_secret_scan": secret_scan.ORACLE,
+    "op6_url_filter": url_filter.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
 }
