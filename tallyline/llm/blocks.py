@@ -73,16 +73,21 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes: differences of one running polynomial sum, moved to a common power."""
-    up, down = powers(len(data))
-    terms = SEEDS[data]
-    terms *= up[: len(data)]
-    if inside is not None:
-        terms[~inside] = 0
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(terms, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    h ^= h >> np.uint64(31)
-    h *= MIX
-    return h ^ (h >> np.uint64(29))
+class Hasher:
+    """64-bit hashes of stretches of bytes: differences of one running polynomial sum, moved to a common power."""
+
+    def __init__(self, data: np.ndarray, inside: np.ndarray | None = None):
+        """Bytes that aren't inside add nothing."""
+        up, self.down = powers(len(data))
+        terms = SEEDS[data]
+        terms *= up[: len(data)]
+        if inside is not None:
+            terms[~inside] = 0
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(terms, out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        h ^= h >> np.uint64(31)
+        h *= MIX
+        return h ^ (h >> np.uint64(29))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.blocks import cuts, flat, run_hashes, runs, texts, with_column
+from tallyline.llm.blocks import Hasher, cuts, flat, runs, texts, with_column
 
 WINDOW = 10
 #: Windows that one pass broadcasts; about 60 MB in a worker.
@@ -41,7 +41,8 @@ class Words:
         inside = IN_WORD[self.bytes]
         self.starts, self.ends = runs(inside, offsets)
         self.before = np.searchsorted(self.starts, offsets - offsets[0])
-        self.hashes = run_hashes(self.bytes, self.starts, self.ends, inside)
+        self.hasher = Hasher(self.bytes, inside)
+        self.hashes = self.hasher.of(self.starts, self.ends)
 
     def windows(self, size: int) -> np.ndarray:
         """Hash of the words from each place on; windows that run over the end of a text are among them."""

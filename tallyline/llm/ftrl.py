@@ -62,7 +62,7 @@ def _pass(state, settings: Ftrl, classes: int) -> Callable[[Iterator[pa.RecordBa
                 rows += 1
         if rows:
             used = np.flatnonzero(n.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (used, z.ravel()[used], n.ravel()[used])], names=["used", "z", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (used, z.ravel()[used], n.ravel()[used])], names=["used", "z", "n"])
 
     return run
 
@@ -77,13 +77,14 @@ def train(rows: DataFrame, classes: int, bins: int, settings: Ftrl) -> np.ndarra
     dealt = rows.withColumn("_shard", F.pmod("key", F.lit(settings.shards))).repartition(settings.shards, "_shard").sortWithinPartitions("key").drop("_shard")
     for _ in range(settings.rounds):
         state = sc.broadcast((z, n))
-        parts = dealt.mapInArrow(_pass(state, settings, classes), "used array<bigint>, z array<double>, n array<double>").collect()
+        parts = dealt.mapInArrow(_pass(state, settings, classes), "used binary, z binary, n binary").collect()
         state.unpersist()
         if not parts:
             break
         total = np.zeros((2, classes * bins))
         for p in parts:
-            total[0, p["used"]] += p["z"]
-            total[1, p["used"]] += p["n"]
+            used = np.frombuffer(p["used"], np.int64)
+            total[0, used] += np.frombuffer(p["z"])
+            total[1, used] += np.frombuffer(p["n"])
         z, n = (total / len(parts)).reshape(2, classes, bins)
     return settings.weights(z, n)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tallyline.llm import decontamination, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter
+from tallyline.llm import decontamination, language_id, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_language_id": language_id.op3_language_id,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_files": token_files.op10_token_files,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from tallyline.llm.blocks import run_hashes
+from tallyline.llm.blocks import Hasher
 
 
 class WordCache:
@@ -44,7 +44,7 @@ class WordCache:
         """
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        _, first, which = np.unique(run_hashes(data, starts, ends) + (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
+        _, first, which = np.unique(Hasher(data).of(starts, ends) + (ends - starts).astype(np.uint64), return_index=True, return_inverse=True)
         raw = data.tobytes()
         each = self.each([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         ids = np.frombuffer(b"".join(each), np.uint32)
