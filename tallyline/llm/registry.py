@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyline.llm import decontamination, language_id, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter
+from tallyline.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_files": token_files.op10_token_files,

@@ -278,6 +278,17 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def framed(ids: np.ndarray, sizes: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """The ids of texts in a row, each with a begin and an end id."""
+    out = np.empty(len(ids) + 2 * len(sizes), np.int32)
+    ends = np.cumsum(sizes + 2)
+    mark = np.zeros(len(out), bool)
+    mark[ends - 1] = mark[ends - sizes - 2] = True
+    out[~mark] = ids
+    out[ends - 1], out[ends - sizes - 2] = end, begin
+    return out
+
+
 def coder(path: str, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """full: the ids and the decoded text themselves, else their digests."""
 
@@ -291,17 +302,20 @@ def coder(path: str, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 ids, sizes = c.encode(data, offsets[i : j + 1])
                 raw, at = ids.astype("<u4").tobytes(), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
                 counts.append(sizes + 2)
+                if full:
+                    made.append(framed(ids, sizes, c.begin, c.end))
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     text = c.decode(ids[a:b].tolist())
                     if full:
-                        made.append([c.begin, *ids[a:b].tolist(), c.end])
                         read.append(text.decode())
                     else:
                         made.append(hashlib.sha256(ends[0] + raw[4 * a : 4 * b] + ends[1]).hexdigest())
                         read.append(hashlib.sha256(text).hexdigest())
             n = pa.array(np.concatenate(counts) if counts else [], pa.int64())
             if full:
-                yield with_column(batch, n_tokens=n, ids=pa.array(made, pa.list_(pa.int64())), decoded=pa.array(read, pa.string()))
+                values = pa.array(np.concatenate(made) if made else [], pa.int32())
+                edges = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else [0], pa.int32())
+                yield with_column(batch, n_tokens=n, ids=pa.ListArray.from_arrays(edges, values), decoded=pa.array(read, pa.string()))
             else:
                 yield with_column(batch, n_tokens=n, ids_sha256=pa.array(made, pa.string()), decoded_sha256=pa.array(read, pa.string()))
 
@@ -310,7 +324,7 @@ def coder(path: str, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def _with(docs: DataFrame, path: str, full: bool) -> DataFrame:
     new = [("n_tokens", T.LongType())]
-    new += [("ids", T.ArrayType(T.LongType())), ("decoded", T.StringType())] if full else [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    new += [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())] if full else [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     docs = docs.drop(*(n for n, _ in new))
     return docs.mapInArrow(coder(path, full), T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in new)]))
 
