@@ -42,7 +42,7 @@ def probabilities(scores: np.ndarray) -> np.ndarray:
 
 def _pass(state, settings: Ftrl, classes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = (x.copy() for x in state.value)
+        z, n = (x.astype(float) for x in state.value)
         rows = 0
         for batch in batches:
             for y, at, values in zip(*(batch.column(c) for c in ("y", "at", "values")), strict=True):
@@ -62,7 +62,8 @@ def _pass(state, settings: Ftrl, classes: int) -> Callable[[Iterator[pa.RecordBa
                 rows += 1
         if rows:
             used = np.flatnonzero(n.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (used, z.ravel()[used], n.ravel()[used])], names=["used", "z", "n"])
+            out = used.astype(np.int32), z.ravel()[used].astype(np.float32), n.ravel()[used].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in out], names=["used", "z", "n"])
 
     return run
 
@@ -76,15 +77,15 @@ def train(rows: DataFrame, classes: int, bins: int, settings: Ftrl) -> np.ndarra
     z, n = np.zeros((classes, bins)), np.zeros((classes, bins))
     dealt = rows.withColumn("_shard", F.pmod("key", F.lit(settings.shards))).repartition(settings.shards, "_shard").sortWithinPartitions("key").drop("_shard")
     for _ in range(settings.rounds):
-        state = sc.broadcast((z, n))
+        state = sc.broadcast((z.astype(np.float32), n.astype(np.float32)))
         parts = dealt.mapInArrow(_pass(state, settings, classes), "used binary, z binary, n binary").collect()
-        state.unpersist()
+        state.destroy()
         if not parts:
             break
         total = np.zeros((2, classes * bins))
         for p in parts:
-            used = np.frombuffer(p["used"], np.int64)
-            total[0, used] += np.frombuffer(p["z"])
-            total[1, used] += np.frombuffer(p["n"])
+            used = np.frombuffer(p["used"], np.int32)
+            total[0, used] += np.frombuffer(p["z"], np.float32)
+            total[1, used] += np.frombuffer(p["n"], np.float32)
         z, n = (total / len(parts)).reshape(2, classes, bins)
     return settings.weights(z, n)

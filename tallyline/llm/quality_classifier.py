@@ -147,9 +147,9 @@ def sites(scores: DataFrame, host: str, path: str) -> DataFrame:
     from tallyline.session import written
 
     sums = [F.sum(f"p_{k}").alias(f"s_{k}") for k in FAULTS]
-    paths = written(scores.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count(F.lit(1)).alias("n"), *sums), "sites")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n_host"), *(F.sum(f"s_{k}").alias(f"h_{k}") for k in FAULTS))
-    both = paths.join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
+    paths = written(scores.groupBy(F.col(host).alias("__tl_host"), F.col(path).alias("__tl_path")).agg(F.count(F.lit(1)).alias("n"), *sums), "sites")
+    hosts = paths.groupBy("__tl_host").agg(F.sum("n").alias("n_host"), *(F.sum(f"s_{k}").alias(f"h_{k}") for k in FAULTS))
+    both = paths.join(hosts.withColumnRenamed("__tl_host", "__tl_h"), F.col("__tl_host").eqNullSafe(F.col("__tl_h"))).drop("__tl_h")
     total = hosts.agg(F.sum("n_host").alias("n"), *(F.sum(f"h_{k}").alias(f"s_{k}") for k in FAULTS)).first()
     if not total["n"]:
         return both.select("*", *(F.lit(0.5).alias(f"{x}_{k}") for k in FAULTS for x in ("rate", "k1", "k2")))
@@ -175,12 +175,15 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     columns = docs.drop("p_low", "p_toxic", "kept").columns
     scores = scored(docs.select(*columns), fit(docs, labels, max_train))
     by_site = sites(scores.select(host, path, *(f"p_{k}" for k in FAULTS)), host, path)
-    out = scores.join(by_site, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left")
+    mine = {c: c if c.startswith("__tl_") else f"__tl_{c}" for c in by_site.columns}  # a document's own columns may have these names
+    by_site = by_site.select(*(F.col(c).alias(n) for c, n in mine.items()))
+    out = scores.join(by_site, F.col(host).eqNullSafe(F.col("__tl_host")) & F.col(path).eqNullSafe(F.col("__tl_path")), "left")
     posterior = {}
     for k in FAULTS:
-        p, rate = F.col(f"p_{k}"), F.col(f"rate_{k}")
-        host_rate = (F.col(f"k1_{k}") * rate + F.col(f"h_{k}") - p) / (F.col(f"k1_{k}") + F.col("n_host") - 1)
-        site_rate = (F.col(f"k2_{k}") * host_rate + F.col(f"s_{k}") - p) / (F.col(f"k2_{k}") + F.col("n") - 1)
+        site = {x: F.col(f"__tl_{x}_{k}") for x in ("rate", "k1", "k2", "h", "s")}
+        p, rate = F.col(f"p_{k}"), site["rate"]
+        host_rate = (site["k1"] * rate + site["h"] - p) / (site["k1"] + F.col("__tl_n_host") - 1)
+        site_rate = (site["k2"] * host_rate + site["s"] - p) / (site["k2"] + F.col("__tl_n") - 1)
         site_rate = F.greatest(F.lit(CLIP), F.least(F.lit(1 - CLIP), site_rate))
         posterior[f"p_{k}"] = 1 / (1 + F.exp(-(logit(p) + logit(site_rate) - logit(rate))))
     kept = (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5)

@@ -83,53 +83,53 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     ones are neighbours; only texts with a repeated hash are sorted.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    no_text = docs.withColumn("_t", body)
-    words = F.array_remove(F.split("_t", f"{SPACE}+"), "")
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = no_text.withColumns({"_w": words, "_l": lines})
-    n = F.size("_w")
+    no_text = docs.withColumn("__tl_t", body)
+    words = F.array_remove(F.split("__tl_t", f"{SPACE}+"), "")
+    lines = F.filter(F.split("__tl_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    split = no_text.withColumns({"__tl_w": words, "__tl_l": lines})
+    n = F.size("__tl_w")
     counted = split.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-            "n_symbols": (F.length("_t") - F.length(F.regexp_replace("_t", SYMBOL, ""))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "_distinct": F.size(F.array_distinct("_w")),
-            "_stop": F.size(F.filter("_w", lambda w: w.isin(*STOP_WORDS, *(s.capitalize() for s in STOP_WORDS)))),
-            "_shout": F.size(F.filter("_w", lambda w: w.endswith("!!"))),
-            "_h": F.when(n >= WINDOW, F.transform("_w", lambda w: F.xxhash64(w))),
+            "word_chars": F.length(F.array_join("__tl_w", "")).cast("long"),
+            "n_symbols": (F.length("__tl_t") - F.length(F.regexp_replace("__tl_t", SYMBOL, ""))).cast("long"),
+            "n_lines": F.size("__tl_l").cast("long"),
+            "n_dup_lines": (F.size("__tl_l") - F.size(F.array_distinct("__tl_l"))).cast("long"),
+            "__tl_distinct": F.size(F.array_distinct("__tl_w")),
+            "__tl_stop": F.size(F.filter("__tl_w", lambda w: w.isin(*STOP_WORDS, *(s.capitalize() for s in STOP_WORDS)))),
+            "__tl_shout": F.size(F.filter("__tl_w", lambda w: w.endswith("!!"))),
+            "__tl_h": F.when(n >= WINDOW, F.transform("__tl_w", lambda w: F.xxhash64(w))),
         }
     )
     for step in (1, 2, 4):  # hashes of windows of 2, 4 and 8 words
-        later = F.slice("_h", F.lit(1 + step), F.greatest(F.size("_h") - step, F.lit(0)))
-        both = F.zip_with(F.slice("_h", F.lit(1), F.greatest(F.size("_h") - step, F.lit(0))), later, lambda a, b: F.xxhash64(a, b))
-        counted = counted.withColumn("_h", F.when(F.col("_h").isNotNull(), both))
-    same = F.size(F.array_distinct("_h")) < F.size("_h")
-    by_hash = counted.withColumn("_s", F.when(same, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        later = F.slice("__tl_h", F.lit(1 + step), F.greatest(F.size("__tl_h") - step, F.lit(0)))
+        both = F.zip_with(F.slice("__tl_h", F.lit(1), F.greatest(F.size("__tl_h") - step, F.lit(0))), later, lambda a, b: F.xxhash64(a, b))
+        counted = counted.withColumn("__tl_h", F.when(F.col("__tl_h").isNotNull(), both))
+    same = F.size(F.array_distinct("__tl_h")) < F.size("__tl_h")
+    by_hash = counted.withColumn("__tl_s", F.when(same, F.array_sort(F.transform("__tl_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     again = F.transform(
-        "_s",
+        "__tl_s",
         lambda p, k: F.when(
-            ((k > 0) & (F.get("_s", k - 1)["h"] == p["h"])) | F.coalesce(F.get("_s", k + 1)["h"] == p["h"], F.lit(False)),
+            ((k > 0) & (F.get("__tl_s", k - 1)["h"] == p["h"])) | F.coalesce(F.get("__tl_s", k + 1)["h"] == p["h"], F.lit(False)),
             p["i"],
         ),
     )
-    starts = by_hash.withColumn("_again", F.when(F.col("_s").isNotNull(), F.array_sort(F.filter(again, lambda i: i.isNotNull()))))
+    starts = by_hash.withColumn("__tl_again", F.when(F.col("__tl_s").isNotNull(), F.array_sort(F.filter(again, lambda i: i.isNotNull()))))
     per_word = F.greatest(F.col("n_words"), F.lit(1))
     return (
-        starts.withColumn("n_repeat_words", F.coalesce(covered(F.col("_again"), WINDOW), F.lit(0).cast("long")))
+        starts.withColumn("n_repeat_words", F.coalesce(covered(F.col("__tl_again"), WINDOW), F.lit(0).cast("long")))
         .withColumns(
             {
                 "repeat_share": F.col("n_repeat_words") / per_word,
                 "mean_word_length": F.col("word_chars") / per_word,
                 "symbols_per_word": F.col("n_symbols") / per_word,
                 "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-                "distinct_word_share": F.col("_distinct") / per_word,
-                "shouts_per_word": F.col("_shout") / per_word,
-                "stop_share": F.col("_stop") / per_word,
+                "distinct_word_share": F.col("__tl_distinct") / per_word,
+                "shouts_per_word": F.col("__tl_shout") / per_word,
+                "stop_share": F.col("__tl_stop") / per_word,
             }
         )
-        .drop("_t", "_w", "_l", "_h", "_s", "_again", "_distinct", "_stop", "_shout")
+        .drop("__tl_t", "__tl_w", "__tl_l", "__tl_h", "__tl_s", "__tl_again", "__tl_distinct", "__tl_stop", "__tl_shout")
     )
 
 

@@ -109,29 +109,29 @@ def hot_stretch(value: Column, c: CharClass) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", allowed: str = ALLOWED) -> DataFrame:
     """Add the array secret_spans of (start, ord, end, kind, value), in order, and n_assign, n_access, n_hex."""
-    body = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    body = docs.withColumn("__tl_t", F.coalesce(F.col(text), F.lit("")))
     base = body.withColumns(
         {
-            "_assign": F.filter(matches("_t", ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_VALUE),
-            "_access": matches("_t", ACCESS, "access"),
-            "_hex": matches("_t", HEX, "hex"),
-            "_cand": F.filter(matches("_t", CANDIDATE, "entropy"), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")),
+            "__tl_assign": F.filter(matches("__tl_t", ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_VALUE),
+            "__tl_access": matches("__tl_t", ACCESS, "access"),
+            "__tl_hex": matches("__tl_t", HEX, "hex"),
+            "__tl_cand": F.filter(matches("__tl_t", CANDIDATE, "entropy"), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")),
         }
-    ).withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
+    ).withColumn("__tl_base", F.array_sort(F.concat("__tl_assign", "__tl_access", "__tl_hex")))
     free = F.filter(
-        "_cand",
-        lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & ~s["value"].rlike(allowed),
+        "__tl_cand",
+        lambda s: ~F.exists("__tl_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & ~s["value"].rlike(allowed),
     )
 
     def stretch(v: Column) -> Column:
         return F.coalesce(*(F.when(v.rlike(c.pattern), hot_stretch(v, c)) for c in CLASSES), F.lit(None).cast("struct<lo:int,hi:int>"))
 
     hot = F.transform(
-        "_free",
+        "__tl_free",
         lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["value"].alias("value"), stretch(s["value"]).alias("r")),
     )
     added = F.transform(
-        F.filter("_hot", lambda s: F.coalesce(s["r"]["lo"] >= 0, F.lit(False))),
+        F.filter("__tl_hot", lambda s: F.coalesce(s["r"]["lo"] >= 0, F.lit(False))),
         lambda s: F.struct(
             (s["start"] + s["r"]["lo"]).alias("start"),
             s["ord"].alias("ord"),
@@ -141,18 +141,18 @@ def scan(docs: DataFrame, text: str = "text", allowed: str = ALLOWED) -> DataFra
         ),
     )
     return (
-        base.withColumn("_free", F.when(F.size("_cand") > 0, free))
-        .withColumn("_hot", F.when(F.size("_free") > 0, hot))
+        base.withColumn("__tl_free", F.when(F.size("__tl_cand") > 0, free))
+        .withColumn("__tl_hot", F.when(F.size("__tl_free") > 0, hot))
         .withColumns(
             {
-                "base_spans": F.col("_base"),
-                "secret_spans": F.when(F.size("_hot") > 0, F.array_sort(F.concat("_base", added))).otherwise(F.col("_base")),
-                "n_assign": F.size("_assign").cast("long"),
-                "n_access": F.size("_access").cast("long"),
-                "n_hex": F.size("_hex").cast("long"),
+                "base_spans": F.col("__tl_base"),
+                "secret_spans": F.when(F.size("__tl_hot") > 0, F.array_sort(F.concat("__tl_base", added))).otherwise(F.col("__tl_base")),
+                "n_assign": F.size("__tl_assign").cast("long"),
+                "n_access": F.size("__tl_access").cast("long"),
+                "n_hex": F.size("__tl_hex").cast("long"),
             }
         )
-        .drop("_t", "_assign", "_access", "_hex", "_cand", "_base", "_free", "_hot")
+        .drop("__tl_t", "__tl_assign", "__tl_access", "__tl_hex", "__tl_cand", "__tl_base", "__tl_free", "__tl_hot")
     )
 
 

@@ -69,23 +69,23 @@ def removed(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ..
 
 def deduplicated(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
     """The documents with repeated sentences taken out of the text, n_sentences and n_removed."""
-    gone = removed(docs, text, runs).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    out = docs.drop("n_sentences", "n_removed").withColumn("_key", F.xxhash64(text))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
-    out = out.withColumn("_p", pieces(text))
+    gone = removed(docs, text, runs).select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"), F.col("gone").alias("__tl_gone"))
+    out = docs.drop("n_sentences", "n_removed").withColumn("__tl_key", F.xxhash64(text))
+    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_h")), "left")
+    out = out.withColumn("__tl_p", pieces(text))
     # Places count the pieces with characters alone; what has none stays.
-    at = F.filter(F.transform("_p", lambda p, i: F.when(F.btrim(p, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull())
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_p") - 1), F.transform("_gone", lambda n: F.get("_at", n)))
+    at = F.filter(F.transform("__tl_p", lambda p, i: F.when(F.btrim(p, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull())
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__tl_p") - 1), F.transform("__tl_gone", lambda n: F.get("__tl_at", n)))
     return (
-        out.withColumn("_at", at)
+        out.withColumn("__tl_at", at)
         .withColumns(
             {
-                "n_sentences": F.size("_at").cast("long"),
-                "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-                text: F.when(F.col("_gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("_p", i)), "")).otherwise(F.col(text)),
+                "n_sentences": F.size("__tl_at").cast("long"),
+                "n_removed": F.coalesce(F.size("__tl_gone"), F.lit(0)).cast("long"),
+                text: F.when(F.col("__tl_gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("__tl_p", i)), "")).otherwise(F.col(text)),
             }
         )
-        .drop("_key", "_id", "_h", "_gone", "_p", "_at")
+        .drop("__tl_key", "__tl_id", "__tl_h", "__tl_gone", "__tl_p", "__tl_at")
     )
 
 

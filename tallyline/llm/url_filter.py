@@ -34,8 +34,8 @@ def intervals(events: DataFrame) -> DataFrame:
     before = F.lag("action").over(w)
     return (
         events.where(F.col("value").isNotNull() & F.col("listed_at").isNotNull() & F.col("action").isin("add", "remove"))
-        .withColumns({"valid_to": removed, "_before": before})
-        .where((F.col("action") == "add") & (F.coalesce(F.col("_before"), F.lit("remove")) == "remove"))
+        .withColumns({"valid_to": removed, "__tl_before": before})
+        .where((F.col("action") == "add") & (F.coalesce(F.col("__tl_before"), F.lit("remove")) == "remove"))
         .select(
             F.concat_ws(":", "kind", F.lower("value")).alias("key"), "category", F.col("listed_at").alias("valid_from"), "valid_to"
         )
@@ -62,15 +62,15 @@ def keys(url: str) -> Column:
 
 def as_of(captures: DataFrame, events: DataFrame, id_col: str = "page_id", url: str = "url", at: str = "fetched_at") -> DataFrame:
     """One row per capture with any active entry: its id, n_active and the most specific entry with its category."""
-    listed = intervals(events).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    listed = intervals(events).withColumn("__tl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     asked = (
         captures.where(F.col(at).isNotNull())
-        .select(F.col(id_col), F.col(at).alias("_at"), F.posexplode(keys(url)).alias("_rank", "key"))
-        .withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        .select(F.col(id_col), F.col(at).alias("__tl_at"), F.posexplode(keys(url)).alias("__tl_rank", "key"))
+        .withColumn("__tl_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
     )
-    hit = asked.join(listed, ["key", "_salt"]).where((F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
-    return hit.groupBy(id_col).agg(F.countDistinct("key").alias("n_active"), F.min(F.struct("_rank", "category", "key")).alias("_first")).select(
-        id_col, "n_active", F.col("_first.key").alias("entry"), F.col("_first.category").alias("category")
+    hit = asked.join(listed, ["key", "__tl_salt"]).where((F.col("valid_from") <= F.col("__tl_at")) & (F.col("valid_to").isNull() | (F.col("__tl_at") < F.col("valid_to"))))
+    return hit.groupBy(id_col).agg(F.countDistinct("key").alias("n_active"), F.min(F.struct("__tl_rank", "category", "key")).alias("__tl_first")).select(
+        id_col, "n_active", F.col("__tl_first.key").alias("entry"), F.col("__tl_first.category").alias("category")
     )
 
 
@@ -104,15 +104,15 @@ def sample_events(pages: DataFrame) -> DataFrame:
         ).alias("e")
     ).select("e.*").where(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
     n = _number(F.concat_ws(":", "kind", "value"))
-    listed = names.withColumn("_n", n).where(F.pmod("_n", F.col("one_of")) == 0)
+    listed = names.withColumn("__tl_n", n).where(F.pmod("__tl_n", F.col("one_of")) == 0)
     day = lambda d: F.date_add(F.lit("2024-01-01").cast("date"), d.cast("int"))
-    start = F.pmod(F.col("_n"), F.lit(200))
-    spell = 20 + F.pmod(F.col("_n"), F.lit(97))
+    start = F.pmod(F.col("__tl_n"), F.lit(200))
+    spell = 20 + F.pmod(F.col("__tl_n"), F.lit(97))
     event = lambda action, at: F.struct(F.lit(action).alias("action"), day(at).alias("listed_at"))
-    events = F.when(F.pmod("_n", F.lit(3)) == 0, F.array(event("add", start), event("remove", start + spell), event("add", start + 2 * spell))).otherwise(
+    events = F.when(F.pmod("__tl_n", F.lit(3)) == 0, F.array(event("add", start), event("remove", start + spell), event("add", start + 2 * spell))).otherwise(
         F.array(event("add", start), event("remove", start + spell))
     )
-    return listed.select("kind", "value", F.concat(F.lit("list-"), F.pmod("_n", F.lit(5)).cast("string")).alias("category"), F.explode(events).alias("e")).select(
+    return listed.select("kind", "value", F.concat(F.lit("list-"), F.pmod("__tl_n", F.lit(5)).cast("string")).alias("category"), F.explode(events).alias("e")).select(
         "kind", "value", "category", "e.*"
     )
 
