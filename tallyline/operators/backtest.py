@@ -33,9 +33,9 @@ def compounding(bets: DataFrame, keys: list[str], initial: float = 1000.0, stop_
     w = Window.partitionBy(*keys).orderBy("date", "contest_id")
     out = out.withColumn("_peak", F.greatest(F.lit(initial), F.max("bankroll").over(w.rowsBetween(Window.unboundedPreceding, 0))))
     broke = (F.col("bankroll") < (1 - stop_share) * F.col("_peak")).cast("int")
-    before = F.coalesce(F.max(broke).over(w.rowsBetween(Window.unboundedPreceding, 0)) - broke * 0, F.lit(0))
-    out = out.withColumn("_broke", before)
-    return out.withColumn("_earlier", F.coalesce(F.lag("_broke").over(w), F.lit(0))).where("_earlier = 0").drop("_peak", "_broke", "_earlier")
+    out = out.withColumn("_broke", broke)
+    earlier = F.coalesce(F.max("_broke").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.withColumn("_earlier", earlier).where("_earlier = 0").drop("_peak", "_broke", "_earlier")
 
 
 def simulated(bets: DataFrame, league: str, initial: float = 1000.0, stop_share: float = 0.7, least: float = 0.5) -> DataFrame:

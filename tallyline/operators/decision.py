@@ -73,7 +73,7 @@ def judged(c: DataFrame, rules: list[Strategy], p: str = "p1_prob") -> DataFrame
 
 def recommended(c: DataFrame, rules: list[Strategy], p: str = "p1_prob", tournament: str = "series") -> DataFrame:
     """Eligible bets, the one of the largest stake for each pick, tournament and day; the first strategy wins ties."""
-    ok = judged(c, rules, p).where(F.col("reason").isNull() & (F.col("share") > 0))
+    ok = judged(c, rules, p).where(F.col("share") > 0)  # a refused side has no share
     w = Window.partitionBy("pick", tournament, "date").orderBy(F.desc("share"), "contest_id", "side", "rule")
     return ok.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "series_list", "surface_list")
 

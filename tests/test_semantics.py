@@ -141,3 +141,38 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     batch = e.union(e.limit(50)).groupBy(F.to_date("ts").alias("d"), "event_type").count()
     want = {(r["d"], r["event_type"]): r["count"] for r in batch.collect()}
     assert {(r["start"].date(), r["event_type"]): r["n"] for r in volumes.collect() if r["event_type"] != "end"} == want
+
+
+def test_stop_loss_is_absorbing(spark):
+    rows = [(i, D0 + dt.timedelta(days=i), "x", w, 3.0, 0.5) for i, w in enumerate([0, 0, 1, 1, 1])]
+    b = spark.createDataFrame(rows, "contest_id long, date date, surface string, won int, odds double, share double")
+    made_ = backtest.compounding(b, ["surface"], stop_share=0.7).orderBy("contest_id").collect()
+    fold_ = [r for r in backtest.simulated(b, "surface", stop_share=0.7, least=0.0).orderBy("contest_id").collect() if r["stake"] > 0]
+    assert [r["bankroll"] for r in made_] == [500.0, 250.0] == [r["bankroll"] for r in fold_]
+
+
+def test_sources_conform_and_results(spark):
+    from tallyline.sources import tables
+
+    raw = spark.createDataFrame([("2020-01-02", " A ", "B", -1, 2.5, 0.9), (None, "A", "B", 3, 2.0, 2.0), ("03/01/2020", "C", "D", 4, -1.0, 1.5)], "date string, Player_1 string, Player_2 string, Rank_1 int, Odd_1 double, Odd_2 double")
+    got = {r["Player_1"]: r for r in tables.matches(raw).collect()}
+    assert set(got) == {"A", "C"} and got["A"]["Rank_1"] is None and got["A"]["Odd_2"] is None and got["A"]["Winner"] == "A"
+    assert got["C"]["Date"] == dt.date(2020, 1, 3) and got["C"]["Odd_1"] is None and got["C"]["Surface"] == "Hard"
+    r = spark.createDataFrame([("k1", "W", "L", None, 1.5, None, 2.5, 6, 4, 7, None, "Completed"), ("k2", "W", "L", 1.4, 1.5, 3.0, 2.5, 6, 4, 7, 5, "Retired")], "id string, Winner string, Loser string, PSW double, B365W double, PSL double, B365L double, W1 int, L1 int, W2 int, L2 int, Comment string")
+    got = tables.results(r, ["id"]).collect()
+    assert len(got) == 1 and {got[0]["Odd_1"], got[0]["Odd_2"]} == {1.5, 2.5} and got[0]["Score"] in ("6-4", "4-6")
+
+
+def test_scalars_of_texts(spark):
+    df = spark.createDataFrame([("4:05", "12 of 30", "http://x/fighter/0123456789abcdef01", " Gagné ")], "a string, b string, c string, d string")
+    r = df.select(S.clock_seconds("a"), *S.x_of_y("b"), S.url_id("c"), S.normal_result("d"), S.first_number("b"), S.bucket(F.lit(2.0), S.ODDS_EDGES, S.ODDS_LABELS)).first()
+    assert tuple(r) == (245, 12, 30, "0123456789abcdef01", "win", 12.0, "(1.6, 2]")
+
+
+def test_ledger_rules(spark):
+    e = spark.createDataFrame([(1, "A", "A", 2.0, 2.0, 0.5), (2, "A", "B", 1.0, 2.0, 0.5), (3, "A", "B", 2.0, 2.0, 1.5), (4, "A", "B", 2.0, 2.0, None)], "event_id int, participant_a string, participant_b string, odds_a double, odds_b double, prob_a double")
+    assert {r["event_id"]: r["problem"] for r in ledger.event_violations(e).collect()} == {1: "participants", 2: "odds", 3: "probability"}
+    old = spark.createDataFrame([("t", None, None)], "title string, moment string, odds double")
+    new = spark.createDataFrame([("t", "", 2.0), ("u", None, 3.0)], "title string, moment string, odds double")
+    got = sorted((r["title"], r["odds"]) for r in ledger.get_or_create(old, new, ["title", "moment"], ["odds"]).collect())
+    assert got == [("t", 2.0), ("u", 3.0)]
