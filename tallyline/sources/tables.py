@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyline.functions import scalars as S
 
-MATCHES = T.StructType.fromDDL(
+MATCHES = (
     "Tournament string, Date string, Series string, Court string, Surface string, Round string, `Best of` int, Player_1 string, Player_2 string, "
     "Winner string, Rank_1 int, Rank_2 int, Pts_1 int, Pts_2 int, Odd_1 double, Odd_2 double, Score string"
 )
-FEED = T.StructType.fromDDL(
+FEED = (
     "id string, home_team string, away_team string, commence_time string, "
     "bookmakers array<struct<key:string,title:string,last_update:string,markets:array<struct<key:string,outcomes:array<struct<name:string,price:double>>>>>>"
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = MATCHES) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str = MATCHES) -> DataFrame:
     """A declared schema, so nothing is read twice to infer one; cells that don't fit become null."""
     return spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
 

@@ -176,3 +176,22 @@ def test_ledger_rules(spark):
     new = spark.createDataFrame([("t", "", 2.0), ("u", None, 3.0)], "title string, moment string, odds double")
     got = sorted((r["title"], r["odds"]) for r in ledger.get_or_create(old, new, ["title", "moment"], ["odds"]).collect())
     assert got == [("t", 2.0), ("u", 3.0)]
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"], cwd=root, check=True)
+
+
+def test_price_feed(spark):
+    from tallyline.sources import tables
+
+    market = lambda a, b: [{"key": "h2h", "outcomes": [{"name": "A", "price": a}, {"name": "B", "price": b}]}]
+    feed = [{"id": "e", "home_team": "A", "away_team": "B", "commence_time": "2024-01-02T10:00:00Z", "bookmakers": [
+        {"key": "x", "title": "X", "last_update": "", "markets": market(2.0, 1.8)}, {"key": "y", "title": "Y", "last_update": "", "markets": market(2.2, None)}, {"key": "z", "title": "Z", "last_update": "", "markets": []}]}]
+    r = joins.best_prices(tables.prices(spark.createDataFrame(feed, tables.FEED)), ["Y", "X"]).collect()
+    assert len(r) == 1 and (r[0]["n_books"], r[0]["bookmaker"], r[0]["best_1"], r[0]["prices"]) == (1, "X", 2.0, {"X": 2.0})
