@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as S
@@ -73,9 +73,11 @@ def judged(c: DataFrame, rules: list[Strategy], p: str = "p1_prob") -> DataFrame
 
 def recommended(c: DataFrame, rules: list[Strategy], p: str = "p1_prob", tournament: str = "series") -> DataFrame:
     """Eligible bets, the one of the largest stake for each pick, tournament and day; the first strategy wins ties."""
-    ok = judged(c, rules, p).where(F.col("share") > 0)  # a refused side has no share
-    w = Window.partitionBy("pick", tournament, "date").orderBy(F.desc("share"), "contest_id", "side", "rule")
-    return ok.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "series_list", "surface_list")
+    ok = judged(c, rules, p).where(F.col("share") > 0).drop("series_list", "surface_list")  # a refused side has no share
+    rest = [x for x in ok.columns if x not in ("pick", tournament, "date")]
+    order = F.struct(-F.col("share"), "contest_id", "side", "rule")
+    best = ok.groupBy("pick", tournament, "date").agg(F.min_by(F.struct(*rest), order).alias("_b"))
+    return best.select("pick", tournament, "date", "_b.*")
 
 
 def refusals(c: DataFrame, rules: list[Strategy], p: str = "p1_prob") -> DataFrame:
