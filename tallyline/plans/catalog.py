@@ -542,3 +542,15 @@ def m06_m08_stack(spark, sf_dir):
     fitted = models.stacked(c.where(F.col("year") < last - 1), columns, ["logistic", "forest"], "contest_id")
     held = models.stack_predict(fitted, c.where(F.col("year") == last - 1), columns)
     return models.calibrated(held, models.stack_predict(fitted, c.where(F.col("year") == last), columns), "p").select("contest_id", F.round("p", 6).alias("p"), F.round("p_cal", 6).alias("p_cal"), "label")
+
+
+@query("st1_stream_ingest", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1")
+def st1_stream_ingest(spark, sf_dir):
+    """All files of the events as a stream, without repeated ids, drained to a table and then summed."""
+    from tallyline.session import scratch
+    from tallyline.streaming import ingest
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = ingest.deduplicated(ingest.events(spark, sf_dir, schema, files="events.parquet"), late="36500 days")
+    rows = ingest.drained(stream, scratch(spark, "stream"), scratch(spark, "stream-state"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files that come into a folder, with ts as event time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1, files: str = "*.parquet") -> DataFrame:
+    """A stream of the Parquet files of these names that come into a folder, with ts as event time."""
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", files)
+    return read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def deduplicated(stream: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
