@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a block holds before the next document starts a new one.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
@@ -54,7 +54,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the powers 0 to n modulo 2 to the 64, and their inverses."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 21)
+        size = max(n + 1, 1 << 20)
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, x, np.uint64), dtype=np.uint64)]) for x in (BASE, inverse)]
     return _powers[0], _powers[1]

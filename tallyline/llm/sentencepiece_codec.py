@@ -63,7 +63,7 @@ class Codec:
 
     NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
-    def __init__(self, path: str, cached: int = 200_000):
+    def __init__(self, path: str, cached: int = 100_000):
         with open(path, "rb") as f:
             message = f.read()
         pieces, spec = [], {}

@@ -201,7 +201,7 @@ def encoded(batch: pa.RecordBatch, words: Encoder) -> Iterator[tuple[list, np.nd
     """Document ids, numbers of ids with the end id, and the ids, block by block."""
     data, offsets = flat(texts(batch))
     doc_ids = batch.column("doc_id").to_pylist()
-    for i, j in cuts(offsets):
+    for i, j in cuts(offsets, 1 << 21):  # longer blocks repeat more of their words
         ids, sizes = words.ids(data, offsets[i : j + 1])
         yield doc_ids[i:j], (sizes + 1).astype(np.uint64), np.insert(ids, np.cumsum(sizes), END)
 
