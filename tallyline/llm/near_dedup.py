@@ -10,10 +10,10 @@ less than one pair in ten thousand at 0.8.
 What the deepest nodes still hold together are classes alike in many tokens. Such a node is cut
 into blocks, all of which get its two pivots. After the first links are confirmed, classes of
 different components are compared again: few candidates are confirmed pair by pair, groups with
-many by one product of their incidence matrix, which is exact. A class that is outside the largest
-component of the largest node that holds it meets all blocks of that node, so no pair of two
-components that such a node holds goes untested. Only links that join components are given out, so
-the rows made grow with the classes, not with their pairs.
+many by one product of their incidence matrix, which is exact. In every such node, a class that is
+outside the node's largest component meets all blocks, so no pair of two components that a node
+holds goes untested; nodes that hold the same classes do this once. Only links that join components
+are given out, but the visits grow with the classes outside times the blocks of their nodes.
 
 Defined results for odd rows: a text with fewer words than a shingle is one shingle, a null or
 empty one has none and is linked with nothing; repeated rows are one class and share a component;
@@ -333,10 +333,9 @@ def multiplier(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def visits(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, block, part, class, label, home): the blocks of the largest nodes, with the classes that aren't of a node's main component as visitors."""
-    marked = labelled(large, labels)
-    chosen = marked.groupBy("class").agg(F.max(F.struct("blocks", "node"))["node"].alias("node"))
-    marked = marked.join(chosen, ["class", "node"])
+    """(node, block, part, class, label, home): the blocks of the large nodes, with the classes that aren't of a node's main component as visitors."""
+    members = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("s"))
+    marked = labelled(large.join(members.groupBy("n", "s").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"), labels)
     main = marked.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.first("blocks").alias("blocks")).groupBy("node").agg(
         F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.first("blocks").alias("blocks")
     )

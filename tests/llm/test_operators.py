@@ -194,6 +194,16 @@ def test_near_dedup_of_a_large_group_of_near_copies(spark, monkeypatch):
     assert sum((r["n_shingles"], r["component_id"]) != want[r["doc_id"]] for r in got) <= 1
 
 
+def test_classes_that_share_no_largest_node_meet(spark):
+    sizes = {10: 3, 20: 3, 30: 2, 31: 2}  # blocks of a node; 31 holds what 30 holds
+    rows = [(n, b, 1000 * n + k, sizes[n]) for n in (10, 20) for b in range(3) for k in range(b, 30, 3)]
+    rows += [(10, 0, 1, 3), (20, 0, 2, 3)] + [(n, b, c, 2) for n in (30, 31) for b, c in ((0, 1), (1, 2), (0, 10000), (1, 10001))]
+    large = spark.createDataFrame(rows, "node long, block int, class long, blocks int")
+    labels = spark.createDataFrame([(1000 * n + k, 1000 * n) for n in (10, 20) for k in range(30)], "u long, label long")
+    met = near_dedup.visits(large, labels).where("class IN (1, 2)").groupBy("node", "block", "part").agg(F.countDistinct("class").alias("n"), F.max("home").alias("home"))
+    assert {r["node"] for r in met.where("n = 2 AND home").collect()} == {30}
+
+
 def test_near_dedup_on_odd_rows(odd, empty):
     out = near_dedup.deduplicated(odd)
     assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "3", "4", "5", "6", "7", "None"]
