@@ -1,7 +1,9 @@
 """Substring dedup: runs of consecutive sentences, hashed and joined over the whole corpus.
 
 A run counts from a length on that chance doesn't repeat: three sentences of 80 characters, two
-of 140, or one of 240. Of equal runs the first in order of (doc_id, text hash, place) stays; all
+of 140, or one of 240. Where three have less, the shortest longer run that starts there and has 80
+characters counts, or 100 with one more for each sentence, which no passage of over 50 words is
+below; the same for the shortest that ends there. Of equal runs the first in order of (doc_id, text hash, place) stays; all
 sentences that any later one covers go, and what stands between the rest is kept as it was.
 
 Defined results for odd rows: a null or empty text has no sentences and stays as it is; rows with
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Sentences of a run, and the characters that it must have at least.
 RUNS = ((1, 240), (2, 140), (3, 80))
+#: Characters from which a run of more sentences counts: of the sentences alone, or with one more for each.
+GROWN, GROWN_APART = 80, 100
 #: A sentence ends after a full stop, exclamation or question mark before white space, and after a line.
 BOUNDARY = r"(?<=[.!?])(?=[\x20\x09-\x0D])|(?<=\n)"
 BLANK = " \t\n\x0b\x0c\r"
@@ -32,7 +36,7 @@ def sentences(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("h"), F.filter(trimmed, lambda s: s["t"] != "").alias("s"))
 
 
-def spans(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
+def spans(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS, grow: bool = True) -> DataFrame:
     """One row per run that is long enough: hash, doc_id, h, and the run's pieces at (first first, number of sentences k, place p)."""
     s = sentences(docs, text)
     hashed = s.select("doc_id", "h", F.transform("s", lambda x: F.struct(F.xxhash64(x["t"]).alias("x"), F.length(x["t"]).alias("n"))).alias("s"))
@@ -46,18 +50,45 @@ def spans(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...]
         at = F.transform(F.sequence(F.lit(0), F.size("s") - k), run)
         return F.when(F.size("s") >= k, F.filter(at, lambda x: x.isNotNull()))
 
-    found = [of(k, least) for k, least in runs]
+    def grown(back: bool) -> Column:
+        """The shortest run of more sentences than any of runs has, from or up to each sentence where those fall short."""
+        most, least = runs[-1]
+
+        def run(i: Column) -> Column:
+            def length(j: Column) -> Column:
+                return F.get("s", i - j if back else i + j)["n"]
+
+            def enough(a: Column) -> Column:
+                return (a["n"] >= GROWN) | (a["n"] + a["k"] >= GROWN_APART)
+
+            first = sum((length(F.lit(j)) for j in range(1, most)), length(F.lit(0)))
+            start = F.struct(F.lit(most).alias("k"), first.alias("n"))
+            last = F.aggregate(
+                F.sequence(F.lit(most), F.lit(GROWN_APART // 2 - 1)), start,
+                lambda a, j: F.when((a["k"] > most) & enough(a), a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + length(j)).alias("n"))),
+            )
+            k = F.when(enough(last), last["k"])
+            p = i - k + 1 if back else i
+            hashed_run = F.xxhash64(k, F.transform(F.slice("s", p + 1, k), lambda x: x["x"]))
+            return F.when((first < least) & k.isNotNull(), F.struct(hashed_run.alias("hash"), p.alias("p"), k.alias("k")))
+
+        low, high = (most, F.size("s") - 1) if back else (0, F.size("s") - most - 1)
+        at = F.transform(F.sequence(F.lit(low), high), run)
+        return F.when(F.size("s") > most, F.filter(at, lambda x: x.isNotNull()))
+
+    # A run that both of its ends name counts once.
+    found = [of(k, least) for k, least in runs] + ([F.array_union(grown(False), grown(True))] if grow else [])
     none = F.array().cast("array<struct<hash:bigint,p:int,k:int>>")
     return hashed.select("doc_id", "h", F.explode(F.concat(*(F.coalesce(f, none) for f in found))).alias("r")).select("doc_id", "h", "r.*")
 
 
-def removed(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
+def removed(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS, grow: bool = True) -> DataFrame:
     """doc_id, h and the sorted places of the sentences to remove, for documents that lose any.
 
     The first grouping combines before the shuffle, so that a run that very many documents share
     sends few rows; the join back to its places is one that Spark splits when a hash is hot.
     """
-    every = spans(docs, text, runs)
+    every = spans(docs, text, runs, grow)
     repeated = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "p")).alias("first")).where("n > 1").drop("n")
     later = every.join(repeated, "hash").where(~F.struct("doc_id", "h", "p").eqNullSafe(F.col("first")))
     return (
@@ -67,9 +98,9 @@ def removed(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ..
     )
 
 
-def deduplicated(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS, grow: bool = True) -> DataFrame:
     """The documents with repeated sentences taken out of the text, n_sentences and n_removed."""
-    gone = removed(docs, text, runs).select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"), F.col("gone").alias("__tl_gone"))
+    gone = removed(docs, text, runs, grow).select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"), F.col("gone").alias("__tl_gone"))
     out = docs.drop("n_sentences", "n_removed").withColumn("__tl_key", F.xxhash64(text))
     out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_h")), "left")
     out = out.withColumn("__tl_p", pieces(text))
@@ -92,7 +123,8 @@ def deduplicated(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from tallyline.session import table
 
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "text")
+    # The SQL that this query is held against knows no longer runs.
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), grow=False).select("doc_id", "n_sentences", "n_removed", "text")
 
 
 #: A document's id alone orders its runs here: in the given tables ids tell the documents apart.

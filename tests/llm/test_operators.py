@@ -80,6 +80,18 @@ def test_repeated_passage_goes_from_all_but_the_first(spark):
     assert all(out[i]["n_removed"] == 3 and "passage" not in out[i]["text"] and f"Own end number {i}." in out[i]["text"] for i in (1, 2, 3))
 
 
+def test_passages_of_short_sentences_go(spark):
+    rng = np.random.default_rng(4)
+    shouts = " ".join(f"{w}!!" for w in rng.choice(["BUY", "NOW", "SALE", "FREE", "GO"], 60))
+    lines = "\n".join(rng.choice(["a", "b", "c", "d"], 60)) + "\n"
+    verse = "\n".join(f"{a} {b} {c}" for a, b, c in rng.choice(["moon", "sea", "tide", "wind"], (20, 3))) + "\n"
+    rows = [(3 * k + i, f"Own start {3 * k + i}.\n{t}\nOwn end {3 * k + i}.") for k, t in enumerate((shouts, lines, verse)) for i in range(3)]
+    rows += [(20, "One.\nTwo.\nThree.\nFour.\nFive."), (21, "One.\nTwo.\nThree.\nFour.\nFive.")]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert out[i] == t if i >= 20 or i % 3 == 0 else out[i].split() == f"Own start {i}. Own end {i}.".split()
+
+
 def test_language_on_odd_rows(odd, empty):
     got = {r["doc_id"]: r for r in language_id.identified(odd.drop("score")).collect()}
     assert got[2]["lang_pred"] == got[3]["lang_pred"] == got[5]["lang_pred"] == "und" and got[2]["score"] == 0
