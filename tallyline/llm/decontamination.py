@@ -5,6 +5,7 @@ more passes over the documents, not more memory. A hit on a hash is compared wor
 
 Defined results for odd rows: a null or empty text (or item) has no words and no windows; an item
 of fewer words than a window is one window; repeated items share their windows and all count;
+windows of an item with a null item_id are hits as others are, but hit_items doesn't name it;
 repeated documents are judged one by one; nulls in other columns and extra columns pass through;
 an empty benchmark hits nothing and empty documents give an empty result.
 """
@@ -144,7 +145,6 @@ def find(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS)
     windows = (
         benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
         .mapInArrow(item_windows, "hash bigint, size int, words binary, item string")
-        .where(F.col("item").isNotNull())
         .groupBy("hash", "size", "words")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     )

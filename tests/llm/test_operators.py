@@ -253,6 +253,14 @@ def test_decontamination_on_odd_rows(spark, odd, empty):
     assert decontamination.clean(odd, bench).columns == odd.columns
 
 
+def test_items_without_an_id_are_hits(spark):
+    docs = spark.createDataFrame([(1, "so the cat ran"), (2, "a lazy dog")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "the cat"), (2, "lazy dog")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["hit_items"], r["contaminated"]) for r in decontamination.find(docs, bench).collect()}
+    assert got == {1: (2, [], True), 2: (2, ["2"], True)}
+    assert decontamination.clean(docs, bench).count() == 0
+
+
 def test_decontamination_in_several_passes(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     one = decontamination.find(docs, bench).select("doc_id", "n_hit", "hit_items")
