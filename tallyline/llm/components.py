@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tallyline.session import forget, written
 
 
-#: Edges for each partition; a table of no more needs no exchange at all.
-PER_PARTITION = 100_000
+#: Edges up to which a round is one task's work, without any exchange.
+ONE_TASK = 100_000
 
 
 def _star(edges: DataFrame, large: bool, spread: bool) -> DataFrame:
     """Hook neighbours onto the least of a vertex's neighbourhood: the larger ones, or the smaller ones and itself.
 
-    Spread, one exchange by vertex serves both the least neighbour and the join back to the neighbours.
+    Spread, the least neighbour is combined before its exchange, and the join back to the neighbours
+    is a plain one, which adaptive execution splits where a vertex has very many.
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sides = both if large else both.where("v < u")
-    sides = sides.repartition("u") if spread else sides.coalesce(1)
+    sides = sides if spread else sides.coalesce(1)
     least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = sides.join(least, "u")
     if large:
@@ -34,7 +35,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     Every round is written to the shared folder, so a lost executor costs that round's rest alone.
     """
     now = written(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").where("u <> v").distinct(), "stars")
-    mark, spread = None, now.count() > PER_PARTITION
+    mark, spread = None, now.count() > ONE_TASK
     for _ in range(most_rounds):
         after = written(_star(_star(now, True, spread), False, spread), "stars")
         forget(now)

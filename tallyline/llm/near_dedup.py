@@ -1,34 +1,43 @@
 """MinHash near-dedup: a chosen-path set similarity join, confirmed on full sets.
 
 Documents with equal sets are one class. Every class starts at the root of each of several
-independent trees and goes to the child that one of its minwise tokens names; nodes with many
-classes choose two further tokens by the path so far and branch again, and small nodes are
-compared pair by pair by sketches. At similarity s a pair shares a node of one tree with
-probability of at least about s (1 - (1 - s)^2) per level below the first, so that eight trees miss
-less than one pair in ten thousand at 0.8.
-
-What the deepest nodes still hold together are classes alike in many tokens. Such a node is cut
-into blocks, all of which get its two pivots. After the first links are confirmed, classes of
-different components are compared again: few candidates are confirmed pair by pair, groups with
-many by one product of their incidence matrix, which is exact. In every such node, a class that is
-outside the node's largest component meets all blocks, so no pair of two components that a node
-holds goes untested; nodes that hold the same classes do this once. Only links that join components
-are given out, but the visits grow with the classes outside times the blocks of their nodes.
+independent trees and goes to the child that one of its minwise tokens names. Small nodes are
+compared pair by pair by sketches. A large node first reads, token by token, the value that most of
+its classes have: such tokens say nothing there, so each class goes on by the first FAN tokens, in
+an order of the node's own, in which it differs from the rest. A child has less than about half of
+its node's classes, and branching goes on until every node is small. Pairs that differ from the
+rest too little to meet further down meet at the node's pivots, the classes that agree most with
+it: all classes of a large node are compared with these, in blocks. So a node's work grows with its
+classes, and nothing depends on how many there are. Nodes that hold the same classes count once.
+
+Recall. A pair of similarity s shares a tree's root with probability s, and a large node's child
+with 1 - (1 - s)^FAN where the node's classes have little in common: eight trees miss less than one
+pair in 100,000 at 0.8. The sketch that comes before the comparison of full sets is the same in all
+trees; its slack of 0.13 is 3.7 standard deviations, which loses about one pair in 10,000 at 0.8 and
+fewer above. Where a node's classes have nearly the least similarity to begin with (texts of one
+template), a pair at 0.8 shares few of the tokens that branch, and more are missed; the README has
+measured figures. Links are confirmed on the full sets, so none is wrong.
+
+Candidates come in two rounds: a forest of each group first; then, between the components that its
+confirmed links make, all pairs, or one product of the group's incidence matrix where they are many.
 
 Defined results for odd rows: a text with fewer words than a shingle is one shingle, a null or
 empty one has none and is linked with nothing; repeated rows are one class and share a component;
-the least doc_id of a component names it, and null ids don't name any; rows with a null id
-aren't kept where another row of their component is; extra columns pass through; an empty table gives an empty result.
+rows with one doc_id and different texts are different documents; the least doc_id of a component
+names it, and null ids don't name any: where all ids of a component are null its name is null and
+all its rows are kept; rows with a null id aren't kept where another row of their component has
+one; extra columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.llm.blocks import Hasher, cuts, flat, runs, texts
@@ -38,18 +47,22 @@ from tallyline.session import forget, let_workers_import, written
 TREES = 8
 #: Minwise tokens of a class; their low bytes are its sketch.
 TOKENS = 128
-#: Children of a node below the first level, classes of a node that is compared, and levels.
-FAN, SMALL, LEVELS = 2, 100, 3
-#: Least similarity, and how far below it a sketch may lie (over three standard deviations).
+#: Children that a class of a large node goes to, classes of a node or block that is compared at once, and pivots of a large node.
+FAN, SMALL, PIVOTS = 3, 100, 100
+#: Least similarity, and how far below it a sketch may lie.
 SIMILARITY, SLACK = 0.8, 0.13
 #: Similarity of a sketch from which a link is likely enough to prefer the partner that other nodes prefer.
 SURE = 0.87
-#: Classes from elsewhere that a block is compared with at once, and columns of a part of the incidence matrix.
-VISITORS, COLUMNS = 400, 1 << 16
+#: Columns of a part of the incidence matrix.
+COLUMNS = 1 << 16
+#: Votes of a node's blocks that are held at once.
+VOTES = 4096
 #: Copies of what the classes of one component all need.
 SALTS = 16
 #: Ids up to which the selection of documents to confirm is broadcast; beyond, it is a shuffled join.
 MAX_BROADCAST = 200_000
+#: A key with more than a thousandth of the rows is hot; there are at most a thousand, so these may be broadcast.
+HOT = 1000
 
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -88,8 +101,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return text[first], h[first]
 
 
+def class_of(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """One hash for each set of the sorted shingle hashes that start at these places."""
+    return mixed(np.add.reduceat(h, at) + mixed(np.bitwise_xor.reduceat(h * STEP, at)) + n.astype(np.uint64)).astype(np.int64)
+
+
 def profiler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, n_shingles, the class of the set (null without any), and its minwise tokens."""
+    """doc_id, the row's key, n_shingles, the class of the set (null without any), and its minwise tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,21 +122,21 @@ def profiler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 if len(some):
                     for k in range(TOKENS):
                         tokens[:, k] = np.minimum.reduceat((((h ^ MASKS[k]) * ODDS[k]) >> np.uint64(32)).astype(np.uint32), at)
-                    sums = mixed(np.add.reduceat(h, at) + mixed(np.bitwise_xor.reduceat(h * STEP, at)) + n[some].astype(np.uint64))
                 where = np.full(j - i, -1)
                 where[some] = np.arange(len(some))
                 valid = where >= 0
                 classes = np.zeros(j - i, np.int64)
                 if len(some):
-                    classes[valid] = sums.astype(np.int64)
+                    classes[valid] = class_of(h, at, n[some])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[i:j].cast(pa.int64()),
+                        batch.column("key")[i:j],
                         pa.array(n, pa.int64()),
                         pa.array(classes, mask=~valid),
                         pa.array([tokens[w].tobytes() if w >= 0 else None for w in where.tolist()], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "class", "tokens"],
+                    names=["doc_id", "key", "n_shingles", "class", "tokens"],
                 )
 
     return run
@@ -141,53 +159,112 @@ def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.concat_arrays([batch.column("class")] * TREES)], names=["node", "class"])
 
 
-def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per run of a node's rows and token, the middle value and its count: a value that most rows have is the middle one."""
     for batch in batches:
-        tokens, node = _tokens(batch), batch.column("node").to_numpy().astype(np.uint64)
-        chosen = (mixed(node) % np.uint64(TOKENS)).astype(np.int64)
-        away = 1 + (mixed(node + STEP) % np.uint64(TOKENS - 1)).astype(np.int64)
-        out = np.concatenate([_children(node, tokens, (chosen + k * away) % TOKENS) for k in range(FAN)])
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.concat_arrays([batch.column("class")] * FAN)], names=["node", "class"])
+        tokens, node = _tokens(batch), batch.column("node").to_numpy()
+        cut = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        rows = []
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(node)], strict=True):
+            middle = np.sort(tokens[a:b], axis=0)[(b - a) // 2]
+            rows.append((int(node[a]), b - a, middle.tobytes(), (tokens[a:b] == middle).sum(0).astype("<u8").tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["node", "n", "values", "counts"])
+
 
+def _elected(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The middle value of each token by weight, and its count."""
+    order = np.argsort(values, axis=0, kind="stable")
+    v, c = np.take_along_axis(values, order, 0), np.take_along_axis(counts, order, 0)
+    at = (np.cumsum(c, axis=0) * np.uint64(2) < c.sum(0)).sum(0)
+    middle = v[np.minimum(at, len(v) - 1), np.arange(TOKENS)]
+    return middle, np.where(values == middle, counts, np.uint64(0)).sum(0)
+
+
+def elections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From votes sorted by node: each token's value that more than half of the node's rows have, with a bit above it; else 0."""
+    now, n, held = None, 0, ([], [])
+
+    def result() -> pa.RecordBatch:
+        v, c = _elected(np.stack(held[0]), np.stack(held[1]))
+        common = np.where(2 * c.astype(np.int64) > n, v.astype("<u8") | np.uint64(1 << 32), np.uint64(0))
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([common.tobytes()], pa.binary())], names=["node", "common"])
+
+    for batch in batches:
+        for node, m, values, counts in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "values", "counts")), strict=True):
+            if node != now:
+                if now is not None:
+                    yield result()
+                now, n, held = node, 0, ([], [])
+            n += m
+            held[0].append(np.frombuffer(values, "<u4"))
+            held[1].append(np.frombuffer(counts, "<u8"))
+            if len(held[0]) >= VOTES:
+                v, c = _elected(np.stack(held[0]), np.stack(held[1]))
+                held = ([v], [c])
+    if now is not None:
+        yield result()
 
-def with_sizes(rows: DataFrame) -> DataFrame:
-    """(node, class, n) of the rows whose node has n > 1 classes.
 
-    Nodes with more than a thousandth of all rows are fewer than a thousand, so these may be
-    broadcast: their rows stay where they are, and no task gets a large node whole.
+def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each row of a large node: in how many tokens it has what most have, and its children by the first tokens in which it doesn't."""
+    for batch in batches:
+        tokens, node = _tokens(batch), batch.column("node").to_numpy().astype(np.uint64)
+        data, offsets = flat(batch.column("common").cast(pa.large_binary()))
+        common = data[offsets[0] : offsets[-1]].view("<u8").reshape(len(node), TOKENS)
+        same = (tokens | np.uint64(1 << 32)) == common
+        order = mixed(node[:, None] * STEP + np.arange(TOKENS, dtype=np.uint64)) >> np.uint64(1)
+        order[same] = np.uint64(2**64 - 1)
+        first = np.argpartition(order, FAN, axis=1)[:, :FAN]
+        away = ~np.take_along_axis(same, first, 1)
+        children = np.stack([_children(node, tokens, first[:, k]) for k in range(FAN)], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(away.sum(1))]), pa.int32()), pa.array(children[away]))
+        columns = [batch.column("node"), batch.column("block"), batch.column("blocks"), batch.column("class"), pa.array(same.sum(1), pa.int32()), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "block", "blocks", "class", "agree", "children"])
+
+
+def with_sizes(rows: DataFrame, scratch: list[DataFrame]) -> DataFrame:
+    """(node, class, n) of the rows whose node has n > 1 classes; of nodes that hold the same classes one stays. Tables written go to scratch.
+
+    Rows of hot nodes stay where they are, so that no task gets such a node whole.
     """
-    counts = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-    hot = counts.where(F.col("n") > max(10 * SMALL, rows.count() // 1000))
-    marked = rows.join(F.broadcast(hot), "node", "left")
-    rest = marked.where(F.col("n").isNull()).drop("n").join(counts, "node")
-    return marked.where(F.col("n").isNotNull()).select("node", "class", "n").union(rest.select("node", "class", "n"))
-
-
-def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """(node, block, class) of the small nodes, of the blocks of those too large at the last level, and (node, block, class, blocks) of these without pivots."""
-    done, frontier = [], classes.mapInArrow(roots, "node bigint, class bigint")
-    for level in range(1, LEVELS + 1):
-        sized = written(with_sizes(written(frontier, "frontier")), "nodes")
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
+    counts = rows.groupBy("node").agg(*members).where("n > 1")
+    counts = written(counts.select("node", "n", (F.min("node").over(Window.partitionBy("n", "x", "y")) == F.col("node")).alias("keep")), "sizes")
+    scratch.append(counts)
+    cut = max(10 * SMALL, rows.count() // HOT)
+    marked = rows.join(F.broadcast(counts.where(F.col("n") > cut)), "node", "left")
+    rest = marked.where(F.col("n").isNull()).select("node", "class").join(counts.where(F.col("keep") & (F.col("n") <= cut)), "node")
+    return marked.where("keep").select("node", "class", "n").union(rest.select("node", "class", "n"))
+
+
+def leaves(classes: DataFrame) -> DataFrame:
+    """(node, block, class) of the groups to compare: small nodes, and blocks of large ones, each with its node's pivots."""
+    done, scratch, frontier = [], [], classes.mapInArrow(roots, "node bigint, class bigint")
+    while True:
+        frontier = written(frontier, "frontier")
+        sized = written(with_sizes(frontier, scratch), "nodes")
+        scratch += [frontier, sized]
         done.append(sized.where(F.col("n") <= SMALL).select("node", F.lit(0).alias("block"), "class"))
-        hot = sized.where(F.col("n") > SMALL)
-        if hot.isEmpty():
-            return _all(done), None, None
-        if level < LEVELS:
-            frontier = hot.select("node", "class").join(classes.select("class", "tokens"), "class").select("node", "class", "tokens").mapInArrow(branches, "node bigint, class bigint")
-    blocks = F.ceil(F.col("n") / SMALL).cast("int")
-    large = hot.select("node", "class", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
-    order = F.struct(F.xxhash64("class", F.lit(1)), "class")
-    pivots = large.groupBy("node").agg(F.min(order)["class"].alias("a"), F.max(order)["class"].alias("b"), F.first("blocks").alias("blocks"))
-    pair = pivots.select("node", F.explode(F.array("a", "b")).alias("class"), "blocks")
-    every = pair.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class")
-    return _all(done), large.select("node", "block", "class").union(every).distinct(), large
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        large = sized.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        large = large.select("node", "class", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks"))
+        large = large.withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
+        known = written(large.join(classes.select("class", "tokens"), "class").repartition("node", "block").sortWithinPartitions("node", "block"), "large")
+        cast = known.select("node", "tokens").mapInArrow(votes, "node bigint, n bigint, values binary, counts binary")
+        common = cast.repartition("node").sortWithinPartitions("node").mapInArrow(elections, "node bigint, common binary")
+        spans = known.select("node", "block").distinct()
+        judged = known.join(spans.join(common, "node"), ["node", "block"]).select("node", "block", "blocks", "class", "tokens", "common")
+        judged = written(judged.mapInArrow(branches, "node bigint, block int, blocks int, class bigint, agree int, children array<bigint>"), "judged")
+        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), F.xxhash64("class"), "class"))
+        pivots = judged.select("node", "blocks", "class", "agree").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+        everywhere = pivots.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class")
+        done.append(written(judged.select("node", "block", "class").union(everywhere).distinct(), "blocks"))
+        scratch += [known, judged, done[-1]]
+        frontier = judged.select(F.explode("children").alias("node"), "class")
+    groups = written(reduce(DataFrame.union, done), "groups")
+    forget(*scratch)
+    return groups
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
@@ -295,68 +372,52 @@ def candidates(groups: DataFrame, classes: DataFrame, labels: DataFrame | None,
 
 
 def multiplier(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links of sorted (node, block, part) groups between two labels, by the product of incidence matrices.
-
-    Rows at home are compared with all rows, visitors with those at home alone. A forest over the
-    labels is given out.
-    """
+    """Links of sorted (node, block) groups between two labels, by the product of incidence matrices: a forest over the labels."""
 
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = [rows.column(k).to_numpy() for k in ("node", "block", "part")]
+        keys = [rows.column(k).to_numpy() for k in ("node", "block")]
         new = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
         for a, b in zip(new, np.append(new[1:], rows.num_rows), strict=True):
             yield from multiply(rows.slice(a, b - a))
 
     def multiply(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        cls, label, home = (rows.column(c).to_numpy() for c in ("class", "label", "home"))
+        cls, label = (rows.column(c).to_numpy() for c in ("class", "label"))
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
         size = np.array([len(x) for x in sets])
         _, column = np.unique(np.concatenate(sets), return_inverse=True)
         row = np.repeat(np.arange(len(sets)), size)
         order = np.argsort(column, kind="stable")
         column, row = column[order], row[order]
-        at_home = np.flatnonzero(home)
-        both = np.zeros((len(at_home), len(sets)), np.float32)
+        both = np.zeros((len(sets), len(sets)), np.float32)
         for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
             i, j = np.searchsorted(column, [low, low + COLUMNS])
             part = np.zeros((len(sets), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
             part[row[i:j], column[i:j] - low] = 1
-            both += part[at_home] @ part.T
+            both += part @ part.T
         n = np.rint(both).astype(np.int64)
-        x, y = np.nonzero((100 * n >= percent * (size[at_home][:, None] + size[None, :] - n)) & (label[at_home][:, None] != label[None, :]))
-        x = at_home[x]
+        x, y = np.nonzero((100 * n >= percent * (size[:, None] + size[None, :] - n)) & (label[:, None] < label[None, :]))
         keep = forest(x, y, label)
         u, v = np.minimum(cls[x[keep]], cls[y[keep]]), np.maximum(cls[x[keep]], cls[y[keep]])
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return lambda batches: grouped(batches, ("node", "block", "part"), work)
-
-
-def visits(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, block, part, class, label, home): the blocks of the large nodes, with the classes that aren't of a node's main component as visitors."""
-    members = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(38,0)")).alias("s"))
-    marked = labelled(large.join(members.groupBy("n", "s").agg(F.min("node").alias("node")).select("node"), "node", "left_semi"), labels)
-    main = marked.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"), F.first("blocks").alias("blocks")).groupBy("node").agg(
-        F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.first("blocks").alias("blocks")
-    )
-    main = main.select("node", F.col("m.label").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / VISITORS).cast("int").alias("parts"), "blocks").where("parts > 0")
-    main = main.select("node", "main", "parts", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    known = marked.join(main, ["node", "block"])  # by block, so that no task gets a large node whole
-    at_home = known.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "class", "label", F.lit(True).alias("home"))
-    outside = known.where("label <> main").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    away = outside.select("node", "block", "part", "class", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("__tl_b")).where("__tl_b <> block")
-    return at_home.union(away.select("node", F.col("__tl_b").alias("block"), "part", "class", "label", F.lit(False).alias("home")))
+    return lambda batches: grouped(batches, ("node", "block"), work)
 
 
 def setter(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(class, set) of the texts whose set is the class asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(texts(batch))
+            asked = batch.column("class").to_numpy()
             for i, j in cuts(offsets):
                 text, h = shingles(data, offsets[i : j + 1], size)
-                ends = np.searchsorted(text, np.arange(j - i + 1))
-                sets = [h[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("class")[i:j], pa.array(sets, pa.binary())], names=["class", "set"])
+                some, at, n = np.unique(text, return_index=True, return_counts=True)
+                if not len(some):
+                    continue
+                right = class_of(h, at, n) == asked[i + some]
+                sets = [h[a : a + k].tobytes() for a, k in zip(at[right].tolist(), n[right].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[i + some][right]), pa.array(sets, pa.binary())], names=["class", "set"])
 
     return run
 
@@ -374,12 +435,18 @@ def confirmer(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+def row_key() -> Column:
+    """Tells rows apart by id and text; it may be that two have the same, so what is found by it is looked at again."""
+    return F.xxhash64("doc_id", "text")
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """(class, set) of the classes asked for; one document stands for each, and no other has its set made."""
     ids = written(ids, "ids")
     few = ids.count() <= MAX_BROADCAST
-    asked = members.join(F.broadcast(ids) if few else ids, "class").select("class", F.col("least").alias("__tl_id"))
-    chosen = docs.select(F.col("doc_id").alias("__tl_id"), "text").join(F.broadcast(asked) if few else asked, "__tl_id").select("class", "text")
+    asked = classes.select("class", F.col("key").alias("__tl_key")).join(F.broadcast(ids) if few else ids, "class")
+    keyed = docs.select(row_key().alias("__tl_key"), "text")
+    chosen = keyed.join(F.broadcast(asked) if few else asked, "__tl_key").select("class", "text")
     return written(chosen.mapInArrow(setter(size), "class bigint, set binary").dropDuplicates(["class"]), "sets")
 
 
@@ -393,63 +460,74 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("u", "v")).alias("class")).where(F.col("class").isNotNull()).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class, n_shingles, component_id and kept of every row of docs (doc_id, text).
-
-    The default shingles are of five words.
-    """
-    let_workers_import(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    profiles = written(docs.mapInArrow(profiler(size), "doc_id bigint, n_shingles bigint, class bigint, tokens binary"), "profiles")
-    grouped = profiles.where(F.col("class").isNotNull()).groupBy("class")
-    classes = written(
-        grouped.agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes"
-    )
-    rows = profiles.select("doc_id", "class", "n_shingles")
-    small, blocks, large = leaves(classes)
-    groups = small if blocks is None else small.union(blocks)
+def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, label) of the classes with a confirmed link: the least class that each reaches."""
+    groups = leaves(classes)
     first = written(candidates(groups, classes, None, similarity).select("u", "v"), "pairs")
     sets = sets_of(ends(first), docs, classes, size)
     links = written(confirmed(first, sets, similarity), "links")
     forget(sets)
     labels = written(components(links), "labels")
-    second = written(candidates(small, classes, labels, similarity), "pairs")
+    second = written(candidates(groups, classes, labels, similarity), "pairs")
     pairs = second.where(F.col("v").isNotNull()).select("u", "v").join(first, ["u", "v"], "left_anti")
-    dense = second.where(F.col("v").isNull()).select("node", "block", F.lit(0).alias("part"), F.col("u").alias("class"))
-    crowded = large is not None or not dense.isEmpty()
-    dense = labelled(dense, labels).select("node", "block", "part", "class", "label", F.lit(True).alias("home"))
-    if large is not None:
-        dense = written(dense.union(visits(large, labels)), "visits")
-    ids = ends(pairs)
-    sets = sets_of(ids.union(dense.select("class")).distinct() if crowded else ids, docs, classes, size)
-    more = confirmed(pairs, sets, similarity)
-    if crowded:
-        full = dense.join(sets, "class").repartition("node", "block", "part").sortWithinPartitions("node", "block", "part", "class")
-        more = more.union(full.mapInArrow(multiplier(round(100 * similarity)), "u bigint, v bigint"))
+    dense = labelled(second.where(F.col("v").isNull()).select("node", "block", F.col("u").alias("class")), labels)
+    sets = sets_of(ends(pairs).union(dense.select("class")).distinct(), docs, classes, size)
+    full = dense.join(sets, "class").repartition("node", "block").sortWithinPartitions("node", "block", "class")
+    more = confirmed(pairs, sets, similarity).union(full.mapInArrow(multiplier(round(100 * similarity)), "u bigint, v bigint"))
     more = written(more, "links")
-    forget(sets)
-    if not more.isEmpty():
-        labels = written(components(more.union(labels.select("u", F.col("label").alias("v")))), "labels")
+    forget(sets, groups, first, second)
+    if more.isEmpty():
+        return labels
+    return written(components(more.union(labels.select("u", F.col("label").alias("v")))), "labels")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, key, class, n_shingles, component_id and kept of every row of docs (doc_id, text).
+
+    The default shingles are of five words.
+    """
+    let_workers_import(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    profiles = docs.withColumn("key", row_key()).mapInArrow(profiler(size), "doc_id bigint, key bigint, n_shingles bigint, class bigint, tokens binary")
+    profiles = written(profiles, "profiles")
+    grouped = profiles.where(F.col("class").isNotNull()).groupBy("class")
+    whole = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")]
+    classes = written(grouped.agg(*whole), "classes")
+    rows = profiles.select("doc_id", "key", "class", "n_shingles")
+    labels = linked_classes(docs, classes, size, similarity)
     # A component may hold a third of all classes: its name is copied to salts, over which its classes are dealt.
     linked = labels.withColumnRenamed("u", "class").join(classes.select("class", "least"), "class")
     names = linked.groupBy("label").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = linked.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
     by_class = dealt.join(names, ["label", "salt"]).select("class", "component_id")
-    named = classes.select("class", "least").join(by_class, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.join(named, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = classes.select("class", "least", "n").join(by_class, "class", "left")
+    named = written(named.select("class", "n", F.coalesce("component_id", "least").alias("component_id")), "named")
+    # A class may hold a third of all rows: hot ones are told to every task, and their rows stay where they are.
+    cut = max(HOT, named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT)
+    hot = named.where(F.col("n") > cut).select("class", F.struct("component_id").alias("hot"))
+    rest = named.where(F.col("n") <= cut).select("class", F.col("component_id").alias("cold"))
+    marked = rows.join(F.broadcast(hot), "class", "left")
+    known = marked.where(F.col("hot").isNotNull()).select("doc_id", "key", "class", "n_shingles", "hot.component_id")
+    other = marked.where(F.col("hot").isNull()).select("doc_id", "key", "class", "n_shingles")
+    own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("cold"))
+    out = known.union(other.join(rest, "class", "left").select("doc_id", "key", "class", "n_shingles", own.alias("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.withColumn("kept", kept).select("doc_id", "class", "n_shingles", "component_id", "kept")
+    return out.withColumn("kept", kept).select("doc_id", "key", "class", "n_shingles", "component_id", "kept")
 
 
 def deduplicated(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each component, the one with the least doc_id; texts without shingles all stay.
 
-    Of repeated rows with that doc_id and one text a single one stays.
+    Of repeated rows with that doc_id and one text any single one stays; other texts of that doc_id
+    stay where they are their own component's first.
     """
-    found = written(near_duplicates(docs, size, similarity).where("kept").select(F.col("doc_id").alias("__tl_id"), "class"), "kept")
-    kept = docs.join(found.select("__tl_id").distinct(), F.col("doc_id").eqNullSafe(F.col("__tl_id")), "left_semi")
-    twice = found.where(F.col("class").isNotNull()).groupBy("__tl_id", "class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    found = near_duplicates(docs, size, similarity).where("kept").groupBy(F.col("key").alias("__tl_key"))
+    found = written(found.agg(F.count("class").alias("__tl_n")), "kept")
+    kept = docs.withColumn("__tl_key", row_key()).join(found, "__tl_key").select(*(f"`{c}`" for c in docs.columns), "__tl_key", "__tl_n")
+    if found.where("__tl_n > 1").isEmpty():
+        return kept.drop("__tl_key", "__tl_n")
+    once = kept.where("__tl_n > 1").dropDuplicates(["__tl_key"])
+    return kept.where("__tl_n <= 1").union(once).drop("__tl_key", "__tl_n")
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -195,25 +195,68 @@ def test_near_dedup_equals_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
-def test_near_dedup_of_a_large_group_of_near_copies(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    base = [f"w{k}" for k in range(120)]
-    rows = [(i, " ".join(x if rng.random() > p else f"x{rng.integers(0, 99999)}" for x in base)) for i, p in enumerate(rng.uniform(0, 0.12, 300))]
+def near_copies(n, most, words=120, seed=5):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(f"w{k}" if rng.random() > p else f"x{rng.integers(0, 99999)}" for k in range(words))) for i, p in enumerate(rng.uniform(0, most, n))]
+
+
+def template_pairs(n, words=120):
+    """Texts of one template, alike at about 0.75 through it, of which each two are alike at 0.98."""
+    rng, rows = np.random.default_rng(1), []
+    for g in range(n // 2):
+        own = [f"w{k}" if k % 7 else f"x{g}_{k}" for k in range(words)]
+        rows.append((2 * g, " ".join(own)))
+        own[rng.integers(0, words)] = f"z{g}"
+        rows.append((2 * g + 1, " ".join(own)))
+    return rows
+
+
+def components_of(spark, rows, size=2):
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=size).collect()
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got}
+
+
+@pytest.mark.parametrize("rows", [near_copies(300, 0.12), near_copies(400, 0.3, seed=6), template_pairs(400)], ids=["copies", "spread", "template"])
+def test_near_dedup_of_large_nodes(spark, monkeypatch, rows):
     monkeypatch.setattr(near_dedup, "SMALL", 20)
-    monkeypatch.setattr(near_dedup, "VISITORS", 30)
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()
-    want = brute_components(rows, 2, 80)
-    assert sum((r["n_shingles"], r["component_id"]) != want[r["doc_id"]] for r in got) <= 1
-
-
-def test_classes_that_share_no_largest_node_meet(spark):
-    sizes = {10: 3, 20: 3, 30: 2, 31: 2}  # blocks of a node; 31 holds what 30 holds
-    rows = [(n, b, 1000 * n + k, sizes[n]) for n in (10, 20) for b in range(3) for k in range(b, 30, 3)]
-    rows += [(10, 0, 1, 3), (20, 0, 2, 3)] + [(n, b, c, 2) for n in (30, 31) for b, c in ((0, 1), (1, 2), (0, 10000), (1, 10001))]
-    large = spark.createDataFrame(rows, "node long, block int, class long, blocks int")
-    labels = spark.createDataFrame([(1000 * n + k, 1000 * n) for n in (10, 20) for k in range(30)], "u long, label long")
-    met = near_dedup.visits(large, labels).where("class IN (1, 2)").groupBy("node", "block", "part").agg(F.countDistinct("class").alias("n"), F.max("home").alias("home"))
-    assert {r["node"] for r in met.where("n = 2 AND home").collect()} == {30}
+    monkeypatch.setattr(near_dedup, "PIVOTS", 20)
+    assert components_of(spark, rows) == brute_components(rows, 2, 80)
+
+
+def test_near_dedup_with_shingles_of_five_words(spark):
+    rows = near_copies(120, 0.06, seed=7) + [(200 + i, t) for i, t in near_copies(60, 0.3, seed=8)]
+    assert components_of(spark, rows, 5) == brute_components(rows, 5, 80)
+
+
+def test_rows_of_a_template_grow_in_proportion(spark, monkeypatch):
+    from tallyline.session import written
+
+    sizes = []
+    for n in (400, 800):
+        made = []
+
+        def counted(df, name, made=made):
+            out = written(df, name)
+            if name in ("frontier", "nodes", "blocks", "groups", "pairs"):
+                made.append(out.count())
+            return out
+
+        monkeypatch.setattr(near_dedup, "written", counted)
+        components_of(spark, template_pairs(n))
+        sizes.append(sum(made))
+    assert sizes[1] < 3.2 * sizes[0]  # a product of the group with itself would give 4 times the rows
+
+
+def test_near_dedup_of_ids_with_several_texts_and_of_null_ids(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b + " more"), (8, "c " * 3), (None, " ".join(f"n{k}" for k in range(40))), (9, " ".join(f"n{k}" for k in range(40)) + " more"), (None, "alone and only without an id"), (9, "other text of nine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df, size=2).collect()}
+    assert got[7, 40] == (5, False) and got[None, 39] == (9, False) and got[9, 40] == (9, True) and got[None, 5] == (None, True)
+    kept = sorted((str(r["doc_id"]), r["text"][:3]) for r in near_dedup.deduplicated(df, size=2).collect())
+    assert kept == [("5", "a0 "), ("5", "b0 "), ("8", "c c"), ("9", "n0 "), ("9", "oth"), ("None", "alo")]
+    moved = spark.createDataFrame([(3, a), (5, a), (5, "quite another text of the same id")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][:3]) for r in near_dedup.deduplicated(moved, size=2).collect()) == [(3, "a0 "), (5, "qui")]
 
 
 def test_near_dedup_on_odd_rows(odd, empty):
