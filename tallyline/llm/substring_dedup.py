@@ -1,15 +1,20 @@
-"""Substring dedup: runs of consecutive sentences, hashed and joined over the whole corpus.
+"""Substring dedup: every run of consecutive sentences hashed, joined over the whole corpus, repeats taken out.
 
-A run counts from a length on that chance doesn't repeat: three sentences of 80 characters, two
-of 140, or one of 240. Where three have less, the shortest longer run that starts there and has 80
-characters counts, or 100 with one more for each sentence, which no passage of over 50 words is
-below; the same for the shortest that ends there. Of equal runs the first in order of (doc_id, text hash, place) stays; all
-sentences that any later one covers go, and what stands between the rest is kept as it was.
+Every run of SIZE consecutive sentences of every document is hashed, short or long, and all equal
+runs meet. Of equal runs the first in order of (doc_id, text hash, place) stays. Sentences that a
+later one covers are marked; marked sentences in a row are a span, so a repeated passage of any
+length of SIZE sentences or more is one span, whole. A span goes if it has LEAST_WORDS words: fewer
+are stock phrases that texts share by chance. What stands between the rest is kept as it was.
+Passages within one document that repeat go as those across documents do.
+
+Runs are told apart by two independent 64-bit hashes, 128 bits in all. A passage that is one
+sentence is no run of several, and stays.
 
 Defined results for odd rows: a null or empty text has no sentences and stays as it is; rows with
 equal doc_id and text are one document and get the same result; rows with one doc_id and different
-texts are different documents, in order of their texts' hashes; extra columns pass through; an
-empty table gives an empty result.
+texts are different documents, in order of their texts' hashes, and null ids come first; columns
+n_sentences and n_removed of the caller are replaced, other extra columns pass through; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of a run, and the characters that it must have at least.
-RUNS = ((1, 240), (2, 140), (3, 80))
-#: Characters from which a run of more sentences counts: of the sentences alone, or with one more for each.
-GROWN, GROWN_APART = 80, 100
+#: Sentences of a run, and words that a span has at least.
+SIZE, LEAST_WORDS = 2, 40
 #: A sentence ends after a full stop, exclamation or question mark before white space, and after a line.
 BOUNDARY = r"(?<=[.!?])(?=[\x20\x09-\x0D])|(?<=\n)"
 BLANK = " \t\n\x0b\x0c\r"
@@ -30,114 +33,84 @@ def pieces(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), BOUNDARY)
 
 
-def sentences(docs: DataFrame, text: str) -> DataFrame:
-    """doc_id, the text's hash, and s: the trimmed sentences with any characters, with the places of their pieces."""
-    trimmed = F.transform(pieces(text), lambda p, i: F.struct(i.alias("i"), F.btrim(p, F.lit(BLANK)).alias("t")))
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.filter(trimmed, lambda s: s["t"] != "").alias("s"))
-
-
-def spans(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS, grow: bool = True) -> DataFrame:
-    """One row per run that is long enough: hash, doc_id, h, and the run's pieces at (first first, number of sentences k, place p)."""
-    s = sentences(docs, text)
-    hashed = s.select("doc_id", "h", F.transform("s", lambda x: F.struct(F.xxhash64(x["t"]).alias("x"), F.length(x["t"]).alias("n"))).alias("s"))
-
-    def of(k: int, least: int) -> Column:
-        def run(i: Column) -> Column:
-            each = [F.get("s", i + j) for j in range(k)]
-            long_enough = sum((x["n"] for x in each[1:]), each[0]["n"]) >= least
-            return F.when(long_enough, F.struct(F.xxhash64(F.lit(k), *(x["x"] for x in each)).alias("hash"), i.alias("p"), F.lit(k).alias("k")))
-
-        at = F.transform(F.sequence(F.lit(0), F.size("s") - k), run)
-        return F.when(F.size("s") >= k, F.filter(at, lambda x: x.isNotNull()))
-
-    def grown(back: bool) -> Column:
-        """The shortest run of more sentences than any of runs has, from or up to each sentence where those fall short."""
-        most, least = runs[-1]
-
-        def run(i: Column) -> Column:
-            def length(j: Column) -> Column:
-                return F.get("s", i - j if back else i + j)["n"]
+def text_key(text: str) -> Column:
+    return F.xxhash64(text)
 
-            def enough(a: Column) -> Column:
-                return (a["n"] >= GROWN) | (a["n"] + a["k"] >= GROWN_APART)
 
-            first = sum((length(F.lit(j)) for j in range(1, most)), length(F.lit(0)))
-            start = F.struct(F.lit(most).alias("k"), first.alias("n"))
-            last = F.aggregate(
-                F.sequence(F.lit(most), F.lit(GROWN_APART // 2 - 1)), start,
-                lambda a, j: F.when((a["k"] > most) & enough(a), a).otherwise(F.struct((a["k"] + 1).alias("k"), (a["n"] + length(j)).alias("n"))),
-            )
-            k = F.when(enough(last), last["k"])
-            p = i - k + 1 if back else i
-            hashed_run = F.xxhash64(k, F.transform(F.slice("s", p + 1, k), lambda x: x["x"]))
-            return F.when((first < least) & k.isNotNull(), F.struct(hashed_run.alias("hash"), p.alias("p"), k.alias("k")))
+def runs(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
+    """doc_id, the text's key h, and per run of so many sentences its two hashes and its place p among the sentences."""
+    trimmed = F.filter(F.transform(pieces(text), lambda p: F.btrim(p, F.lit(BLANK))), lambda t: t != "")
+    hashed = docs.select("doc_id", text_key(text).alias("h"), F.transform(trimmed, lambda t: F.struct(F.xxhash64(t).alias("x"), F.xxhash64(F.lit(1), t).alias("y"))).alias("s"))
 
-        low, high = (most, F.size("s") - 1) if back else (0, F.size("s") - most - 1)
-        at = F.transform(F.sequence(F.lit(low), high), run)
-        return F.when(F.size("s") > most, F.filter(at, lambda x: x.isNotNull()))
+    def run(i: Column) -> Column:
+        each = [F.get("s", i + j) for j in range(size)]
+        return F.struct(F.xxhash64(*(s["x"] for s in each)).alias("x"), F.xxhash64(*(s["y"] for s in each)).alias("y"), i.alias("p"))
 
-    # A run that both of its ends name counts once.
-    found = [of(k, least) for k, least in runs] + ([F.array_union(grown(False), grown(True))] if grow else [])
-    none = F.array().cast("array<struct<hash:bigint,p:int,k:int>>")
-    return hashed.select("doc_id", "h", F.explode(F.concat(*(F.coalesce(f, none) for f in found))).alias("r")).select("doc_id", "h", "r.*")
+    long = hashed.where(F.size("s") >= size)
+    return long.select("doc_id", "h", F.explode(F.transform(F.sequence(F.lit(0), F.size("s") - size), run)).alias("r")).select("doc_id", "h", "r.*")
 
 
-def removed(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS, grow: bool = True) -> DataFrame:
-    """doc_id, h and the sorted places of the sentences to remove, for documents that lose any.
+def marked(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
+    """doc_id, h and starts: the places of the runs that aren't the first of their kind, for documents that have any.
 
     The first grouping combines before the shuffle, so that a run that very many documents share
     sends few rows; the join back to its places is one that Spark splits when a hash is hot.
     """
-    every = spans(docs, text, runs, grow)
-    repeated = every.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "p")).alias("first")).where("n > 1").drop("n")
-    later = every.join(repeated, "hash").where(~F.struct("doc_id", "h", "p").eqNullSafe(F.col("first")))
-    return (
-        later.groupBy("doc_id", "h")
-        .agg(F.collect_set(F.struct("p", "k")).alias("runs"))
-        .select("doc_id", "h", F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["p"], r["p"] + r["k"] - 1)))).alias("gone"))
-    )
-
-
-def deduplicated(docs: DataFrame, text: str = "text", runs: tuple[tuple[int, int], ...] = RUNS, grow: bool = True) -> DataFrame:
-    """The documents with repeated sentences taken out of the text, n_sentences and n_removed."""
-    gone = removed(docs, text, runs, grow).select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"), F.col("gone").alias("__tl_gone"))
-    out = docs.drop("n_sentences", "n_removed").withColumn("__tl_key", F.xxhash64(text))
-    out = out.join(gone, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_h")), "left")
-    out = out.withColumn("__tl_p", pieces(text))
+    every = runs(docs, text, size)
+    repeated = every.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "h", "p")).alias("first")).where("n > 1").drop("n")
+    later = every.join(repeated, ["x", "y"]).where(~F.struct("doc_id", "h", "p").eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "h").agg(F.collect_set("p").alias("starts"))
+
+
+def spans(starts: str, words: str, size: int, least: int) -> Column:
+    """Spans (first, last) of marked sentences in a row that have enough words, from the runs' starts and each sentence's words."""
+    at = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + size - 1)))))
+    before, after = F.concat(F.array(F.lit(-2)), at), F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.lit(-2)))
+    first = F.filter(F.zip_with(at, F.slice(before, F.lit(1), F.size(at)), lambda p, q: F.when(p != q + 1, p)), lambda p: p.isNotNull())
+    last = F.filter(F.zip_with(at, after, lambda p, q: F.when(q != p + 1, p)), lambda p: p.isNotNull())
+    counted = lambda s: F.aggregate(F.slice(words, s["a"] + 1, s["z"] - s["a"] + 1), F.lit(0), lambda n, w: n + w)
+    return F.filter(F.zip_with(first, last, lambda a, z: F.struct(a.alias("a"), z.alias("z"))), lambda s: counted(s) >= least)
+
+
+def deduplicated(docs: DataFrame, text: str = "text", size: int = SIZE, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The documents with repeated spans taken out of the text, n_sentences and n_removed."""
+    found = marked(docs, text, size).select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"), F.col("starts").alias("__tl_starts"))
+    out = docs.drop("n_sentences", "n_removed").withColumn("__tl_key", text_key(text))
+    out = out.join(found, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_h")), "left")
+    trimmed = F.transform("__tl_p", lambda p: F.btrim(p, F.lit(BLANK)))
     # Places count the pieces with characters alone; what has none stays.
-    at = F.filter(F.transform("__tl_p", lambda p, i: F.when(F.btrim(p, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull())
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__tl_p") - 1), F.transform("__tl_gone", lambda n: F.get("__tl_at", n)))
-    return (
-        out.withColumn("__tl_at", at)
-        .withColumns(
-            {
-                "n_sentences": F.size("__tl_at").cast("long"),
-                "n_removed": F.coalesce(F.size("__tl_gone"), F.lit(0)).cast("long"),
-                text: F.when(F.col("__tl_gone").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("__tl_p", i)), "")).otherwise(F.col(text)),
-            }
-        )
-        .drop("__tl_key", "__tl_id", "__tl_h", "__tl_gone", "__tl_p", "__tl_at")
-    )
+    at = F.filter(F.transform(trimmed, lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())
+    words = F.transform(F.filter(trimmed, lambda t: t != ""), lambda t: F.size(F.split(t, r"[\x20\x09-\x0D]+")))
+    gone = F.flatten(F.transform("__tl_spans", lambda s: F.transform(F.sequence(s["a"], s["z"]), lambda n: F.get("__tl_at", n))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__tl_p") - 1), "__tl_gone")
+    some = F.col("__tl_starts").isNotNull()
+    out = out.withColumn("__tl_p", pieces(text)).withColumn("__tl_at", at).withColumn("__tl_words", F.when(some, words))
+    out = out.withColumn("__tl_spans", F.when(some, spans("__tl_starts", "__tl_words", size, least_words))).withColumn("__tl_gone", gone)
+    return out.withColumns(
+        {
+            "n_sentences": F.size("__tl_at").cast("long"),
+            "n_removed": F.coalesce(F.size("__tl_gone"), F.lit(0)).cast("long"),
+            text: F.when(F.size("__tl_gone") > 0, F.array_join(F.transform(kept, lambda i: F.get("__tl_p", i)), "")).otherwise(F.col(text)),
+        }
+    ).drop("__tl_key", "__tl_id", "__tl_h", "__tl_starts", "__tl_p", "__tl_at", "__tl_words", "__tl_spans", "__tl_gone")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from tallyline.session import table
 
-    # The SQL that this query is held against knows no longer runs.
-    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), grow=False).select("doc_id", "n_sentences", "n_removed", "text")
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "text")
 
 
 #: A document's id alone orders its runs here: in the given tables ids tell the documents apart.
-ORACLE = r"""
+ORACLE = rf"""
 WITH pieces AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1)) AS ps FROM documents),
 p AS (SELECT doc_id, i, ps[i] AS piece, trim(ps[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM pieces)),
-s AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM p WHERE t <> ''),
-w AS (SELECT doc_id, n, t AS t1, lead(t) OVER d AS t2, lead(t, 2) OVER d AS t3 FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
-r AS (SELECT doc_id, n, 1 AS k, t1 AS x FROM w WHERE length(t1) >= 240
-  UNION ALL SELECT doc_id, n, 2, t1 || chr(2) || t2 FROM w WHERE length(t1) + length(t2) >= 140
-  UNION ALL SELECT doc_id, n, 3, t1 || chr(2) || t2 || chr(2) || t3 FROM w WHERE length(t1) + length(t2) + length(t3) >= 80),
-later AS (SELECT doc_id, n, k FROM (SELECT *, row_number() OVER (PARTITION BY k, x ORDER BY doc_id, n) AS c FROM r) WHERE c > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(n, n + k)) AS n FROM later),
+s AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words FROM p WHERE t <> ''),
+w AS (SELECT doc_id, n, t || chr(2) || lead(t) OVER (PARTITION BY doc_id ORDER BY n) AS x FROM s),
+later AS (SELECT doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, n) AS c FROM w WHERE x IS NOT NULL) WHERE c > 1),
+marks AS (SELECT DISTINCT doc_id, unnest(range(n, n + {SIZE})) AS n FROM later),
+islands AS (SELECT doc_id, n, words, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS g FROM marks JOIN s USING (doc_id, n)),
+gone AS (SELECT doc_id, n FROM (SELECT doc_id, n, sum(words) OVER (PARTITION BY doc_id, g) AS all_words FROM islands) WHERE all_words >= {LEAST_WORDS}),
 flags AS (SELECT p.doc_id, p.i, p.piece, s.n IS NOT NULL AS sentence, gone.n IS NOT NULL AS lost FROM p
   LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.n = s.n)
 SELECT f.doc_id, count(*) FILTER (sentence) AS n_sentences, count(*) FILTER (lost) AS n_removed,
