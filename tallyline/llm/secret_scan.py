@@ -1,6 +1,12 @@
 """Secret scans with built-in functions only: patterns, then sliding-window entropy over the rest.
 
-Spans are code points, end exclusive. Defined results for odd rows: a null or empty text has no
+What pattern spans leave over of a run of token characters is scanned if it is as long as a window
+and of one of the classes: hexadecimal digits, base-64 characters of both cases with digits, or one
+case with several digits. Strings without a digit are taken for words and aren't scanned; the
+allow-list excuses a piece that holds one of its words.
+
+Places in arrays are summed and looked up in blocks, so that a text with very many matches takes
+time nearly in proportion to them. Spans are code points, end exclusive. Defined results for odd rows: a null or empty text has no
 spans; nulls in other columns and extra columns pass through; repeated rows are scanned one by
 one; spans that start together are ordered by kind as listed; an empty table gives an empty one.
 """
@@ -8,6 +14,7 @@ one; spans that start together are ordered by kind as listed; an empty table giv
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +46,7 @@ class CharClass:
     pattern: str
 
 
-#: Both classes ask for letters and digits together: prose and plain numbers have no such strings.
+#: All classes ask for letters and digits together: prose and plain numbers have no such strings.
 CLASSES = (
     CharClass("hex", "0123456789ABCDEFabcdef", 20, 3.0, r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$"),
     CharClass(
@@ -49,7 +56,13 @@ CLASSES = (
         3.7,
         r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/_=-]+$",
     ),
+    CharClass("lower", "abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.6, r"^(?=(?:[^0-9]*[0-9]){4})(?=.*[a-z])[a-z0-9]+$"),
+    CharClass("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.6, r"^(?=(?:[^0-9]*[0-9]){4})(?=.*[A-Z])[A-Z0-9]+$"),
 )
+#: Characters that a piece must have to be scanned, the least window of all classes.
+LEAST = min(c.window for c in CLASSES)
+#: Elements of a block, by which sums and look-ups over long arrays go.
+BLOCK = 256
 #: Strings that look random but are known to be harmless.
 ALLOWED = r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Dd][Uu][Mm][Mm][Yy]|0123456789|[Aa][Bb][Cc][Dd][Ee][Ff][Gg]"
 
@@ -57,6 +70,27 @@ ALLOWED = r"[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks_of(array: Column) -> Column:
+    """A non-empty array in blocks."""
+    return let(array, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK))))
+
+
+def sums_before(lengths: Column) -> Column:
+    """The sum of all earlier elements, for each of a non-empty array: within blocks, after the sums of the blocks before."""
+    total = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x)
+
+    def running(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    return let(blocks_of(lengths), lambda blocks: F.flatten(F.zip_with(blocks, running(F.transform(blocks, total), F.lit(0)), running)))
+
+
 def matches(text: str, pattern: str, kind: str) -> Column:
     """Array of (start, ord, end, kind, value) of the leftmost non-overlapping matches.
 
@@ -64,18 +98,44 @@ def matches(text: str, pattern: str, kind: str) -> Column:
     them all. Only texts with a match are taken apart.
     """
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.filter(F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
+    def span(p: Column, before: Column) -> Column:
+        start = before + p["gap"]
         end = start + F.length(p["hit"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), p["hit"].alias("value"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(p["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(span))).alias("out"))
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), p["hit"].alias("value"))
 
-    pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda a: a["out"])
+    found = let(pairs, lambda all_: F.zip_with(all_, sums_before(F.transform(all_, lambda p: p["gap"] + F.length(p["hit"]))), span))
     return F.when(F.col(text).rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
+def left_over(candidates: str, blocks: str) -> Column:
+    """(start, ord, end, kind, value) of the pieces of candidates that no base span touches; blocks are those of the sorted base spans with their reach."""
+
+    def pieces(c: Column) -> Column:
+        near = F.filter(blocks, lambda b: (b["from"] < c["end"]) & (b["to"] > c["start"]))
+        touching = F.filter(F.flatten(F.transform(near, lambda b: b["spans"])), lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+        cut = lambda out, a, z: F.when(z > a, F.concat(out, F.array(F.struct(a.alias("a"), z.alias("z"))))).otherwise(out)
+        start = F.struct(c["start"].alias("at"), F.array().cast("array<struct<a:int,z:int>>").alias("out"))
+        step = lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), cut(s["out"], s["at"], b["start"]).alias("out"))
+        free = F.aggregate(touching, start, step, lambda s: cut(s["out"], s["at"], c["end"]))
+        return F.transform(
+            free,
+            lambda p: F.struct(p["a"].alias("start"), c["ord"].alias("ord"), p["z"].alias("end"), c["kind"].alias("kind"), F.substring(c["value"], p["a"] - c["start"] + 1, p["z"] - p["a"]).alias("value")),
+        )
+
+    return F.flatten(F.transform(candidates, pieces))
+
+
+def reach(base: str) -> Column:
+    """Blocks of the sorted spans, with the first start and the last end of each."""
+    spans = blocks_of(F.col(base))
+    last = lambda b: F.array_max(F.transform(b, lambda s: s["end"]))
+    return F.when(F.size(base) > 0, F.transform(spans, lambda b: F.struct(F.get(b, 0)["start"].alias("from"), last(b).alias("to"), b.alias("spans")))).otherwise(
+        F.array().cast(f"array<struct<from:int,to:int,spans:{SPANS}>>")
+    )
+
+
 def hot_stretch(value: Column, c: CharClass) -> Column:
     """(lo, hi) of the hull of all windows whose Shannon entropy reaches the class's bits; lo is -1 without one.
 
@@ -118,10 +178,8 @@ def scan(docs: DataFrame, text: str = "text", allowed: str = ALLOWED) -> DataFra
             "__tl_cand": F.filter(matches("__tl_t", CANDIDATE, "entropy"), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")),
         }
     ).withColumn("__tl_base", F.array_sort(F.concat("__tl_assign", "__tl_access", "__tl_hex")))
-    free = F.filter(
-        "__tl_cand",
-        lambda s: ~F.exists("__tl_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & ~s["value"].rlike(allowed),
-    )
+    scanned = lambda v: (F.length(v) >= LEAST) & v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(allowed)
+    free = F.filter(left_over("__tl_cand", "__tl_reach"), lambda s: scanned(s["value"]))
 
     def stretch(v: Column) -> Column:
         return F.coalesce(*(F.when(v.rlike(c.pattern), hot_stretch(v, c)) for c in CLASSES), F.lit(None).cast("struct<lo:int,hi:int>"))
@@ -141,7 +199,8 @@ def scan(docs: DataFrame, text: str = "text", allowed: str = ALLOWED) -> DataFra
         ),
     )
     return (
-        base.withColumn("__tl_free", F.when(F.size("__tl_cand") > 0, free))
+        base.withColumn("__tl_reach", F.when(F.size("__tl_cand") > 0, reach("__tl_base")))
+        .withColumn("__tl_free", F.when(F.size("__tl_cand") > 0, free))
         .withColumn("__tl_hot", F.when(F.size("__tl_free") > 0, hot))
         .withColumns(
             {
@@ -152,7 +211,7 @@ def scan(docs: DataFrame, text: str = "text", allowed: str = ALLOWED) -> DataFra
                 "n_hex": F.size("__tl_hex").cast("long"),
             }
         )
-        .drop("__tl_t", "__tl_assign", "__tl_access", "__tl_hex", "__tl_cand", "__tl_base", "__tl_free", "__tl_hot")
+        .drop("__tl_t", "__tl_assign", "__tl_access", "__tl_hex", "__tl_cand", "__tl_base", "__tl_reach", "__tl_free", "__tl_hot")
     )
 
 
@@ -201,17 +260,27 @@ def _spans_sql(kind: str, pattern: str, keep: str) -> str:
 
 def _oracle() -> str:
     assign = ASSIGN.replace("'", "''")
-    classes = " ".join(f"WHEN regexp_matches(v, '^[{c.alphabet.replace('-', '')}{'-' * ('-' in c.alphabet)}]+$') {extra} THEN '{c.name}'" for c, extra in zip(CLASSES, ("AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Fa-f]')", "AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"), strict=True))
+    has = lambda *sets: " AND ".join(f"regexp_matches(v, '{x}')" for x in sets)
+    asked = {
+        "hex": has("^[0-9A-Fa-f]+$", "[0-9]", "[A-Fa-f]"), "base64": has("^[A-Za-z0-9+/_=-]+$", "[0-9]", "[A-Z]", "[a-z]"),
+        "lower": has("^[a-z0-9]+$", "([^0-9]*[0-9]){4}", "[a-z]"), "upper": has("^[A-Z0-9]+$", "([^0-9]*[0-9]){4}", "[A-Z]"),
+    }
+    classes = " ".join(f"WHEN {asked[c.name]} THEN '{c.name}'" for c in CLASSES)
     width, bits = (" ".join(f"WHEN '{c.name}' THEN {getattr(c, k)}" for c in CLASSES) for k in ("window", "bits"))
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS txt FROM documents),
 {_spans_sql("assign", ASSIGN, f"length(regexp_extract(v, '{assign}', 2)) >= {ASSIGN_VALUE}")},
 {_spans_sql("access", ACCESS, "true")},
 {_spans_sql("hex", HEX, "true")},
-{_spans_sql("entropy", CANDIDATE, f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{ALLOWED}')")},
+{_spans_sql("entropy", CANDIDATE, f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")},
 base AS (SELECT doc_id, kind, ord, s, s + n AS e FROM (SELECT * FROM assign_s UNION ALL SELECT * FROM access_s UNION ALL SELECT * FROM hex_s)),
-cand AS (SELECT *, CASE {classes} END AS cls FROM entropy_s c
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.s + c.n AND c.s < b.e)),
+near AS (SELECT c.doc_id, c.s AS cs, c.s + c.n AS ce, b.s AS bs, b.e AS be FROM entropy_s c JOIN base b ON b.doc_id = c.doc_id AND b.s < c.s + c.n AND c.s < b.e),
+cuts AS (SELECT doc_id, cs, ce, greatest(cs, coalesce(max(be) OVER (PARTITION BY doc_id, cs ORDER BY bs, be ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), cs)) AS a, bs AS z FROM near
+  UNION ALL SELECT doc_id, cs, ce, max(be), ce FROM near GROUP BY doc_id, cs, ce
+  UNION ALL SELECT doc_id, s, s + n, s, s + n FROM entropy_s c WHERE NOT EXISTS (SELECT 1 FROM near WHERE near.doc_id = c.doc_id AND cs = c.s)),
+left_over AS (SELECT cuts.doc_id, 3 AS ord, 'entropy' AS kind, substr(v, CAST(a - cs + 1 AS BIGINT), CAST(z - a AS BIGINT)) AS v, a AS s, z - a AS n
+  FROM cuts JOIN entropy_s c ON c.doc_id = cuts.doc_id AND c.s = cs WHERE z - a >= {LEAST}),
+cand AS (SELECT *, CASE {classes} END AS cls FROM left_over WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '{ALLOWED}')),
 win AS (SELECT doc_id, s, v, cls, w, unnest(range(0, n - w + 1)) AS k FROM (SELECT *, CASE cls {width} END AS w FROM cand WHERE cls IS NOT NULL) WHERE n >= w),
 ch AS (SELECT doc_id, s, cls, w, k, c, count(*) AS n FROM (SELECT doc_id, s, cls, w, k, unnest(string_split(substr(v, CAST(k + 1 AS BIGINT), w), '')) AS c FROM win) GROUP BY doc_id, s, cls, w, k, c),
 ent AS (SELECT doc_id, s, cls, w, k, log2(w) - sum(n * log2(n)) / w AS h FROM ch GROUP BY doc_id, s, cls, w, k),
