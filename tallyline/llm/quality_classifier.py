@@ -4,7 +4,11 @@ Two logistic models, of low quality and of toxicity, read words and coarse shape
 Their probabilities are summed by host and by path within the host; each path's rate is shrunk
 toward its host's and each host's toward the corpus's, the more so the fewer documents it has, and
 moves the documents' own log odds. All sums run over all documents; only the two models' fit is
-bounded: it uses at most max_train labelled documents, chosen by a hash of their ids.
+bounded: it uses at most max_train labelled documents, chosen by a hash of their ids. Every text is
+scored once: the scores are written, and the sums and the result are made of that table.
+
+The given documents have no URLs. Their source stands for the host, and their language for the path
+below it, as sites keep their languages in folders of their own; both are arguments.
 
 Defined results for odd rows: a null or empty text is judged by its shape alone; null hosts and
 paths are groups of their own; labels without a document, and null labels, don't count; of several
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from tallyline.llm.blocks import cuts, flat, texts, with_column
 from tallyline.llm.decontamination import Words
 from tallyline.llm.ftrl import Ftrl, probabilities, train
+from tallyline.session import forget, let_workers_import, table, written
 
 #: Labelled documents that the fit uses at most.
 MAX_TRAIN = 12_000
@@ -92,8 +97,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, settings
 
     A fault whose labels have one class alone gets their rate as everyone's score.
     """
-    from tallyline.session import forget, written
-
     worst = [F.max(F.when(F.col(c) == bad, 1).when(F.col(c).isNotNull(), 0)).alias(k) for k, (c, bad) in FAULTS.items()]
     each = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*worst)
     total, share = each.count(), 1 << 30
@@ -129,10 +132,11 @@ def scorer(weights) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Add p_low and p_toxic, what the text alone says."""
-    schema = docs.withColumns({f"p_{k}": F.lit(0.0) for k in FAULTS}).schema
-    return docs.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(weights)), schema)
+def scored(docs: DataFrame, weights: np.ndarray, with_text: bool = True) -> DataFrame:
+    """Add p_low and p_toxic, what the text alone says; the text itself stays if asked for."""
+    named = docs.withColumns({f"p_{k}": F.lit(0.0) for k in FAULTS})
+    out = docs.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(weights)), named.schema)
+    return out if with_text else out.drop("text")
 
 
 def strength(rate: float, spread: float, inverse: float) -> float:
@@ -144,8 +148,6 @@ def strength(rate: float, spread: float, inverse: float) -> float:
 
 def sites(scores: DataFrame, host: str, path: str) -> DataFrame:
     """Per (host, path): the counts, sums and priors from which each document's site rates follow."""
-    from tallyline.session import written
-
     sums = [F.sum(f"p_{k}").alias(f"s_{k}") for k in FAULTS]
     paths = written(scores.groupBy(F.col(host).alias("__tl_host"), F.col(path).alias("__tl_path")).agg(F.count(F.lit(1)).alias("n"), *sums), "sites")
     hosts = paths.groupBy("__tl_host").agg(F.sum("n").alias("n_host"), *(F.sum(f"s_{k}").alias(f"h_{k}") for k in FAULTS))
@@ -167,13 +169,12 @@ def logit(p: Column) -> Column:
     return F.ln(p / (1 - p))
 
 
-def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
-    """Add p_low and p_toxic with the sites' evidence, and kept: neither is above one half.
+def updated(scores: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+    """p_low and p_toxic of documents with their sites' evidence, and kept: neither is above one half.
 
     A document's own probability is taken out of its site's sums before they speak of it.
     """
-    columns = docs.drop("p_low", "p_toxic", "kept").columns
-    scores = scored(docs.select(*columns), fit(docs, labels, max_train))
+    columns = [c for c in scores.columns if c not in {f"p_{k}" for k in FAULTS}]
     by_site = sites(scores.select(host, path, *(f"p_{k}" for k in FAULTS)), host, path)
     mine = {c: c if c.startswith("__tl_") else f"__tl_{c}" for c in by_site.columns}  # a document's own columns may have these names
     by_site = by_site.select(*(F.col(c).alias(n) for c, n in mine.items()))
@@ -190,9 +191,13 @@ def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: s
     return out.select(*columns, *(c.alias(n) for n, c in posterior.items())).withColumn("kept", kept)
 
 
-def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
-    from tallyline.session import let_workers_import, table
+def classified(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", max_train: int = MAX_TRAIN, with_text: bool = True) -> DataFrame:
+    """Add p_low, p_toxic and kept to the documents; without the text, where the caller needs none, less is written."""
+    docs = docs.drop(*(f"p_{k}" for k in FAULTS), "kept")
+    return updated(written(scored(docs, fit(docs, labels, max_train), with_text), "scores"), host, path)
+
 
+def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return classified(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_low", "p_toxic", "kept")
+    return classified(docs, table(spark, sf_dir, "labels"), with_text=False).select("doc_id", "p_low", "p_toxic", "kept")
