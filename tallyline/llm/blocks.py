@@ -12,6 +12,15 @@ import pyarrow.compute as pc
 BLOCK = 1 << 20
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file by its path, or by its name alone among the public tokenizers; asked for where the file is opened."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """The column as strings; null counts as empty."""
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyline.llm.blocks import cuts, flat, texts, with_column
+from tallyline.llm.blocks import cuts, flat, texts, tokenizer_file, with_column
 from tallyline.llm.word_cache import WordCache
 
 #: What stands for a space in pieces (U+2581), and its bytes.
@@ -272,10 +272,10 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def codec(model: str) -> Codec:
+    if model not in _codecs:
+        _codecs[model] = Codec(tokenizer_file(model))
+    return _codecs[model]
 
 
 def framed(ids: np.ndarray, sizes: np.ndarray, begin: int, end: int) -> np.ndarray:
@@ -340,9 +340,8 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
 
 def model_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+    """The model's name; each worker finds its own copy."""
+    return "piece_bpe_32k.model"
 
 
 def op4_sentencepiece(spark, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.llm.blocks import cuts, flat, runs, texts
+from tallyline.llm.blocks import cuts, flat, runs, texts, tokenizer_file
 from tallyline.llm.word_cache import WordCache
 
 MAGIC = b"PIDS"
@@ -191,10 +191,10 @@ class Encoder:
         return ids, np.diff(done[np.searchsorted(starts, offsets - offsets[0])])
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(tokenizer: str) -> Encoder:
+    if tokenizer not in _encoders:
+        _encoders[tokenizer] = Encoder(tokenizer_file(tokenizer))
+    return _encoders[tokenizer]
 
 
 def encoded(batch: pa.RecordBatch, words: Encoder) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -267,13 +267,9 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     return spread.mapInArrow(reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def op10_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+def op10_token_files(spark, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     from tallyline.session import let_workers_import, scratch, table
 
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("word_bpe_49k.json")
     let_workers_import(spark)
     folder = scratch(spark, "ids")
     return read_ids(write_ids(table(spark, sf_dir, "documents"), folder, tokenizer), folder)
