@@ -35,14 +35,14 @@ from tallyline.session import forget, let_workers_import, table, written
 MAX_TRAIN = 12_000
 #: Bins of hashed words and of their first bytes, and after them those of the shapes.
 BITS = 18
-SHAPES, STEPS = 4, 32
+SHAPES, STEPS = 7, 24
 BINS = (1 << BITS) + SHAPES * STEPS + 1
 PREFIXES = (4, 5, 6, 7)
 #: Each kind of fault: the label's column and the value that shows it.
 FAULTS = {"low": ("quality", 0), "toxic": ("toxic", 1)}
 CLIP = 1e-6
-SETTINGS = Ftrl(alpha=0.15, l1=0.6, l2=0.5, rounds=4, shards=4)
-SIGN = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!", np.uint8))
+SETTINGS = Ftrl(alpha=0.4, l1=1.5, l2=0.2, rounds=6, shards=4)
+SIGN = np.isin(np.arange(256), np.frombuffer(b"#*$%&<>", np.uint8))
 CAPITAL = np.isin(np.arange(256), np.arange(65, 91))
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,12 +68,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     def count(marked: np.ndarray) -> np.ndarray:
         return np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(marked)])[inner])
 
-    some = np.maximum(words, 1)
+    some, size = np.maximum(words, 1), np.maximum(np.diff(inner), 1)
     distinct = np.bincount(text[first], minlength=n) / some
-    shapes = (distinct * 10, count(SIGN[raw]) / some * 5, count(CAPITAL[raw]) / np.maximum(np.diff(inner), 1) * 20, np.log2(some))
+    again = np.zeros(len(w.hashes), bool)
+    again[1:] = (w.hashes[1:] == w.hashes[:-1]) & (text[1:] == text[:-1])
+    shapes = (
+        distinct * STEPS, np.bincount(text[again], minlength=n) / some * 2 * STEPS, count(SIGN[raw]) / some * 10, count(raw == 124) / some * 10,
+        count(raw == 33) / some * 10, count(CAPITAL[raw]) / size * 40, np.log2(some) * 1.5,
+    )
     for k, share in enumerate(shapes):
-        of.append(np.arange(n))
-        bins.append(((1 << BITS) + k * STEPS + np.minimum(share.astype(np.int64), STEPS - 1)).astype(np.uint64))
+        # Each step that is reached counts, so that what is learnt of some shares tells of those above them.
+        reached = np.minimum(share.astype(np.int64), STEPS - 1) + 1
+        each = np.repeat(np.arange(n), reached)
+        of.append(each)
+        bins.append(((1 << BITS) + k * STEPS + np.arange(len(each)) - np.repeat(np.cumsum(reached) - reached, reached)).astype(np.uint64))
     of.append(np.arange(n))
     bins.append(np.full(n, BINS - 1, np.uint64))
     keys = np.sort(np.concatenate(of).astype(np.uint64) * np.uint64(BINS) + np.concatenate(bins))
