@@ -1,7 +1,7 @@
 """MinHash near-dedup: a chosen-path set similarity join, confirmed on full sets.
 
 Documents with equal sets are one class. Every class starts at the root of each of several
-independent trees and goes to the child that one of its minwise tokens names. Small nodes are
+independent trees and goes to the child that two of its minwise tokens name. Small nodes are
 compared pair by pair by sketches. A large node first reads, token by token, the value that most of
 its classes have: such tokens say nothing there, so each class goes on by the first FAN tokens, in
 an order of the node's own, in which it differs from the rest. A child has less than about half of
@@ -10,9 +10,9 @@ rest too little to meet further down meet at the node's pivots, the classes that
 it: all classes of a large node are compared with these, in blocks. So a node's work grows with its
 classes, and nothing depends on how many there are. Nodes that hold the same classes count once.
 
-Recall. A pair of similarity s shares a tree's root with probability s, and a large node's child
-with 1 - (1 - s)^FAN where the node's classes have little in common: eight trees miss less than one
-pair in 100,000 at 0.8. The sketch that comes before the comparison of full sets is the same in all
+Recall. A pair of similarity s shares a tree's first child with probability s^2, and a large node's
+with 1 - (1 - s)^FAN where the node's classes have little in common: twelve trees miss about one
+pair in 80,000 at 0.8 where one large node is on the way. The sketch that comes before the comparison of full sets is the same in all
 trees; its slack of 0.13 is 3.7 standard deviations, which loses about one pair in 10,000 at 0.8 and
 fewer above. Where a node's classes have nearly the least similarity to begin with (texts of one
 template), a pair at 0.8 shares few of the tokens that branch, and more are missed; the README has
@@ -44,19 +44,19 @@ from tallyline.llm.blocks import Hasher, cuts, flat, runs, texts
 from tallyline.llm.components import components
 from tallyline.session import forget, let_workers_import, written
 
-TREES = 8
-#: Minwise tokens of a class; their low bytes are its sketch.
-TOKENS = 128
+TREES = 12
+#: Tokens that name the first children, and minwise tokens of a class in all; their low bytes are its sketch.
+FIRST, TOKENS = 2, 128
 #: Children that a class of a large node goes to, classes of a node or block that is compared at once, and pivots of a large node.
-FAN, SMALL, PIVOTS = 3, 100, 100
+FAN, SMALL, PIVOTS = 2, 100, 100
 #: Least similarity, and how far below it a sketch may lie.
 SIMILARITY, SLACK = 0.8, 0.13
 #: Similarity of a sketch from which a link is likely enough to prefer the partner that other nodes prefer.
 SURE = 0.87
 #: Columns of a part of the incidence matrix.
 COLUMNS = 1 << 16
-#: Votes of a node's blocks that are held at once.
-VOTES = 4096
+#: Votes of a node's blocks that are held at once, and blocks whose best pivots are chosen together.
+VOTES, BLOCKS = 4096, 16
 #: Copies of what the classes of one component all need.
 SALTS = 16
 #: Ids up to which the selection of documents to confirm is broadcast; beyond, it is a shuffled join.
@@ -107,7 +107,7 @@ def class_of(h: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def profiler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """doc_id, the row's key, n_shingles, the class of the set (null without any), and its minwise tokens."""
+    """doc_id, the row's key, n_shingles, the class of the set (null without any), its minwise tokens and their low bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,8 +135,9 @@ def profiler(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         pa.array(n, pa.int64()),
                         pa.array(classes, mask=~valid),
                         pa.array([tokens[w].tobytes() if w >= 0 else None for w in where.tolist()], pa.binary()),
+                        pa.array([tokens[w].astype(np.uint8).tobytes() if w >= 0 else None for w in where.tolist()], pa.binary()),
                     ],
-                    names=["doc_id", "key", "n_shingles", "class", "tokens"],
+                    names=["doc_id", "key", "n_shingles", "class", "tokens", "sketch"],
                 )
 
     return run
@@ -155,7 +156,13 @@ def _children(node: np.ndarray, tokens: np.ndarray, token: np.ndarray) -> np.nda
 def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         tokens, n = _tokens(batch), batch.num_rows
-        node = np.concatenate([_children(np.full(n, t + 1, np.uint64), tokens, np.full(n, t)) for t in range(TREES)])
+        nodes = []
+        for t in range(TREES):
+            node = np.full(n, t + 1, np.uint64)
+            for k in range(FIRST):
+                node = _children(node, tokens, np.full(n, FIRST * t + k)).astype(np.uint64)
+            nodes.append(node.astype(np.int64))
+        node = np.concatenate(nodes)
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.concat_arrays([batch.column("class")] * TREES)], names=["node", "class"])
 
 
@@ -256,8 +263,11 @@ def leaves(classes: DataFrame) -> DataFrame:
         spans = known.select("node", "block").distinct()
         judged = known.join(spans.join(common, "node"), ["node", "block"]).select("node", "block", "blocks", "class", "tokens", "common")
         judged = written(judged.mapInArrow(branches, "node bigint, block int, blocks int, class bigint, agree int, children array<bigint>"), "judged")
-        rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agree"), F.xxhash64("class"), "class"))
-        pivots = judged.select("node", "blocks", "class", "agree").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+        # In two steps, so that few rows of a very large node come to one task.
+        pivots = judged.select("node", "blocks", "class", "agree", F.floor(F.col("block") / BLOCKS).alias("part"))
+        for keys in (["node", "part"], ["node"]):
+            rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("agree"), F.xxhash64("class"), "class"))
+            pivots = pivots.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
         everywhere = pivots.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class")
         done.append(written(judged.select("node", "block", "class").union(everywhere).distinct(), "blocks"))
         scratch += [known, judged, done[-1]]
@@ -316,7 +326,8 @@ def comparer(similarity: float, spanning: bool) -> Callable[[Iterator[pa.RecordB
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         node, block, cls, label, n = (rows.column(c).to_numpy() for c in ("node", "block", "class", "label", "n_shingles"))
-        sketch = _tokens(rows.to_batches()[0]).astype(np.uint8)
+        data, offsets = flat(rows.to_batches()[0].column("sketch").cast(pa.large_binary()))
+        sketch = data[offsets[0] : offsets[-1]].reshape(len(node), TOKENS)
         found, d = [], 1
         at = np.arange(len(node) - 1)
         while len(at):
@@ -365,8 +376,8 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def candidates(groups: DataFrame, classes: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
     """(u, v) of near sketches, or (u, null, node, block) of classes in groups with many."""
-    rows = labelled(groups.join(classes.select("class", "tokens", "n_shingles"), "class"), labels)
-    rows = rows.select("node", "block", "class", "label", "n_shingles", "tokens")
+    rows = labelled(groups.join(classes.select("class", "sketch", "n_shingles"), "class"), labels)
+    rows = rows.select("node", "block", "class", "label", "n_shingles", "sketch")
     ordered = rows.repartition("node", "block").sortWithinPartitions("node", "block", "class")
     return ordered.mapInArrow(comparer(similarity, labels is None), "u bigint, v bigint, node bigint, block bigint").distinct()
 
@@ -488,10 +499,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARI
     """
     let_workers_import(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    profiles = docs.withColumn("key", row_key()).mapInArrow(profiler(size), "doc_id bigint, key bigint, n_shingles bigint, class bigint, tokens binary")
+    profiles = docs.withColumn("key", row_key()).mapInArrow(profiler(size), "doc_id bigint, key bigint, n_shingles bigint, class bigint, tokens binary, sketch binary")
     profiles = written(profiles, "profiles")
     grouped = profiles.where(F.col("class").isNotNull()).groupBy("class")
-    whole = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")]
+    whole = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n_shingles", "tokens", "sketch"))]
     classes = written(grouped.agg(*whole), "classes")
     rows = profiles.select("doc_id", "key", "class", "n_shingles")
     labels = linked_classes(docs, classes, size, similarity)
