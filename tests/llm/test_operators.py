@@ -9,6 +9,7 @@ from helpers import duckdb_rows, spark_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tallyline.llm.blocks import tokenizer_file
 from tallyline.llm import (
     decontamination, language_id, near_dedup, quality_classifier, quality_rules, registry, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter,
 )
@@ -66,26 +67,68 @@ def test_repeated_windows_by_brute_force(spark):
 
 
 def test_substring_dedup_on_odd_rows(odd, empty):
-    out = substring_dedup.deduplicated(odd.select("doc_id", "text", "label"))
+    clash = odd.select("doc_id", "text", "label", F.lit(-1).alias("n_sentences"), F.lit(-1).alias("h"), F.lit(-1).alias("p"), F.lit(-1).alias("starts"))
+    out = substring_dedup.deduplicated(clash)
     assert out.count() == len(ODD) and substring_dedup.deduplicated(empty.select("doc_id", "text")).count() == 0
     got = {r["doc_id"]: r for r in out.collect()}
-    assert got[2]["text"] is None and got[3]["text"] == "" and got[1]["n_removed"] == 0 and got[4]["n_removed"] > 0
+    assert got[2]["text"] is None and got[3]["text"] == "" and got[1]["n_removed"] == 0 and got[4]["n_removed"] > 2900
+    assert got[1]["n_sentences"] == 1 and got[1]["h"] == got[1]["label"] == -1
+
+
+def brute_spans(rows, size, least):
+    """Text of each (id, text) without the repeated spans, by plain dictionaries."""
+    import re
+
+    cut = lambda t: re.split(r"(?<=[.!?])(?=[\x20\x09-\x0D])|(?<=\n)", t)
+    first, out = {}, []
+    for i, t in rows:
+        parts = cut(t)
+        at = [k for k, p in enumerate(parts) if p.strip()]
+        gone = set()
+        for k in range(len(at) - size + 1):
+            run = tuple(parts[j].strip() for j in at[k : k + size])
+            if first.setdefault(run, (i, k)) != (i, k):
+                gone |= set(range(k, k + size))
+        lost, span = set(), []
+        for k in range(len(at) + 1):
+            if k in gone:
+                span.append(k)
+            else:
+                if sum(len(parts[at[j]].split()) for j in span) >= least:
+                    lost |= {at[j] for j in span}
+                span = []
+        out.append((i, "".join(p for k, p in enumerate(parts) if k not in lost)))
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 3])
+def test_substring_dedup_equals_brute_force(spark, size):
+    rng = np.random.default_rng(11)
+    stock = [" ".join(rng.choice(["moon", "sea", "tide", "wind", "NOW!!", "salt"], rng.integers(1, 9))) + rng.choice([".", "\n", "!"]) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(int(rng.integers(1, 8))):
+            a = int(rng.integers(0, 30))
+            parts += stock[a : a + int(rng.integers(1, 10))] + [f"Own sentence {rng.integers(0, 10**9)} here."]
+        rows.append((i, " ".join(parts)))
+    out = substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), size=size, least_words=12)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == brute_spans(rows, size, 12)
 
 
 def test_repeated_passage_goes_from_all_but_the_first(spark):
-    passage = "This passage is here to be found again. It has several sentences of some length. All of them repeat word for word."
+    passage = " ".join(f"This passage is here to be found again, in part {k}." for k in range(5))
     rows = [(i, f"Own start number {i} of a text that is like no other.\n{passage}\nOwn end number {i}.") for i in range(4)]
     out = {r["doc_id"]: r for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0]["text"] == rows[0][1]
-    assert all(out[i]["n_removed"] == 3 and "passage" not in out[i]["text"] and f"Own end number {i}." in out[i]["text"] for i in (1, 2, 3))
+    assert all(out[i]["n_removed"] == 5 and "passage" not in out[i]["text"] and f"Own end number {i}." in out[i]["text"] for i in (1, 2, 3))
 
 
 def test_passages_of_short_sentences_go(spark):
     rng = np.random.default_rng(4)
-    shouts = " ".join(f"{w}!!" for w in rng.choice(["BUY", "NOW", "SALE", "FREE", "GO"], 60))
-    lines = "\n".join(rng.choice(["a", "b", "c", "d"], 60)) + "\n"
-    verse = "\n".join(f"{a} {b} {c}" for a, b, c in rng.choice(["moon", "sea", "tide", "wind"], (20, 3))) + "\n"
-    rows = [(3 * k + i, f"Own start {3 * k + i}.\n{t}\nOwn end {3 * k + i}.") for k, t in enumerate((shouts, lines, verse)) for i in range(3)]
+    shouts = " ".join(f"{w}!!" for w in rng.permutation([f"BUY{k}" for k in range(60)]))
+    lines = "\n".join(f"l{k}" for k in rng.permutation(60)) + "\n"
+    rows = [(3 * k + i, f"Own start {3 * k + i}.\n{t}\nOwn end {3 * k + i}.") for k, t in enumerate((shouts, lines)) for i in range(3)]
     rows += [(20, "One.\nTwo.\nThree.\nFour.\nFive."), (21, "One.\nTwo.\nThree.\nFour.\nFive.")]
     out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in rows:
@@ -108,7 +151,7 @@ def test_language_accuracy_on_held_out(spark):
 def test_sentencepiece_equals_the_library(odd, empty):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path())
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(sentencepiece_codec.model_path()))
     for r in sentencepiece_codec.encoded(odd, sentencepiece_codec.model_path()).collect():
         want = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
         assert r["ids"] == want and r["decoded"] == sp.decode(want) and r["n_tokens"] == len(want)
@@ -118,13 +161,27 @@ def test_sentencepiece_equals_the_library(odd, empty):
     assert sentencepiece_codec.encoded(empty, sentencepiece_codec.model_path()).count() == 0
 
 
+def test_sentencepiece_query_equals_the_library_on_all_documents(spark, sf):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(sentencepiece_codec.model_path()))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = sentencepiece_codec.op4_sentencepiece(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = sp.encode(texts[r["doc_id"]], add_bos=True, add_eos=True)
+        digests = [hashlib.sha256(x).hexdigest() for x in (np.array(want, "<u4").tobytes(), sp.decode(want).encode())]
+        assert [r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]] == [len(want), *digests]
+
+
 def test_sentencepiece_on_random_texts():
     import pyarrow as pa
     import sentencepiece
 
     from tallyline.llm.blocks import flat, texts
 
-    sp, c = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.model_path()), sentencepiece_codec.Codec(sentencepiece_codec.model_path(), cached=100)
+    path = tokenizer_file(sentencepiece_codec.model_path())
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path, cached=100)
     rng = np.random.default_rng(1)
     parts = ["a", "ab", "the", "ing", " ", "  ", "\n", "é", "日本", "😀", "▁", "<s>", "12", "....", "----", "er"]
     rows = ["".join(rng.choice(parts, rng.integers(0, 15))) for _ in range(3000)]
@@ -150,6 +207,27 @@ def test_entropy_spans_and_allow_list(spark):
     assert got == {1: [("entropy", 4, 29)], 2: [], 3: [], 4: []}
 
 
+def test_what_pattern_spans_leave_over_is_scanned(spark):
+    rows = [
+        (1, "0123456789abcdef/Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1"), (2, "seed k3j9x7q2m5v8b1n4c6z0p end"), (3, "seed K3J9X7Q2M5V8B1N4C6Z0P end"),
+        (4, "word-with-letters-only-and-dashes lowercaselettersandonedigit1"), (5, "aB3dE5fG7hI9jK1lM2nO4/0123456789abcdef/aB3dE5fG7hI9jK1lM2nO4"),
+    ]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["secret_spans"]] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [("hex", 0, 16), ("entropy", 16, 44)] and got[4] == []
+    assert got[2] == got[3] == [("entropy", 5, 26)] and got[5] == [("entropy", 0, 22), ("hex", 22, 38), ("entropy", 38, 60)]
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    import re
+
+    rng = np.random.default_rng(8)
+    parts = ["".join(rng.choice(list("0123456789abcdef"), 32)) if k % 2 else "Zx9Qw8Er7Ty6Ui5Op4As3Df2" for k in range(6000)]
+    text = " ".join(parts)
+    r = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert [(s["start"], s["end"]) for s in r["base_spans"]] == [m.span() for m in re.finditer("[0-9a-f]{16,}", text)]
+    assert len(r["secret_spans"]) == 6000 and r["n_hex"] == 3000
+
+
 def test_url_filter_intervals_and_odd_rows(spark):
     d = "timestamp_ntz"
     events = spark.createDataFrame(
@@ -163,6 +241,43 @@ def test_url_filter_intervals_and_odd_rows(spark):
     assert url_filter.filtered(pages.where("false"), events).count() == 0 and url_filter.filtered(pages, events.where("false")).where("kept").count() == len(rows)
 
 
+def url_verdicts(spark, rows, events):
+    e = spark.createDataFrame(events, "kind string, value string, category string, action string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    return [(r["page_id"], r["fetched_at"].year if r["fetched_at"] else None, r["n_active"], r["entry"], r["category"], r["kept"]) for r in url_filter.filtered(pages, e).collect()]
+
+
+def test_url_hosts_without_user_port_and_dots(spark):
+    events = [("domain", "bad.com", "spam", "add", "2024-01-01")]
+    urls = ["http://u@bad.com/a", "http://u:p@bad.com:80/a", "http://bad.com./a", "HTTP://Bad.COM../", "http://bad.com:8080", "http://good.com/@bad.com", "http://bad.com@good.com/", "http://[::1]/bad.com", "//bad.com/x"]
+    got = url_verdicts(spark, [(i, u, "2024-05-01") for i, u in enumerate(urls)], events)
+    assert {r[0] for r in got if not r[-1]} == {0, 1, 2, 3, 4}
+
+
+def test_captures_are_judged_one_by_one(spark):
+    events = [("domain", "bad.com", "spam", "add", "2024-01-01"), ("host", "worse.com", "spam", "add", "2020-01-01")]
+    rows = [(2, "http://bad.com/a", "2023-05-01"), (2, "http://bad.com/a", "2024-05-01"), (2, "http://bad.com/a", "2024-05-01"), (None, "http://worse.com/", "2024-05-01"), (None, "http://ok.com/", "2024-05-01"), (None, None, None)]
+    got = sorted(url_verdicts(spark, rows, events), key=str)
+    assert [(r[0], r[1], r[-1]) for r in got] == [(2, 2023, True), (2, 2024, False), (2, 2024, False), (None, 2024, True), (None, 2024, False), (None, None, True)]
+
+
+def test_entries_under_several_categories_and_deep_prefixes(spark):
+    events = [
+        ("host", "bad.com", "spam", "add", "2024-01-01"), ("host", "BAD.com", "malware", "add", "2024-02-01"), ("host", "bad.com", "spam", "remove", "2024-03-01"),
+        ("host", "bad.com", "spam", "remove", "2024-04-01"), ("prefix", "deep.org/a/b/c/d", "ads", "add", "2024-01-01"), ("host", "none.com", None, "add", "2024-01-01"),
+    ]
+    rows = [(1, "http://bad.com/", "2024-01-15"), (2, "http://bad.com/", "2024-02-15"), (3, "http://bad.com/", "2024-05-01"), (4, "http://deep.org/a/b/c/d/e?x", "2024-05-01"), (5, "http://deep.org/a/b/c", "2024-05-01"), (6, "http://none.com", "2024-05-01")]
+    got = {r[0]: r[2:5] for r in url_verdicts(spark, rows, events)}
+    assert got == {1: (1, "host:bad.com", "spam"), 2: (2, "host:bad.com", "malware"), 3: (1, "host:bad.com", "malware"), 4: (1, "prefix:deep.org/a/b/c/d", "ads"), 5: (0, None, None), 6: (1, "host:none.com", None)}
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "HOT", 10)
+    events = [("host", "hot.com", "spam", "add", "2024-01-01"), ("host", "cold.com", "spam", "add", "2024-01-01")]
+    rows = [(i, f"http://hot.com/{i}", "2024-05-01") for i in range(300)] + [(1000, "http://cold.com/", "2024-05-01"), (1001, "http://ok.com/", "2024-05-01")]
+    assert [r[0] for r in url_verdicts(spark, rows, events) if r[-1]] == [1001]
+
+
 def brute_components(rows, size, percent):
     import re
 
@@ -272,12 +387,66 @@ def test_classifier_on_odd_rows(spark, odd, empty):
     assert quality_classifier.classified(odd, labels.where("false")).where("kept").count() == len(ODD)
 
 
-def test_classifier_separates_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    out = quality_classifier.op8_quality_classifier(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
-    good = out.where("quality = 1 and toxic = 0")
+def test_classifier_separates_labels_that_it_has_not_seen(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 0
+    out = quality_classifier.classified(docs, labels.where(~held), with_text=False).join(labels.where(held), "doc_id")
+    good, bad = out.where("quality = 1 and toxic = 0"), out.where("quality = 0 or toxic = 1")
     assert good.where("kept").count() / good.count() > 0.97
-    assert out.where("quality = 0 and not kept").count() / out.where("quality = 0").count() > 0.8
+    assert bad.where("not kept").count() / bad.count() > 0.93
+
+
+def test_posteriors_by_plain_python(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"h{i % 3}" if i % 7 else None, f"p{i % 5}", float(rng.uniform(0.01, 0.99)), float(rng.beta(1, 9))) for i in range(300)]
+    rows += [(400, "alone", "p0", 0.9, 0.2), (400, "alone", "p0", 0.9, 0.2), (401, "single", None, 0.4, 0.1)]
+    got = quality_classifier.updated(spark.createDataFrame(rows, "doc_id long, source string, lang string, p_low double, p_toxic double")).collect()
+    want = []
+    for f in (3, 4):
+        total, rate = len(rows), sum(r[f] for r in rows) / len(rows)
+        by = lambda k: {x: [r[f] for r in rows if k(r) == x] for x in {k(r) for r in rows}}  # noqa: B023, E731
+        hosts, paths = by(lambda r: r[1]), by(lambda r: (r[1], r[2]))
+        mean = lambda v: sum(v) / len(v)
+        k1 = quality_classifier.strength(rate, sum(len(v) / total * (mean(v) - rate) ** 2 for v in hosts.values()), len(hosts) / total)
+        k2 = quality_classifier.strength(rate, sum(len(v) / total * (mean(v) - mean(hosts[h])) ** 2 for (h, _), v in paths.items()), len(paths) / total)
+        odds, out = lambda p: np.log(p / (1 - p)), []
+        for r in rows:
+            h, p = hosts[r[1]], paths[r[1], r[2]]
+            above = (k1 * rate + sum(h) - r[f]) / (k1 + len(h) - 1)
+            site = (k2 * above + sum(p) - r[f]) / (k2 + len(p) - 1)
+            out.append(1 / (1 + np.exp(-(odds(r[f]) + odds(min(max(site, 1e-6), 1 - 1e-6)) - odds(rate)))))
+        want.append(out)
+    mine = sorted((r["doc_id"], round(r["p_low"], 9), round(r["p_toxic"], 9), r["kept"]) for r in got)
+    assert mine == sorted((r[0], round(a, 9), round(b, 9), a < 0.5 and b < 0.5) for r, a, b in zip(rows, *want, strict=True))
+
+
+def test_ftrl_by_plain_python(spark):
+    """One shard is a plain pass over the rows in order of their keys; one shard of several rounds goes on from its state."""
+    import math
+
+    from tallyline.llm import ftrl
+
+    rng = np.random.default_rng(10)
+    rows = [(int(k), int(rng.integers(0, 3)), [int(x) for x in rng.choice(12, 4, replace=False)], [float(x) for x in rng.uniform(0.2, 1, 4)]) for k in rng.permutation(80)]
+    s = ftrl.Ftrl(alpha=0.3, l1=0.2, l2=0.7, rounds=2, shards=1)
+    got = ftrl.train(spark.createDataFrame(rows, "key long, y long, at array<long>, values array<double>"), 3, 12, s)
+    z, n = [[0.0] * 12 for _ in range(3)], [[0.0] * 12 for _ in range(3)]
+
+    def weight(c, i):
+        if abs(z[c][i]) <= s.l1:
+            return 0.0
+        return -(z[c][i] - math.copysign(s.l1, z[c][i])) / ((s.beta + math.sqrt(n[c][i])) / s.alpha + s.l2)
+
+    for _ in range(s.rounds):
+        for _, y, at, values in sorted(rows):
+            w = [[weight(c, i) for i in at] for c in range(3)]
+            e = [math.exp(sum(a * v for a, v in zip(x, values, strict=True))) for x in w]
+            for c in range(3):
+                for j, (i, v) in enumerate(zip(at, values, strict=True)):
+                    g = (e[c] / sum(e) - (c == y)) * v
+                    z[c][i] += g - (math.sqrt(n[c][i] + g * g) - math.sqrt(n[c][i])) / s.alpha * w[c][j]
+                    n[c][i] += g * g
+    assert np.allclose(got, [[weight(c, i) for i in range(12)] for c in range(3)], atol=1e-4)
 
 
 def test_sparse_sites_shrink_toward_their_host(spark):
@@ -304,10 +473,37 @@ def test_items_without_an_id_are_hits(spark):
     assert decontamination.clean(docs, bench).count() == 0
 
 
-def test_decontamination_in_several_passes(spark, sf):
+def test_decontamination_in_several_parts(spark, sf, odd):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    one = decontamination.find(docs, bench).select("doc_id", "n_hit", "hit_items")
-    assert spark_rows(one) == spark_rows(decontamination.find(docs, bench, max_windows=200).select("doc_id", "n_hit", "hit_items"))
+    columns = ["doc_id", "n_words", "n_hit", "hit_items"]
+    one = decontamination.find(docs, bench).select(columns)
+    assert spark_rows(one) == spark_rows(decontamination.find(docs, bench, max_windows=200).select(columns))
+    short = spark.createDataFrame([(1, "quick brown fox"), (2, "brown fox jumps over the lazy dog and that was"), (3, "the"), (4, "for a")], "item_id long, text string")
+    assert spark_rows(decontamination.find(odd, short).select(columns)) == spark_rows(decontamination.find(odd, short, max_windows=1).select(columns))
+
+
+def test_hits_equal_brute_force(spark):
+    import re
+
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(rng.choice(["a", "B", "c,", "dé", "e"], n))
+    docs = [(i, text(int(rng.integers(0, 60)))) for i in range(120)]
+    items = [(i, text(int(rng.integers(0, 6)) if i < 8 else 12)) for i in range(12)]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    want = {}
+    for d, t in docs:
+        w, hit, named = words(t), set(), set()
+        for i, x in items:
+            x = words(x)
+            size = min(10, len(x))
+            for k in range(len(x) - size + 1 if size else 0):
+                for p in range(len(w) - size + 1):
+                    if w[p : p + size] == x[k : k + size]:
+                        hit |= set(range(p, p + size))
+                        named.add(str(i))
+        want[d] = (len(w), len(hit), sorted(named))
+    out = decontamination.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["hit_items"]) for r in out.collect()} == want
 
 
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 15, 16, 17, 31, 32])
@@ -349,6 +545,84 @@ def test_token_files_equal_the_library(spark, odd, empty):
     assert token_files.read_ids(token_files.write_ids(empty, scratch(spark, "ids"), path), folder).count() == 0
 
 
+def test_token_file_query_equals_the_library_on_all_documents(spark, sf):
+    from tokenizers import Tokenizer
+
+    t, start = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), 0
+    got = {r["doc_id"]: r for r in token_files.op10_token_files(spark, sf).collect()}
+    for d in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        want, r = t.encode(d["text"] or "", add_special_tokens=False).ids + [1], got[d["doc_id"]]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
+
+
+def plain_spans(text):
+    """All secrets of a text by plain Python: patterns, then windows of what they leave over."""
+    import math
+    import re
+
+    base = [m.span() for m in re.finditer(secret_scan.ASSIGN, text) if len(m[2]) >= 12]
+    base += [m.span() for p in (secret_scan.ACCESS, secret_scan.HEX) for m in re.finditer(p, text)]
+    out = sorted(base)
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        at = m.start()
+        for a, z in [*sorted(b for b in base if b[0] < m.end() and m.start() < b[1]), (m.end(), m.end())]:
+            piece, start, at = text[at:a], at, max(at, z)
+            kind = next((c for c in secret_scan.CLASSES if re.search(c.pattern, piece)), None)
+            if kind is None or len(piece) < 20 or re.search(secret_scan.ALLOWED, piece):
+                continue
+            hot = []
+            for k in range(len(piece) - kind.window + 1):
+                w = piece[k : k + kind.window]
+                if round(sum(-n / len(w) * math.log2(n / len(w)) for n in (w.count(x) for x in set(w))), 9) >= kind.bits:
+                    hot.append(k)
+            if hot:
+                out.append((start + hot[0], start + hot[-1] + kind.window))
+    return sorted(out)
+
+
+def test_pipeline_stages_by_brute_force(spark, sf):
+    import re
+
+    import sentencepiece
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    good = stages["quality"](spark, docs, sf)
+    judged = quality_classifier.classified(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert rows(good) == rows(judged.where("kept")) and good.columns == docs.columns and 100 < good.count() < docs.count()
+
+    texts = rows(good)
+    found = stages["near_duplicates"](spark, good, sf)
+    label = brute_components(sorted(texts.items()), 5, 80)
+    assert rows(found) == {i: t for i, t in texts.items() if label[i][1] == i} and found.columns == docs.columns
+
+    texts, items = rows(found), rows(spark.read.parquet(f"{sf}/benchmark.parquet").withColumnRenamed("item_id", "doc_id"))
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for w in map(words, items.values()):
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(len(w[k : k + 10]), set()).add(tuple(w[k : k + 10]))
+    hit = lambda w: any(tuple(w[k : k + n]) in these for n, these in windows.items() for k in range(len(w) - n + 1))
+    clean = stages["benchmark"](spark, found, sf)
+    assert rows(clean) == {i: t for i, t in texts.items() if not hit(words(t))} and clean.columns == docs.columns
+
+    texts, safe = rows(clean), stages["secrets"](spark, clean, sf)
+    want = {}
+    for i, t in texts.items():
+        out, at = "", 0
+        for a, z in plain_spans(t or ""):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, z)
+        want[i] = out + t[at:] if t is not None else None
+    assert rows(safe) == want and safe.columns == docs.columns and want != texts
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(sentencepiece_codec.model_path()))
+    ids = {r["doc_id"]: (r["ids"], r["round_trip"]) for r in stages["tokens"](spark, safe, sf).collect()}
+    assert ids == {i: (e := sp.encode(t or "", add_bos=True, add_eos=True), sp.decode(e) == (t or "")) for i, t in want.items()}
+
+
 def test_pipeline_keeps_columns_and_round_trips(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.count() < 200 and out.where("not round_trip").count() == 0
@@ -358,3 +632,5 @@ def test_stages_on_odd_rows(spark, sf, odd, empty):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0, name
         assert stage(spark, odd, sf).count() <= len(ODD), name
+        if name != "tokens":
+            assert stage(spark, odd, sf).columns == odd.columns, name
