@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +27,33 @@ WORDS_FOR_RESULTS = {
     "loss": ("loss", "lost", "lose", "l", "perdu"),
     "void": ("void", "push", "cancelled", "annule", "annulé"),
 }
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+INDOOR_TOWNS = ("indoor", "paris", "rotterdam", "vienna", "basel", "marseille", "metz", "stockholm")
+ODDS_EDGES = [1, 1.3, 1.6, 2, 3, 5, 50]
+ODDS_LABELS = ["(1, 1.3]", "(1.3, 1.6]", "(1.6, 2]", "(2, 3]", "(3, 5]", "(5, 50]"]
+
+
+def _accents() -> tuple[str, str]:
+    """Letters of the Latin blocks with the ASCII letter that compatibility decomposition leaves of each."""
+    pairs = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain.isascii() and plain != c:
+            pairs[c] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+ACCENTS = _accents()
+#: Marks that stand alone after their letter.
+MARKS = r"[\u0300-\u036f]"
+
+
+# Keys and words by which a tournament's series and surface are told.
+SLAM_KEYS = ("aus_open", "french_open", "wimbledon", "us_open")
+CLAY_WORDS = (
+    "french", "roland", "rome", "italian", "madrid", "monte_carlo", "monte carlo", "barcelona", "hamburg", "buenos_aires", "rio", "chile",
+    "santiago", "cordoba", "bastad", "gstaad", "kitzbuhel", "umag", "bucharest", "lyon", "geneva", "parma", "marrakech",
+)
+GRASS_WORDS = ("wimbledon", "halle", "queens", "queen", "eastbourne", "stuttgart_grass", "s_hertogenbosch", "mallorca", "newport")
 
 
 def _c(x: Column | str | float) -> Column:
@@ -115,6 +142,26 @@ def capped_kelly(p: Column | str, odds: Column | str, bankroll: Column | float,
     return F.round(F.least(k, F.lit(cap)) * _c(bankroll), 2)
 
 
+def quarter_kelly(p: Column | str, odds: Column | str, bankroll: Column | float, part: float = 0.25, cap: float = 0.10) -> Column:
+    """Amount by a part of (p odds - 1) / (odds - 1), never negative, at most a share of the bankroll."""
+    k = F.try_divide(_c(p) * _c(odds) - 1, _c(odds) - 1)
+    return _c(bankroll) * F.greatest(F.lit(0.0), F.least(k * part, F.lit(cap)))
+
+
+def table_stake(p: Column | str, odds: Column | str, bankroll: Column | float, rule: dict) -> tuple[Column, Column]:
+    """(amount, whether to bet) by a stake rule: flat ones always bet their share, Kelly ones a clipped part where there is value."""
+    if rule["type"] == "flat":
+        return _c(bankroll) * rule["stake_pct"], F.lit(True)
+    b, k = _c(odds) - 1, raw_kelly(p, odds)
+    share = F.greatest(F.lit(rule["min_bet_pct"]), F.least(k / rule["kelly_fraction"], F.lit(rule["max_bet_fraction"])))
+    return F.when(b > 0, _c(bankroll) * share).otherwise(0.0), F.when(b > 0, expected_value(p, odds) > 0).otherwise(False)
+
+
+def gated_flat(amount: float, p: Column | str, market: Column | str, bankroll: Column | str, min_edge: float) -> Column:
+    """A fixed amount within the bankroll where the model is far enough above the market, else 0."""
+    return F.when(_c(p) - _c(market) >= min_edge, flat_amount(amount, bankroll)).otherwise(0.0)
+
+
 def flat_amount(amount: float, bankroll: Column | str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(amount), _c(bankroll)))
 
@@ -174,10 +221,23 @@ def month_cycle(date: Column | str) -> tuple[Column, Column]:
 
 
 def indoor(surface: Column | str, tournament: Column | str) -> Column:
-    words = _c(tournament).rlike("(?i)indoor|paris|rotterdam|vienna|basel|marseille|metz|stockholm")
+    words = _c(tournament).rlike("(?i)" + "|".join(INDOOR_TOWNS))
     return F.when((_c(surface) == "Carpet") | F.coalesce(words, F.lit(False)), 1).otherwise(0)
 
 
+def tournament_facts(key: Column | str, title: Column | str) -> tuple[Column, Column, Column, Column]:
+    """(name, series, surface, best of) by words in a tournament's key and title; a listed tournament's own facts go before these."""
+    key, title = F.lower(_c(key)), F.nullif(_c(title), F.lit(""))
+    told = F.coalesce(F.lower(title), key)
+    has = lambda words: key.rlike("|".join(words)) | told.rlike("|".join(words))
+    slam = told.contains("grand slam") | key.rlike("|".join(SLAM_KEYS))
+    series = F.when(slam, "Grand Slam").when(has(["masters"]), "Masters 1000").otherwise("ATP")
+    surface = F.when(has(CLAY_WORDS), "Clay").when(has(GRASS_WORDS), "Grass").otherwise("Hard")
+    own = F.regexp_replace(F.regexp_replace(title, "ATP ", ""), "WTA ", "")
+    from_key = F.initcap(F.regexp_replace(F.regexp_replace(_c(key), "tennis_atp_", ""), "_", " "))
+    return F.coalesce(own, from_key), series, surface, F.when(slam, 5).otherwise(3)
+
+
 def age_years(born: Column | str, at: Column | str) -> Column:
     return F.datediff(_c(at), _c(born)) / 365.25
 
@@ -202,10 +262,6 @@ def bucket(value: Column | str, edges: list[float], labels: list[str]) -> Column
     return out
 
 
-ODDS_EDGES = [1, 1.3, 1.6, 2, 3, 5, 50]
-ODDS_LABELS = ["(1, 1.3]", "(1.3, 1.6]", "(1.6, 2]", "(2, 3]", "(3, 5]", "(5, 50]"]
-
-
 def url_id(url: Column | str) -> Column:
     """The long hexadecimal part of a URL, else its last segment, else the URL."""
     hexa, last = F.regexp_extract(_c(url), "([0-9a-f]{16,})", 1), F.regexp_extract(_c(url), "/([^/?#]+)/?(?:[?#].*)?$", 1)
@@ -228,15 +284,19 @@ def x_of_y(text: Column | str) -> tuple[Column, Column]:
     return tuple(F.when(ok, F.get(parts, i).try_cast("int")) for i in (0, 1))
 
 
+def unaccented(text: Column | str) -> Column:
+    """Letters without their accents: composed ones by a table, marks that follow a letter dropped; letters that don't decompose stay."""
+    return F.regexp_replace(F.translate(_c(text), *ACCENTS), MARKS, "")
+
+
 def plain_name(name: Column | str) -> Column:
-    """Lower case without accents; only letters and single spaces."""
-    t = F.translate(F.lower(_c(name)), *ACCENTS)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z ]", " "), " +", " "))
+    """Lower case without accents, letters and single spaces alone; everything else goes without leaving a space."""
+    letters = F.regexp_replace(F.lower(unaccented(name)), r"[^a-z\s]", "")
+    return F.trim(F.regexp_replace(letters, r"\s+", " "))
 
 
 def name_tokens(name: Column | str, pattern: str = "[^a-z0-9']+") -> Column:
-    t = F.translate(F.lower(_c(name)), *ACCENTS)
-    return F.filter(F.split(t, pattern), lambda w: w != "")
+    return F.filter(F.split(F.lower(unaccented(name)), pattern), lambda w: w != "")
 
 
 def pick_side(pick: Column | str, a: Column | str, b: Column | str) -> Column:
@@ -282,5 +342,46 @@ def valid_username(name: Column | str) -> Column:
     return F.coalesce(_c(name).rlike("^[A-Za-z0-9_.-]{3,32}$"), F.lit(False))
 
 
+def widest(*columns: str) -> Column:
+    """The largest of several columns, whatever their signs."""
+    return F.greatest(*(F.abs(c) for c in columns))
+
+
+def same_or_empty(column: str, value: str) -> Column:
+    """Equality in which null and the empty text are the same."""
+    return F.coalesce(F.col(column), F.lit("")) == value
+
+
+def json_field(text: Column | str, name: str) -> Column:
+    """A field of a JSON text, as text; null where it isn't JSON or has none."""
+    return F.get_json_object(_c(text), f"$.{name}")
+
+
+def t_tail(t: Column | str, df: Column | str, steps: int = 400) -> Column:
+    """Chance of more than t by Student's law: one half less Simpson's sum of the density from 0 to t.
+
+    The density's constant comes from the series of a ratio of gamma functions, which holds for many
+    degrees of freedom, and steps down from twenty more.
+    """
+    t, v = _c(t), _c(df).cast("double")
+    w = v + 20
+    ratio = F.sqrt(w / 2) * (1 - 1 / (4 * w) + 1 / (32 * w * w) + 5 / (128 * F.pow(w, 3)) - 21 / (2048 * F.pow(w, 4)))
+    for k in range(10):
+        ratio = ratio * (v + 2 * k) / (v + 2 * k + 1)
+    h = t / steps
+    density = lambda x: F.pow(1 + x * x / v, -(v + 1) / 2)
+    weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    area = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda a, i: a + weight(i) * density(i * h)) * h / 3
+    return 0.5 - area * ratio / F.sqrt(v * math.pi)
+
+
+def money_text(x: Column | str) -> Column:
+    return F.format_string("%.2f", _c(x).cast("double"))
+
+
+def day_text(x: Column | str) -> Column:
+    return F.date_format(_c(x), "dd/MM")
+
+
 def percent_text(x: Column | str, digits: int = 1) -> Column:
     return F.concat(F.format_number(_c(x) * 100, digits), F.lit("%"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.operators.running import running
 
 
 def measures() -> list[Column]:
@@ -32,6 +33,63 @@ def by_period(bets: DataFrame, unit: str) -> DataFrame:
     return bets.groupBy(F.date_trunc(unit, "date").cast("date").alias("period")).agg(*measures())
 
 
+def profitable_periods(bets: DataFrame, unit: str) -> DataFrame:
+    """Periods, and those of them with a profit."""
+    return by_period(bets, unit).agg(F.count(F.lit(1)).alias("periods"), F.sum((F.col("profit") > 0).cast("int")).alias("profitable"))
+
+
+def cumulated(periods: DataFrame) -> DataFrame:
+    """Periods with the mean profit of a bet and the profit so far."""
+    w = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, 0)  # a row a period
+    return periods.withColumns({"mean_profit": F.round(F.col("profit") / F.col("n"), 6), "cum_profit": F.round(F.sum("profit").over(w), 4)})
+
+
+def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """Exact percentiles with linear interpolation, by ranks from counts of the distinct values: no group's values meet in one buffer."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    ranked = running(counts, keys, F.floor(F.col("_v")), ["_v"], {"_upto": ("sum", F.col("_n"))})
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
+    both = ranked.join(total.withColumnsRenamed({k: f"_k_{k}" for k in keys}), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.lit(True)))
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    each = []
+    for name, p in ps.items():
+        h = (F.col("_all") - 1) * p
+        each += [at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}"), F.first(h - F.floor(h)).alias(f"_f_{name}")]
+    out = both.groupBy(*keys).agg(*each)
+    return out.select(*keys, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in ps))
+
+
+def described(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, deviation, least, quartiles and largest of each numeric column, a row a column."""
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.*")
+    basic = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("largest"))
+    return basic.join(percentiles(long, ["column"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "column", "left")
+
+
+def edge_bins(rows: DataFrame, value: str, y: str, bins: int = 8) -> DataFrame:
+    """Outcome by equal-width right-closed bins between the least and the largest value; the least counts to the first bin."""
+    ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    place = F.ceil((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins) - 1
+    b = F.greatest(F.lit(0), F.least(place, F.lit(bins - 1))).cast("int")
+    kept = rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends))
+    return kept.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("rate"), F.avg(value).alias("mean"))
+
+
+def open_totals(bets: DataFrame, keys: list[str]) -> DataFrame:
+    """Open bets, their stakes and what they would win."""
+    o = bets.where(F.col("status") == "open")
+    return o.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_open"), F.sum("stake").alias("staked"), F.sum((F.col("odds") - 1) * F.col("stake")).alias("to_win"))
+
+
+def event_counts(bets: DataFrame) -> DataFrame:
+    """Open and resolved bets of each event."""
+    return bets.groupBy("event_id").agg(F.sum((F.col("status") == "open").cast("int")).alias("n_open"), F.sum((F.col("status") == "resolved").cast("int")).alias("n_resolved"))
+
+
 def niches(bets: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Groups of all keys together that have enough bets."""
     return bets.groupBy(*keys).agg(*measures()).where(F.col("n") >= least)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyline.operators.running import month, running
+
 ORDER = ("date", "contest_id", "side")
-SERIES_SLAM = "BUILDING"
 
 
 def by(*keys: str):
@@ -37,7 +38,7 @@ def rate(past: str, since: Column | None = None, default: Column | float | None
     return out if default is None else F.coalesce(out, default if isinstance(default, Column) else F.lit(default))
 
 
-def player_features(app: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20)) -> DataFrame:
+def player_features(app: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20), slam: str = "Grand Slam") -> DataFrame:
     """Form, surface rates, rest, fatigue, head-to-head and experience of each appearance before its contest."""
     before = Window.unboundedPreceding
     out = app.withColumns(
@@ -47,7 +48,7 @@ def player_features(app: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20)) -
             "_last30": history(("player",), 30),
             "matches": F.count("won").over(by("player").rowsBetween(before, -1)),
             "wins": F.coalesce(F.sum("won").over(by("player").rowsBetween(before, -1)), F.lit(0)),
-            "slam_experience": F.coalesce(F.sum((F.col("series") == SERIES_SLAM).cast("int")).over(by("player").rowsBetween(before, -1)), F.lit(0)),
+            "slam_experience": F.coalesce(F.sum((F.col("series") == slam).cast("int")).over(by("player").rowsBetween(before, -1)), F.lit(0)),
             "days_since": F.datediff("date", F.lag("date").over(by("player"))),
         }
     )
@@ -86,9 +87,32 @@ def trailing(app: DataFrame, columns: list[str], n: int = 5, current: bool = Fal
 
 
 def monthly_surface_rate(app: DataFrame, months: int, least: int = 3) -> DataFrame:
-    """Surface rate since a calendar month's offset, without a cap on rows; one half below least contests."""
-    out = app.withColumn("_h", history(("player", "surface")))
-    return out.withColumn(f"surface_rate_{months}m", rate("_h", F.add_months("date", -months), least=least)).drop("_h")
+    """Surface rate since a calendar month's offset, without a cap on rows; one half below least contests.
+
+    Running counts and wins by player and surface are sampled where the span begins: the earlier rows
+    from a day on are those up to now less those before that day, found by the last row before it. Both
+    lie in one order, so a second pass over (day, row or question) gives them without any row's history.
+    """
+    name, keys = f"surface_rate_{months}m", ("player", "surface")
+    # On one day questions come before rows, so that they count the days before alone.
+    sides = F.array(F.struct(F.add_months("date", -months).alias("_d"), F.lit(0).alias("_kind")), F.struct(F.col("date").alias("_d"), F.lit(1).alias("_kind")))
+    both = app.select(*keys, "won", F.col("contest_id").alias("_c"), F.col("side").alias("_s"), F.explode(sides).alias("_e")).select("*", "_e.*").drop("_e")
+    w = Window.partitionBy(*keys).orderBy("_d", "_kind", "_c", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumns({"_n": F.coalesce(F.sum("_kind").over(w), F.lit(0)), "_won": F.coalesce(F.sum(F.col("won") * F.col("_kind")).over(w), F.lit(0))})
+    sign = F.when(F.col("_kind") == 1, 1).otherwise(-1)
+    n, won = (F.sum(sign * F.col(c)) for c in ("_n", "_won"))
+    found = both.groupBy(F.col("_c").alias("contest_id"), F.col("_s").alias("side")).agg(n.alias("_n"), won.alias("_won"))
+    return app.join(found, ["contest_id", "side"]).withColumn(name, F.when(F.col("_n") >= least, F.col("_won") / F.col("_n")).otherwise(0.5)).drop("_n", "_won")
+
+
+def unbounded_fatigue(app: DataFrame, days: int = 14) -> DataFrame:
+    """Earlier contests of a player within so many days, however many: a range frame over days, less what of the day itself comes later."""
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    at = Window.partitionBy("player").orderBy(day)
+    upto = F.count(F.lit(1)).over(at.rangeBetween(-days, 0))
+    # The day's own rows are counted whole; those not earlier are the row and those after it.
+    today = Window.partitionBy("player", "date").orderBy(*ORDER).rowsBetween(0, Window.unboundedFollowing)
+    return app.withColumn(f"fatigue_{days}_all", (upto - F.count(F.lit(1)).over(today)).cast("int"))
 
 
 def pair_history(c: DataFrame) -> DataFrame:
@@ -128,23 +152,43 @@ def editions(rows: DataFrame, key: str, date: str, gap_days: int = 60) -> DataFr
 
 
 def losing_streak(bets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Longest run of losses of each group, by the difference of two row numbers."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    same = Window.partitionBy(*keys, "won").orderBy(*order)
-    runs = bets.withColumn("_g", F.row_number().over(w) - F.row_number().over(same)).where("won = 0").groupBy(*keys, "_g").count()
-    return runs.groupBy(*keys).agg(F.max("count").alias("longest_losing_streak"))
+    """Longest run of losses of each group: runs within each month by two row numbers, then the months put together in order.
+
+    Of a month it is enough to know its bets, its losses at either end and its longest run.
+    """
+    parts = bets.withColumn("_part", month())
+    w = Window.partitionBy(*keys, "_part").orderBy(*order)
+    same = Window.partitionBy(*keys, "_part", "won").orderBy(*order)
+    rows = parts.withColumns({"_r": F.row_number().over(w), "_g": F.row_number().over(w) - F.row_number().over(same)})
+    runs = rows.groupBy(*keys, "_part", "won", "_g").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("_r").alias("a"), F.max("_r").alias("z"))
+    lost, one = F.col("won") == 0, F.struct(F.col("z").alias("z"), F.col("n").alias("n"))
+    months = runs.groupBy(*keys, "_part").agg(
+        F.max("z").alias("rows"),
+        F.coalesce(F.max(F.when(lost, F.col("n"))), F.lit(0)).alias("longest"),
+        F.coalesce(F.max(F.when(lost & (F.col("a") == 1), F.col("n"))), F.lit(0)).alias("head"),
+        F.max(F.when(lost, one)).alias("last"),
+    )
+    tail = F.when(F.col("last.z") == F.col("rows"), F.col("last.n")).otherwise(0)
+    each = F.array_sort(F.collect_list(F.struct("_part", "rows", "longest", "head", tail.alias("tail"))))
+
+    def step(a: Column, m: Column) -> Column:
+        run = a["run"] + m["head"]
+        return F.struct(F.greatest(a["best"], run, m["longest"]).alias("best"), F.when(m["head"] == m["rows"], run).otherwise(m["tail"]).alias("run"))
+
+    best = F.aggregate(each, F.struct(F.lit(0).alias("best"), F.lit(0).alias("run")), step, lambda a: a["best"].cast("long"))
+    return months.groupBy(*keys).agg(best.alias("longest_losing_streak")).where("longest_losing_streak > 0")
 
 
 def equity(bets: DataFrame, keys: list[str], order: list[str], initial: float = 1000.0) -> DataFrame:
     """Running profit, its peak and the drawdown, absolute and as a share of the peak."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = bets.withColumn("cum_profit", F.sum("profit").over(w))
-    out = out.withColumn("peak", F.greatest(F.lit(initial), F.max(initial + F.col("cum_profit")).over(w)))
-    return out.withColumns({"drawdown": F.col("peak") - initial - F.col("cum_profit"), "drawdown_share": (F.col("peak") - initial - F.col("cum_profit")) / F.col("peak")})
+    out = running(bets, keys, month(), order, {"cum_profit": ("sum", F.col("profit"))})
+    out = running(out, keys, month(), order, {"peak": ("max", initial + F.col("cum_profit"))})
+    out = out.withColumn("peak", F.greatest(F.lit(initial), "peak"))
+    fall = F.col("peak") - initial - F.col("cum_profit")
+    return out.withColumns({"drawdown": fall, "drawdown_share": fall / F.col("peak"), "drawdown_soft": fall / (F.col("peak") + 1e-10), "drawdown_percent": 100 * fall / F.col("peak")})
 
 
 def compounded(bets: DataFrame, keys: list[str], order: list[str], share: str, initial: float = 1000.0) -> DataFrame:
     """Bankroll after each bet of a share of it: the initial one times a running product, no loop."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     gain = F.when(F.col("won") == 1, F.col("odds") - 1).otherwise(-1.0)
-    return bets.withColumn("bankroll", initial * F.product(1 + F.col(share) * gain).over(w))
+    return running(bets, keys, month(), order, {"bankroll": ("product", 1 + F.col(share) * gain)}).withColumn("bankroll", initial * F.col("bankroll"))

@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as S
-from tallyline.operators import asof
+from tallyline.operators import asof, models
 from tallyline.operators.ratings import fold
+from tallyline.operators.running import month, running
 
+ORDER = ["date", "contest_id"]
 
-def flat_log(bets: DataFrame, keys: list[str], initial: float = 1000.0, share: float = 0.02) -> DataFrame:
+
+def flat_log(bets: DataFrame, keys: list[str], initial: float = 1000.0, share: Column | float = 0.02) -> DataFrame:
     """Bets of a fixed part of the initial bankroll and the bankroll after each."""
-    amount = initial * share
-    out = bets.withColumns({"stake": F.lit(amount), "profit": F.when(F.col("won") == 1, amount * (F.col("odds") - 1)).otherwise(-amount)})
-    w = Window.partitionBy(*keys).orderBy("date", "contest_id").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("bankroll", initial + F.sum("profit").over(w))
+    amount = initial * (share if isinstance(share, Column) else F.lit(share))
+    out = bets.withColumns({"stake": amount, "profit": F.when(F.col("won") == 1, amount * (F.col("odds") - 1)).otherwise(-amount)})
+    return running(out, keys, month(), ORDER, {"bankroll": ("sum", F.col("profit"))}).withColumn("bankroll", initial + F.col("bankroll"))
+
+
+def merged_logs(logs: list[DataFrame], keys: list[str], initial: float = 1000.0) -> DataFrame:
+    """Bet logs of several strategies in one order, with the profit so far over all of them."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [x.withColumn("log", F.lit(i)) for i, x in enumerate(logs)])
+    out = running(both, keys, month(), ["date", "contest_id", "log"], {"cum_profit": ("sum", F.col("profit"))})
+    return out.withColumn("bankroll", initial + F.col("cum_profit"))
 
 
 def compounding(bets: DataFrame, keys: list[str], initial: float = 1000.0, stop_share: float | None = None) -> DataFrame:
@@ -27,15 +37,59 @@ def compounding(bets: DataFrame, keys: list[str], initial: float = 1000.0, stop_
     bankroll moves by bets alone, so the stop holds from the first breach on: the product until then
     tells it.
     """
-    out = asof.compounded(bets, keys, ["date", "contest_id"], "share", initial)
+    out = asof.compounded(bets, keys, ORDER, "share", initial)
     if stop_share is None:
         return out
-    w = Window.partitionBy(*keys).orderBy("date", "contest_id")
-    out = out.withColumn("_peak", F.greatest(F.lit(initial), F.max("bankroll").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    broke = (F.col("bankroll") < (1 - stop_share) * F.col("_peak")).cast("int")
-    out = out.withColumn("_broke", broke)
-    earlier = F.coalesce(F.max("_broke").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("_earlier", earlier).where("_earlier = 0").drop("_peak", "_broke", "_earlier")
+    out = running(out, keys, month(), ORDER, {"_peak": ("max", F.col("bankroll"))})
+    out = out.withColumn("_broke", (F.col("bankroll") < (1 - stop_share) * F.greatest(F.lit(initial), "_peak")).cast("int"))
+    out = running(out, keys, month(), ORDER, {"_earlier": ("max", F.col("_broke"))}, current=False)
+    return out.where(F.coalesce("_earlier", F.lit(0)) == 0).drop("_peak", "_broke", "_earlier")
+
+
+def both_sides(c: DataFrame, rule: dict, p: str = "p1_prob") -> DataFrame:
+    """Of both sides' gated Kelly shares the larger bets, the first on ties; contests where neither passes go.
+
+    Shares don't depend on the bankroll, so the larger share is the larger stake at any bankroll.
+    """
+    one = S.gated_kelly(p, "odd1", S.implied("odd1"), rule)
+    two = S.gated_kelly(1 - F.col(p), "odd2", S.implied("odd2"), rule)
+    out = c.withColumns({"_a": F.coalesce(one, F.lit(0.0)), "_b": F.coalesce(two, F.lit(0.0))}).where("_a > 0 OR _b > 0")
+    first = (F.col("_a") > 0) & (F.col("_a") >= F.col("_b"))
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    out = out.withColumns(
+        {
+            "side": pick(F.lit(1), F.lit(2)), "share": pick(F.col("_a"), F.col("_b")), "odds": pick(F.col("odd1"), F.col("odd2")),
+            "prob": pick(F.col(p), 1 - F.col(p)), "won": pick(F.col("win1"), 1 - F.col("win1")),
+        }
+    ).drop("_a", "_b")
+    return out.withColumns({"edge": S.edge("prob", "odds"), "ev": S.expected_value("prob", "odds")})
+
+
+def historical(c: DataFrame, rule: dict, keys: list[str], initial: float = 1000.0, p: str = "p1_prob") -> DataFrame:
+    """Compounding bets on the better side at the contests' own odds, with stake and profit of each.
+
+    A bankroll of nothing would end it, but shares below one never reach that.
+    """
+    out = compounding(both_sides(c, rule, p), keys, initial)
+    gain = F.when(F.col("won") == 1, F.col("odds") - 1).otherwise(-1.0)
+    stake = F.col("bankroll") / (1 + F.col("share") * gain) * F.col("share")
+    return out.withColumn("stake", stake).withColumn("profit", F.col("stake") * gain)
+
+
+def pairs_of(app: DataFrame, key: str = "contest_id") -> DataFrame:
+    """Contests that have exactly two rows, one of which won, as rows of both sides; others are left out."""
+    side = F.array_sort(F.collect_list(F.struct("side", "player", "won", "odds")))
+    both = app.groupBy(key, "date").agg(F.count(F.lit(1)).alias("_n"), F.sum("won").alias("_won"), side.alias("_s"))
+    pick = lambda i, c: F.get("_s", i)[c]
+    return both.where("_n = 2 AND _won = 1").select(key, "date", pick(0, "player").alias("p1"), pick(1, "player").alias("p2"), pick(0, "won").alias("win1"))
+
+
+def simulated_prices(c: DataFrame, rated: DataFrame, p: Column, rule: dict, keys: list[str], margin: float = 0.05) -> DataFrame:
+    """The same at prices that the ratings before each contest give, with the margin in them."""
+    e = rated.select("contest_id", S.expected_score("elo_1", "elo_2").alias("_e"))
+    priced = c.drop("odd1", "odd2").join(e, "contest_id")
+    priced = priced.withColumns({"odd1": S.synthetic_odds(F.col("_e"), margin), "odd2": S.synthetic_odds(1 - F.col("_e"), margin)}).withColumn("p1_prob", p).drop("_e")
+    return historical(priced, rule, keys)
 
 
 def simulated(bets: DataFrame, league: str, initial: float = 1000.0, stop_share: float = 0.7, least: float = 0.5) -> DataFrame:
@@ -52,7 +106,7 @@ def simulated(bets: DataFrame, league: str, initial: float = 1000.0, stop_share:
         state["peak"] = max(peak, bank + profit)
         return stake, profit, bank + profit
 
-    return fold(bets, league, ["date", "contest_id"], step, ["share", "odds", "won"], {"stake": "double", "profit": "double", "bankroll": "double"})
+    return fold(bets, league, ORDER, step, ["share", "odds", "won"], {"stake": "double", "profit": "double", "bankroll": "double"})
 
 
 def sharpe(mean: Column, deviation: Column, times: float | Column) -> Column:
@@ -61,7 +115,7 @@ def sharpe(mean: Column, deviation: Column, times: float | Column) -> Column:
 
 def metrics(bets: DataFrame, keys: list[str], initial: float = 1000.0) -> DataFrame:
     """Bets, hits, stakes, profit, ROI, drawdown, Sharpe by bet, by day and by month, Calmar, profit factor of each group."""
-    run = asof.equity(bets, keys, ["date", "contest_id"], initial)
+    run = asof.equity(bets, keys, ORDER, initial)
     each = run.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("won").alias("wins"),
@@ -91,32 +145,42 @@ def metrics(bets: DataFrame, keys: list[str], initial: float = 1000.0) -> DataFr
 
 
 def t_test(bets: DataFrame, keys: list[str]) -> DataFrame:
-    """One-sample t of the profits against 0 and its one-sided p by the normal law, which many bets allow."""
+    """One-sample t of the profits against 0 and its one-sided p by Student's law, half of the two-sided one."""
     out = bets.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("profit").alias("mean"), F.stddev_samp("profit").alias("sd"))
     out = out.withColumn("t", F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n")))
-    # Abramowitz and Stegun 7.1.26 for the normal tail
-    x = F.abs("t") / math.sqrt(2)
-    k = 1 / (1 + 0.3275911 * x)
-    poly = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429))))
-    tail = 0.5 * poly * F.exp(-x * x)
-    return out.withColumn("p_one_sided", F.when(F.col("t") >= 0, tail).otherwise(1 - tail))
+    return out.withColumn("p_one_sided", F.when(F.col("n") > 1, S.t_tail("t", F.col("n") - 1)))
 
 
-def bootstrap(bets: DataFrame, keys: list[str], draws: int = 200, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """ROI intervals from resampling with Poisson(1) weights that follow from (bet, draw).
+#: Draws that one digest of a bet's id gives, at seven of its hexadecimal digits each.
+LANES = 4
 
-    The draws are an array in each bet's row, summed before the shuffle: one row a group and draw moves.
-    """
-    u = S.hash_uniform("contest_id", "draw")
-    cumulative, weight, total = 0.0, F.lit(7), []
+
+def poisson_weight(u: Column) -> Column:
+    """How often a resample takes a bet, from a number in [0, 1): Poisson's law of mean 1."""
+    out, cumulative, steps = F.lit(7), 0.0, []
     for k in range(7):
         cumulative += math.exp(-1) / math.factorial(k)
-        total.append((cumulative, k))
-    for c, k in reversed(total):
-        weight = F.when(u < c, k).otherwise(weight)
-    drawn = bets.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
-    rois = drawn.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("profit")), F.sum(F.col("_w") * F.col("stake"))).alias("roi"))
-    return rois.groupBy(*keys).agg(F.percentile("roi", low).alias("roi_low"), F.percentile("roi", high).alias("roi_high"), F.avg((F.col("roi") > 0).cast("double")).alias("p_positive"))
+        steps.append((round(cumulative, 12), k))
+    for c, k in reversed(steps):
+        out = F.when(u < c, k).otherwise(out)
+    return out
+
+
+def bootstrap(bets: DataFrame, keys: list[str], draws: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """ROI intervals from resampling with Poisson weights that follow from (bet, draw).
+
+    A bet is repeated for every few draws within its task and summed there at once; one row a group and few draws moves.
+    """
+    digest = F.md5(F.concat_ws(":", F.col("contest_id").cast("string"), F.col("_b").cast("string")))
+    u = lambda lane: F.conv(F.substring(F.col("_h"), 1 + 7 * lane, 7), 16, 10).cast("double") / float(1 << 28)
+    each = bets.select(*keys, "contest_id", "profit", "stake", F.explode(F.sequence(F.lit(0), F.lit(draws // LANES - 1))).alias("_b")).withColumn("_h", digest)
+    each = each.select(*keys, "_b", "profit", "stake", *(poisson_weight(u(k)).alias(f"_w{k}") for k in range(LANES)))
+    sums = each.groupBy(*keys, "_b").agg(*(F.sum(F.col(f"_w{k}") * F.col(c)).alias(f"_{c}{k}") for k in range(LANES) for c in ("profit", "stake")))
+    rois = sums.select(*keys, F.explode(F.array(*(F.try_divide(f"_profit{k}", f"_stake{k}") for k in range(LANES)))).alias("roi"))
+    return rois.groupBy(*keys).agg(
+        F.avg("roi").alias("roi_mean"), F.stddev_pop("roi").alias("roi_sd"), F.percentile("roi", low).alias("roi_low"),
+        F.percentile("roi", high).alias("roi_high"), F.avg((F.col("roi") > 0).cast("double")).alias("p_positive"),
+    )
 
 
 def yearly_folds(rows: DataFrame, train_years: int = 4, least_train: int = 1000, least_test: int = 50) -> DataFrame:
@@ -124,7 +188,7 @@ def yearly_folds(rows: DataFrame, train_years: int = 4, least_train: int = 1000,
     years = rows.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     before = years.select(F.col("year").alias("_y"), F.col("n").alias("_n"))
     joined = years.join(before, (F.col("_y") < F.col("year")) & (F.col("_y") >= F.col("year") - train_years), "left")
-    sized = joined.groupBy("year", "n").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_train")).withColumnRenamed("n", "n_test")
+    sized = joined.groupBy("year", "n").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_train"), F.min("_y").alias("first_year")).withColumnRenamed("n", "n_test")
     return sized.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)).withColumn("calibration_year", F.col("year") - 1)
 
 
@@ -148,14 +212,97 @@ def best(rows: DataFrame, by: Column, columns: list[str]) -> DataFrame:
 
 def drawdown_gate(bets: DataFrame, keys: list[str], limit: float = 0.25, initial: float = 1000.0) -> DataFrame:
     """Bets until the drawdown first reaches the limit; it holds from then on, for only bets move the bankroll."""
-    run = asof.equity(bets, keys, ["date", "contest_id"], initial)
-    w = Window.partitionBy(*keys).orderBy("date", "contest_id").rowsBetween(Window.unboundedPreceding, -1)
-    return run.withColumn("blocked", F.coalesce(F.max((F.col("drawdown_share") >= limit).cast("int")).over(w), F.lit(0)))
+    run = asof.equity(bets, keys, ORDER, initial).withColumn("_broke", (F.col("drawdown_share") >= limit).cast("int"))
+    out = running(run, keys, month(), ORDER, {"blocked": ("max", F.col("_broke"))}, current=False)
+    return out.withColumn("blocked", F.coalesce("blocked", F.lit(0))).drop("_broke")
 
 
-def caps(bets: DataFrame, daily: float, tournament: float, initial: float = 1000.0) -> DataFrame:
-    """Bets whose stake still fits the day's and the tournament's caps, counting earlier ones of the same day."""
+def caps(bets: DataFrame, daily: float = 0.10, tournament: float = 0.08, concurrent: int = 8) -> DataFrame:
+    """Whether a bet fits the day's, the tournament's and the open bets' caps, counting all asked for earlier on its day; bets close with their day."""
     day = Window.partitionBy("date").orderBy("contest_id", "side").rowsBetween(Window.unboundedPreceding, 0)
-    group = Window.partitionBy("date", "series").orderBy("contest_id", "side").rowsBetween(Window.unboundedPreceding, 0)
-    out = bets.withColumns({"day_share": F.sum("share").over(day), "series_share": F.sum("share").over(group)})
-    return out.withColumn("allowed", (F.col("day_share") <= daily) & (F.col("series_share") <= tournament))
+    group = Window.partitionBy("date", "tournament").orderBy("contest_id", "side").rowsBetween(Window.unboundedPreceding, 0)
+    out = bets.withColumns({"day_share": F.sum("share").over(day), "tournament_share": F.sum("share").over(group), "open_bets": F.count(F.lit(1)).over(day) - 1})
+    refused = F.when(F.col("day_share") > daily, "day").when(F.col("open_bets") >= concurrent, "open bets").when(F.col("tournament_share") > tournament, "tournament")
+    return out.withColumn("refused", refused)
+
+
+def walk_forward(rows: DataFrame, columns: list[str], folds: DataFrame, kind: str = "logistic") -> DataFrame:
+    """Calibrated predictions of every fold's test year: fitted on the train years but the last, calibrated on that one.
+
+    rows: contest_id, date, label and the columns; folds are those of yearly_folds, a row a year.
+    """
+    dated = rows.withColumn("_year", F.year("date"))
+    out = []
+    for f in folds.orderBy("year").collect():  # a fold is a model to train, so there are as many as years
+        first, last, year = f["first_year"], f["calibration_year"], f["year"]
+        fitted = models.estimator(kind).fit(models.vectors(dated.where(F.col("_year").between(first, last - 1)), columns))
+        held = models.predicted(fitted, models.vectors(dated.where(F.col("_year") == last), columns), "p")
+        test = models.predicted(fitted, models.vectors(dated.where(F.col("_year") == year), columns), "p")
+        out.append(models.calibrated(held, test, "p").drop("x").withColumn("test_year", F.lit(year)))
+    if not out:
+        return dated.withColumns({"p": F.lit(None).cast("double"), "p_cal": F.lit(None).cast("double"), "test_year": F.lit(None).cast("int")}).where("false").drop("_year")
+    return reduce(DataFrame.unionByName, out).drop("_year")
+
+
+def stepped(rows: DataFrame, columns: list[str], first: str, months: int = 6, least_train: int = 200, least_test: int = 20, kind: str = "boosted") -> DataFrame:
+    """Predictions of steps of some months, fitted on all before but the last fifth by date, which calibrates; gaps become the training medians."""
+    from tallyline.operators.features import with_medians
+
+    end = rows.agg(F.max("date").alias("m")).first()["m"]
+    sizes = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    out = []
+    for a, b in step_folds(first, end.isoformat()) if end else []:
+        n = sizes.agg(F.sum(F.when(F.col("date") < a, F.col("n"))).alias("train"), F.sum(F.when((F.col("date") >= a) & (F.col("date") < b), F.col("n"))).alias("test")).first()
+        if (n["train"] or 0) < least_train or (n["test"] or 0) < least_test:
+            continue
+        train, held = split_by_date(rows.where(F.col("date") < a), 0.8, least_held=50)
+        test = rows.where((F.col("date") >= a) & (F.col("date") < b))
+        train, held, test = (models.vectors(with_medians(x, train, columns), columns) for x in (train, held, test))
+        fitted = models.estimator(kind).fit(train)
+        out.append(models.calibrated(models.predicted(fitted, held, "p"), models.predicted(fitted, test, "p"), "p").drop("x").withColumn("test_from", F.lit(a)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def split_by_date(rows: DataFrame, share: float = 0.8, least_held: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(train, held): rows before and from the day that the row at this share of all has, in order of date; at least so many are held.
+
+    The day is found from counts by day, so nothing is sorted whole.
+    """
+    days = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    total = days.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    at = min(int(total * share), total - least_held) if least_held else int(total * share)
+    w = Window.partitionBy(F.trunc("date", "year")).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    years = days.groupBy(F.trunc("date", "year").alias("_y")).agg(F.sum("n").alias("_t"))
+    before = years.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = days.withColumn("_r", F.sum("n").over(w)).join(before, F.trunc("date", "year") == F.col("_y"))
+    cut = ranked.where(F.col("_r") + F.col("_before") > at).agg(F.min("date").alias("d")).first()["d"]
+    if cut is None:
+        return rows, rows.where("false")
+    return rows.where(F.col("date") < F.lit(cut)), rows.where(F.col("date") >= F.lit(cut))
+
+
+def fold_metrics(bets: DataFrame, keys: list[str], n_folds: int, initial: float = 1000.0) -> DataFrame:
+    """Metrics of each strategy over all folds: Calmar takes the return of one fold times the folds."""
+    m = metrics(bets, keys, initial)
+    more = bets.groupBy(*keys).agg(F.avg("odds").alias("mean_odds"), F.avg("edge").alias("mean_edge"))
+    out = m.join(more, keys).withColumn("bets_per_year", F.col("n") / F.lit(max(n_folds, 1)))
+    return out.withColumn("calmar", F.when(F.col("max_drawdown") > 0, F.col("roi") * n_folds / F.col("max_drawdown")).otherwise(0.0))
+
+
+def compared(m: DataFrame, name: str) -> DataFrame:
+    """A table of strategies' metrics, marked with the best return and the best return beside its drawdown; the first name wins ties."""
+    risk = F.try_divide("roi", "max_drawdown")
+    rows = m.withColumn("risk_ratio", F.coalesce(risk, F.lit(0.0)))
+    ends = rows.agg(F.min_by(name, F.struct(-F.col("roi"), name)).alias("_r"), F.min_by(name, F.struct(-F.col("risk_ratio"), name)).alias("_k"))
+    return rows.crossJoin(F.broadcast(ends)).withColumns({"best_return": F.col(name) == F.col("_r"), "best_ratio": F.col(name) == F.col("_k")}).drop("_r", "_k")
+
+
+def tracked(bets: DataFrame, keys: list[str]) -> DataFrame:
+    """Running record of each strategy: bets, wins (profit above 0), sums, largest drawdown of the running profit, mean closing value."""
+    run = asof.equity(bets, keys, ORDER, 0.0)
+    out = run.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_bets"), F.sum((F.col("profit") > 0).cast("int")).alias("n_wins"), F.sum("stake").alias("staked"),
+        F.sum("profit").alias("profit"), F.max("drawdown").alias("drawdown"), F.avg("clv").alias("mean_clv"),
+    )
+    text = F.format_string("%d bets, %.1f%% won, ROI %.2f%%", F.col("n_bets"), 100 * F.col("n_wins") / F.col("n_bets"), 100 * F.col("profit") / F.col("staked"))
+    return out.withColumn("summary", text)

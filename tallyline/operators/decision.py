@@ -31,9 +31,9 @@ class Strategy:
 
 STRATEGIES = [
     Strategy("confident", 0.72, 0.05, 0.03, 1.2, 6.2),
-    Strategy("standard", 0.62, 0.03, 0.02, 1.2, 6.2, series=["BUILDING", "MACHINERY", "AUTOMOBILE"], fraction=6.0, high=0.04),
+    Strategy("standard", 0.62, 0.03, 0.02, 1.2, 6.2, series=["Grand Slam", "Masters 1000", "ATP500"], fraction=6.0, high=0.04),
     Strategy("volume", 0.57, 0.02, 0.01, 1.2, 6.2, stake="flat", flat_pct=0.015),
-    Strategy("specialist", 0.60, 0.03, 0.02, 1.2, 6.2, surfaces=["1-URGENT"], fraction=4.0),
+    Strategy("specialist", 0.60, 0.03, 0.02, 1.2, 6.2, surfaces=["Clay"], fraction=4.0),
 ]
 
 
@@ -112,3 +112,53 @@ def explained(c: DataFrame, p: str = "p1_prob", min_edge: float = 0.035) -> Data
     out = c.withColumns({"implied_1": S.implied("odd1"), "implied_2": S.implied("odd2"), "margin": S.overround("odd1", "odd2"), "fair_1": fair, "market_logit": S.logit(fair)})
     out = out.withColumns({"edge_fair": F.col(p) - F.col("fair_1"), "ev_1": S.expected_value(p, "odd1"), "ev_2": S.expected_value(1 - F.col(p), "odd2")})
     return out.withColumn("decision", F.when(F.col("edge_fair") >= min_edge, "bet 1").when(-F.col("edge_fair") >= min_edge, "bet 2").otherwise("pass"))
+
+
+def qualified(c: DataFrame, rule: dict, p: str = "p1_prob") -> DataFrame:
+    """Live choice of a side: the first if it passes its gates; the second replaces it only with a strictly larger edge."""
+    out = c.withColumns({"_e1": S.edge(p, "odd1"), "_e2": S.edge(1 - F.col(p), "odd2")})
+    ok = lambda q, n: S.gated_kelly(q, f"odd{n}", S.implied(f"odd{n}"), rule) > 0
+    a, b = F.coalesce(ok(p, 1), F.lit(False)), F.coalesce(ok(1 - F.col(p), 2), F.lit(False))
+    side = F.when(b & (~a | (F.col("_e2") > F.col("_e1"))), 2).when(a, 1)
+    return out.withColumn("bet_side", side).withColumn("edge", F.when(side == 1, F.col("_e1")).when(side == 2, F.col("_e2"))).drop("_e1", "_e2")
+
+
+def live_picks(c: DataFrame, min_edge: float, low: float, high: float, bankroll: float, divisor: float = 2.75, cap: float = 0.1, p: str = "p1_prob") -> DataFrame:
+    """Picks by edge over the fair market: the first side if its edge is enough, not below the other's, and its price in range, else the second likewise."""
+    fair = S.devig("odd1", "odd2")
+    out = c.withColumns({"edge_1": F.col(p) - fair, "edge_2": fair - F.col(p)})
+    inside = lambda n: F.col(f"odd{n}").between(low, high)
+    first = (F.col("edge_1") >= min_edge) & (F.col("edge_1") >= F.col("edge_2")) & inside(1)
+    side = F.when(first, 1).when((F.col("edge_2") >= min_edge) & inside(2), 2)
+    out = out.withColumn("bet_side", side)
+    q, odds = F.when(side == 1, F.col(p)).when(side == 2, 1 - F.col(p)), F.when(side == 1, F.col("odd1")).when(side == 2, F.col("odd2"))
+    stake = F.when(side.isNotNull(), S.capped_kelly(q, odds, F.lit(bankroll), divisor, cap)).otherwise(0.0)
+    return out.withColumns({"odds": odds, "stake": stake, "ev": F.round(S.expected_value(q, odds), 4)})
+
+
+def board(events: DataFrame, names: DataFrame, ranks: DataFrame, priced: DataFrame, rule: dict, bankroll: float) -> DataFrame:
+    """Coming events with the model's names, last ranks, pick, stake and tournament; an event without both names or prices has no pick.
+
+    events: event_id, home, away, odd1, odd2, key, title; names: (name, player); ranks: (player, rank); priced: (event_id, p1_prob).
+    """
+    out = events
+    for side in ("home", "away"):
+        known = names.select(F.col("name").alias(side), F.col("player").alias(f"player_{side}"))
+        out = out.join(known, side, "left").join(ranks.select(F.col("player").alias(f"player_{side}"), F.col("rank").alias(f"rank_{side}")), f"player_{side}", "left")
+    name, series, surface, best_of = S.tournament_facts("key", "title")
+    out = out.withColumns({"tournament": name, "series": series, "surface": surface, "best_of": best_of}).join(priced, "event_id", "left")
+    whole = F.col("player_home").isNotNull() & F.col("player_away").isNotNull() & (F.col("odd1") > 1) & (F.col("odd2") > 1)
+    v = value_side(out.withColumns({"win1": F.lit(0), "_whole": F.coalesce(whole, F.lit(False))})).drop("win1", "won")
+    stake, bet = S.table_stake("prob", "odds", F.lit(bankroll), rule)
+    has = F.col("_whole") & F.coalesce(bet & (F.col("edge") > 0), F.lit(False))
+    out = v.withColumns({"ev": S.expected_value("prob", "odds"), "bet": has}).withColumn("stake", F.when(F.col("bet"), stake).otherwise(0.0))
+    return out.drop("_whole")
+
+
+def totals(picks: DataFrame, keys: list[str]) -> DataFrame:
+    """Recommended bets, their stakes and the value they promise."""
+    b = F.col("bet")
+    return picks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(b.cast("int")).alias("bets"), F.sum(F.when(b, F.col("stake")).otherwise(0.0)).alias("staked"),
+        F.sum(F.when(b, F.col("stake") * F.col("ev")).otherwise(0.0)).alias("promised"),
+    )

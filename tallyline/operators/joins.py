@@ -20,6 +20,14 @@ def opponent_rows(app: DataFrame, columns: list[str]) -> DataFrame:
     return app.join(other, "contest_id").where(F.col("player") != F.col("_other")).drop("_other")
 
 
+def both_sides(c: DataFrame, dim: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Contests with columns of one dimension for both sides, as name_1 and name_2; unknown keys give null."""
+    out = c
+    for n in (1, 2):
+        out = out.join(dim.select(F.col(key).alias(f"p{n}"), *(F.col(x).alias(f"{new}_{n}") for x, new in columns.items())), f"p{n}", "left")
+    return out
+
+
 def match_names(names: DataFrame, known: DataFrame, name: str = "name", other: str = "known_name", seq: str = "known_seq") -> DataFrame:
     """Best known name of each name: equal, else last name and initial, else last name; the earliest known wins.
 
@@ -34,15 +42,33 @@ def match_names(names: DataFrame, known: DataFrame, name: str = "name", other: s
     return names.select(name).distinct().join(best, name, "left").select(name, F.col(f"m.{other}").alias(other), F.col("m.tier").alias("tier"))
 
 
+def grams(words: Column) -> Column:
+    """Stretches of three letters of each word, and shorter words whole."""
+    cut = lambda w: F.when(F.length(w) < 3, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))
+    return F.array_distinct(F.flatten(F.transform(words, cut)))
+
+
 def score_names(names: DataFrame, known: DataFrame, name: str = "name", other: str = "known_name", seq: str = "known_seq", accept: float = 2.0) -> DataFrame:
-    """Scored matches: 3 for equal names, 2 for equal last names, 1.5 for a shared token, and 1 more for an equal initial."""
-    a = names.select(name).distinct().withColumn("_t", name_tokens(name))
-    b = known.select(other, seq).withColumn("_u", name_tokens(other))
-    pairs = a.withColumn("_k", F.explode(F.array_distinct("_t"))).join(b.withColumn("_k", F.explode(F.array_distinct("_u"))), "_k").drop("_k").distinct()
-    same_last = F.try_element_at("_t", F.lit(-1)) == F.try_element_at("_u", F.lit(-1))
-    initial = F.when(F.left(F.get("_t", 0), F.lit(1)) == F.left(F.get("_u", 0), F.lit(1)), 1.0).otherwise(0.0)
-    score = F.when(F.col("_t") == F.col("_u"), 3.0).when(same_last, 2.0 + initial).otherwise(1.5 + initial)
-    best = pairs.withColumn("score", score).where(F.col("score") >= accept)
+    """Names as 'First Last' matched to known ones as 'Last F.' by score; the best of at least accept, the earliest on ties.
+
+    3 for the last name as the first word known or as all words but the last, 2 where one holds the
+    other, 1.5 where any word known holds it, and 1 more for the initial. Candidates share a stretch
+    of three letters, which any word that holds another does; words of fewer letters match whole.
+    """
+    a = names.select(name).distinct().withColumn("_t", F.filter(F.split(plain_name(name), " "), lambda w: w != "")).where(F.size("_t") >= 2)
+    b = known.select(other, seq).withColumn("_u", F.filter(F.split(plain_name(other), " "), lambda w: w != "")).where(F.size("_u") > 0)
+    last = F.try_element_at("_t", F.lit(-1))
+    left = a.withColumn("_last", last).withColumn("_k", F.explode(F.array_union(grams(F.array(last)), grams(F.slice("_t", 2, F.size("_t"))))))
+    right = b.withColumn("_k", F.explode(grams(F.col("_u"))))
+    pairs = left.join(right, "_k").drop("_k").distinct()
+    first, all_but = F.get("_u", 0), F.when(F.size("_u") > 1, F.slice("_u", 1, F.size("_u") - 1)).otherwise(F.col("_u"))
+    own, full = F.array_join(F.slice("_t", 2, F.size("_t")), " "), F.array_join(all_but, " ")
+    base = (
+        F.when(F.col("_last") == first, 3.0).when(F.contains(first, F.col("_last")) | F.contains(F.col("_last"), first), 2.0)
+        .when(own == full, 3.0).when(F.contains(full, F.col("_last")), 1.5)
+    )
+    initial = F.when((F.size("_u") > 1) & (F.left(F.get("_t", 0), F.lit(1)) == F.left(F.try_element_at("_u", F.lit(-1)), F.lit(1))), 1.0).otherwise(0.0)
+    best = pairs.withColumn("score", base + initial).where(F.col("score") >= accept)
     return first_per_key(best, [name], [F.desc("score"), seq]).select(name, other, "score")
 
 
@@ -57,10 +83,10 @@ def first_available(df: DataFrame, dims: list[tuple[DataFrame, str, str]], value
 
 
 def in_range(spans: DataFrame, rows: DataFrame, key: str, start: str, end: str, at: str, best: Column) -> DataFrame:
-    """The best row of the same key within each span, null without one."""
-    hit = rows.withColumn("_b", best)
-    joined = spans.join(hit, key, "left").where(F.col(at).isNull() | F.col(at).between(F.col(start), F.col(end)))
-    return joined.groupBy(key, start, end).agg(F.min("_b").alias("hit"))
+    """The best row of the same key within each span, ends included, null without one."""
+    hit = rows.select(F.col(key).alias("_key"), F.col(at).alias("_at"), best.alias("_b"))
+    inside = (F.col(key) == F.col("_key")) & F.col("_at").between(F.col(start), F.col(end))
+    return spans.join(hit, inside, "left").groupBy(key, start, end).agg(F.min("_b").alias("hit"))
 
 
 def without_neighbours(rows: DataFrame, others: DataFrame, key: str, date: str, days: int = 30) -> DataFrame:

@@ -78,16 +78,105 @@ def settled(bets: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("profit", F.when(F.col("result").isNotNull(), S.settled_profit("stake", "odds", "result"))).drop("winner_side")
 
 
+def reopened(bets: DataFrame, events: DataFrame) -> DataFrame:
+    """Bets of these events as open ones again, without result, profit and time of resolution."""
+    hit = bets.join(events.select("event_id").distinct().withColumn("_hit", F.lit(True)), "event_id", "left")
+    open_ = {"status": F.lit("open"), "result": F.lit(None).cast("string"), "profit": F.lit(None).cast("double"), "resolved_at": F.lit(None).cast("timestamp_ntz")}
+    return hit.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in open_.items() if c in bets.columns}).drop("_hit").select(*bets.columns)
+
+
+def settled_events(events: DataFrame, results: DataFrame) -> DataFrame:
+    """Events with the winner that results give; a result without a winner opens an event again."""
+    r = results.select("event_id", F.col("winner_side").alias("_w"), F.lit(True).alias("_hit"))
+    out = events.join(r, "event_id", "left")
+    status = F.when(F.col("_hit"), F.when(F.col("_w").isNull(), "upcoming").otherwise("completed")).otherwise(F.col("status"))
+    return out.withColumns({"status": status, "winner_side": F.when(F.col("_hit"), F.col("_w")).otherwise(F.col("winner_side"))}).drop("_w", "_hit").select(*events.columns)
+
+
+def applied(bets: DataFrame, results: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bets, bankrolls) after results: winners settle bets, a null winner opens them, and each user's bankroll follows."""
+    from tallyline.operators.aggregates import bankrolls
+
+    told = results.where(F.col("winner_side").isNotNull())
+    of = told.select("event_id").distinct()
+    done = settled(bets.join(of, "event_id", "left_semi"), told)
+    rest = reopened(bets.join(of, "event_id", "left_anti"), results.where(F.col("winner_side").isNull()))
+    now = rest.unionByName(done.select(*bets.columns))
+    return now, bankrolls(users, now)
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, allowed: Column) -> DataFrame:
+    """Rows with the values of changes where the row allows it; a null in a change leaves the value."""
+    new = changes.select(F.col(key), *(F.col(c).alias(f"_n_{c}") for c in changes.columns if c != key))
+    out = rows.withColumn("_ok", allowed).join(new, key, "left")
+    return out.select(*(F.when(F.col("_ok"), F.coalesce(f"_n_{c}", c)).otherwise(F.col(c)).alias(c) if f"_n_{c}" in out.columns else F.col(c) for c in rows.columns))
+
+
+def added(bets: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Bets with new ones, which are open, without result and profit; the next numbers go by the new ones' order."""
+    top = bets.agg(F.coalesce(F.max("bet_id"), F.lit(0)).alias("_m"))
+    # A part's rows are numbered by themselves and parts after each other, so that no task sees all new ones.
+    parts = new.withColumn("_p", F.pmod(F.xxhash64(*columns), F.lit(64)))
+    before = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = parts.join(F.broadcast(before), "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*columns)) + F.col("_before"))
+    rows = numbered.crossJoin(F.broadcast(top)).withColumn("bet_id", F.col("_m") + F.col("_r")).drop("_p", "_c", "_before", "_r", "_m")
+    return bets.unionByName(rows.withColumns({"status": F.lit("open"), "result": F.lit(None).cast("string"), "profit": F.lit(None).cast("double")}), allowMissingColumns=True)
+
+
+def closed(bets: DataFrame, results: DataFrame) -> DataFrame:
+    """Bets with the results given for them by bet_id and their profits; others, and unknown ids, change nothing."""
+    r = results.select("bet_id", F.col("result").alias("_r"))
+    out = bets.join(r, "bet_id", "left")
+    hit = F.col("_r").isNotNull()
+    return out.withColumns(
+        {
+            "profit": F.when(hit, S.settled_profit("stake", "odds", "_r")).otherwise(F.col("profit")), "status": F.when(hit, "resolved").otherwise(F.col("status")),
+            "result": F.when(hit, F.col("_r")).otherwise(F.col("result")),
+        }
+    ).drop("_r").select(*bets.columns)
+
+
+def open_bets(bets: DataFrame) -> DataFrame:
+    return bets.where(F.col("status") == "open")
+
+
+def journalled(journal_: DataFrame, moves: DataFrame) -> DataFrame:
+    """A bankroll journal with deposits and withdrawals: each row's amount is the user's last one and all moves since.
+
+    journal_: user_id, moment, seq, amount, action; moves: user_id, moment, seq, change (a withdrawal is negative). One of more than there is isn't made.
+    """
+    last = journal(journal_).select("user_id", "bankroll")
+    w = Window.partitionBy("user_id").orderBy("moment", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = moves.join(last, "user_id", "left").withColumn("amount", F.coalesce("bankroll", F.lit(0.0)) + F.sum("change").over(w))
+    done = out.where("amount >= 0").select("user_id", "moment", "seq", "amount", F.when(F.col("change") >= 0, "deposit").otherwise("withdraw").alias("action"))
+    return journal_.select("user_id", "moment", "seq", "amount", "action").unionByName(done)
+
+
+def combined_initial(rows: DataFrame, default: float = 1000.0) -> DataFrame:
+    """A user's initial bankroll from several old journals: of each the first row called initial, else the first row, summed; the default without any."""
+    at = F.struct("moment", "seq")
+    each = rows.groupBy("user_id", "source").agg(F.coalesce(F.min_by("amount", F.when(F.col("action") == "initial", at)), F.min_by("amount", at)).alias("a"))
+    return each.groupBy("user_id").agg(F.coalesce(F.sum("a"), F.lit(default)).alias("initial"))
+
+
+def listed(events: DataFrame, sport: str | None = None, with_completed: bool = True) -> DataFrame:
+    """Events of a sport, or of all, upcoming ones first, by time (those without one before others), the newest of one time first."""
+    rows = events if sport is None else events.where(F.col("sport") == sport)
+    rows = rows if with_completed else rows.where(F.col("status") == "upcoming")
+    return rows.orderBy(F.when(F.col("status") == "upcoming", 0).otherwise(1), F.coalesce(F.col("event_datetime").cast("string"), F.lit("")), F.desc("event_id"))
+
+
 def deletable(events: DataFrame, bets: DataFrame) -> DataFrame:
     """Events without a bet, which alone may be deleted."""
     return events.join(bets.select("event_id").distinct(), "event_id", "left_anti")
 
 
-def imported(raw: DataFrame) -> DataFrame:
-    """Legacy rows (pick, player_1, player_2, odds, stake, status, result, date) as ledger rows; stakes of 0 or less go."""
+def imported(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Legacy rows (pick, player_1, player_2, odds, stake, status, result, date) as ledger rows, with columns to keep; stakes of 0 or less go."""
     stake, result = S.first_number("stake"), S.normal_result("result")
     odds = F.coalesce(S.valid_odds(S.first_number("odds")), F.lit(1.01))
     out = raw.select(
+        *(keep or []),
         S.pick_side("pick", "player_1", "player_2").alias("pick"),
         odds.alias("odds"),
         stake.alias("stake"),

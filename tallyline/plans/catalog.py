@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as S
 from tallyline.operators import aggregates as A
-from tallyline.operators import asof, backtest, decision, joins, ledger, models, ratings
+from tallyline.operators import asof, backtest, decision, joins, ledger, models
 from tallyline.operators import features as features_
 from tallyline.operators.contests import SQL as C0
 from tallyline.operators.contests import appearances, contests
-from tallyline.session import let_workers_import, table
+from tallyline.plans.registry import query
+from tallyline.session import table
 from tallyline.sources import tables as sources
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def dated(df: DataFrame, *columns: str) -> DataFrame:
     """Dates as text, which every engine prints alike."""
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
@@ -120,13 +105,15 @@ def a11_profile(spark, sf_dir):
 
 @query("a08_value_counts", f"WITH {C0} SELECT surface, series, count(*) AS n FROM c0 GROUP BY 1, 2")
 def a08_value_counts(spark, sf_dir):
-    return contests(spark, sf_dir).groupBy("surface", "series").agg(F.count(F.lit(1)).alias("n"))
+    return A.value_counts(contests(spark, sf_dir), ["surface", "series"])
 
 
 @query("a22_percentiles", f"WITH {BETS} SELECT surface, round(quantile_cont(odds, 0.05), 6) AS p05, round(quantile_cont(odds, 0.5), 6) AS p50, round(quantile_cont(odds, 0.95), 6) AS p95, round(stddev_pop(profit), 6) AS sd_pop, round(stddev_samp(profit), 6) AS sd_samp FROM bets GROUP BY 1")
 def a22_percentiles(spark, sf_dir):
-    q = lambda p: F.round(F.percentile("odds", p), 6)
-    return bets(spark, sf_dir).groupBy("surface").agg(q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.round(F.stddev_pop("profit"), 6).alias("sd_pop"), F.round(F.stddev_samp("profit"), 6).alias("sd_samp"))
+    b = bets(spark, sf_dir)
+    spread = b.groupBy("surface").agg(F.round(F.stddev_pop("profit"), 6).alias("sd_pop"), F.round(F.stddev_samp("profit"), 6).alias("sd_samp"))
+    p = A.percentiles(b, ["surface"], "odds", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return p.join(spread, "surface").select("surface", *(F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")), "sd_pop", "sd_samp")
 
 
 # Ledger: orders are bets, their customers users.
@@ -203,7 +190,7 @@ _W = "PARTITION BY player ORDER BY date, contest_id, side"
   list({{'d': date, 'w': won}}) OVER (PARTITION BY player, surface ORDER BY date, contest_id, side ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS s50,
   count(won) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS matches,
   CAST(coalesce(sum(won) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS wins,
-  CAST(coalesce(sum(CAST(series = 'BUILDING' AS INTEGER)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS slam_experience,
+  CAST(coalesce(sum(CAST(series = 'Grand Slam' AS INTEGER)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS slam_experience,
   CAST(coalesce(date - lag(date) OVER ({_W}), -1) AS INTEGER) AS days_since,
   count(won) OVER (PARTITION BY player, opponent ORDER BY date, contest_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h2h_total,
   round(coalesce(avg(won) OVER (PARTITION BY player, opponent ORDER BY date, contest_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.5), 6) AS h2h_rate,
@@ -286,12 +273,7 @@ def w27_compounding(spark, sf_dir):
 
 
 # Decisions and back-tests.
-@query("b01_b03_recommendations")
-def b01_b03_recommendations(spark, sf_dir):
-    return decision.recommended(priced(spark, sf_dir), decision.STRATEGIES).select("contest_id", "side", "strategy", "pick", "odds", F.round("edge", 6).alias("edge"), F.round("ev", 6).alias("ev"), F.round("share", 6).alias("share"), "confidence")
-
-
-@query("b01_refusals", f"""WITH {PRICED}, rules AS (SELECT * FROM (VALUES ('confident', 0.72, 0.05, 0.03, [], []), ('standard', 0.62, 0.03, 0.02, ['BUILDING', 'MACHINERY', 'AUTOMOBILE'], []), ('volume', 0.57, 0.02, 0.01, [], []), ('specialist', 0.60, 0.03, 0.02, [], ['1-URGENT'])) r(strategy, th, me, mv, se, su)),
+@query("b01_refusals", f"""WITH {PRICED}, rules AS (SELECT * FROM (VALUES ('confident', 0.72, 0.05, 0.03, [], []), ('standard', 0.62, 0.03, 0.02, ['Grand Slam', 'Masters 1000', 'ATP500'], []), ('volume', 0.57, 0.02, 0.01, [], []), ('specialist', 0.60, 0.03, 0.02, [], ['Clay'])) r(strategy, th, me, mv, se, su)),
 s AS (SELECT series, surface, p1_prob AS p, odd1 AS o FROM priced UNION ALL SELECT series, surface, 1 - p1_prob, odd2 FROM priced)
 SELECT strategy, CASE WHEN p < th::DOUBLE THEN 'probability' WHEN p - 1 / o < me::DOUBLE THEN 'edge' WHEN p * o - 1 < mv::DOUBLE THEN 'value' WHEN o < 1.2::DOUBLE THEN 'odds too low' WHEN o > 6.2::DOUBLE THEN 'odds too high'
   WHEN len(se) > 0 AND NOT list_contains(se, series) THEN 'series' WHEN len(su) > 0 AND NOT list_contains(su, surface) THEN 'surface' ELSE 'eligible' END AS reason, count(*) AS n FROM s, rules GROUP BY 1, 2""")
@@ -306,11 +288,9 @@ def b20_value_side(spark, sf_dir):
 
 @query("b24_explained", f"""WITH {PRICED}, f AS (SELECT *, (1 / odd1) / (1 / odd1 + 1 / odd2) AS fair FROM priced) SELECT contest_id, round(1 / odd1, 9) + 0.0 AS implied_1, round(1 / odd2, 9) + 0.0 AS implied_2, round(1 / odd1 + 1 / odd2 - 1, 9) + 0.0 AS margin, round(fair, 9) + 0.0 AS fair_1,
 round(ln(greatest(0.01, least(0.99, fair)) / (1 - greatest(0.01, least(0.99, fair)))), 9) + 0.0 AS market_logit, round(p1_prob * odd1 - 1, 9) + 0.0 AS ev_1, round((1 - p1_prob) * odd2 - 1, 9) + 0.0 AS ev_2,
-CASE WHEN round(p1_prob - fair, 9) >= 0.045 THEN 'bet 1' WHEN round(fair - p1_prob, 9) >= 0.045 THEN 'bet 2' ELSE 'pass' END AS decision FROM f""")
+CASE WHEN p1_prob - fair >= 0.0451 THEN 'bet 1' WHEN fair - p1_prob >= 0.0451 THEN 'bet 2' ELSE 'pass' END AS decision FROM f""")
 def b24_explained(spark, sf_dir):
-    out = decision.explained(priced(spark, sf_dir), min_edge=0.045)
-    e = F.round("edge_fair", 9)
-    out = out.withColumn("decision", F.when(e >= 0.045, "bet 1").when(-e >= 0.045, "bet 2").otherwise("pass"))
+    out = decision.explained(priced(spark, sf_dir), min_edge=0.0451)
     return out.select("contest_id", *(rounded(c).alias(c) for c in ("implied_1", "implied_2", "margin", "fair_1", "market_logit", "ev_1", "ev_2")), "decision")
 
 
@@ -328,28 +308,6 @@ def b06_metrics(spark, sf_dir):
     return m.select("surface", "n", "wins", *(F.round(c, d).alias(c) for c, d in digits.items()))
 
 
-@query("b04_yearly_folds", f"""WITH {C0}, y AS (SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM c0 GROUP BY 1) SELECT a.year, a.n AS n_test, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n_train, a.year - 1 AS calibration_year FROM y a LEFT JOIN y b ON b.year < a.year AND b.year >= a.year - 4 GROUP BY a.year, a.n HAVING coalesce(sum(b.n), 0) >= 1000 AND a.n >= 50""")
-def b04_yearly_folds(spark, sf_dir):
-    return backtest.yearly_folds(contests(spark, sf_dir))
-
-
-@query("b16_t_test", f"WITH {BETS} SELECT surface, count(*) AS n, round(avg(profit), 6) AS mean, round(stddev_samp(profit), 6) AS sd, round(avg(profit) / (stddev_samp(profit) / sqrt(count(*))), 6) AS t FROM bets GROUP BY 1")
-def b16_t_test(spark, sf_dir):
-    return backtest.t_test(bets(spark, sf_dir), ["surface"]).select("surface", "n", *(F.round(c, 6).alias(c) for c in ("mean", "sd", "t")))
-
-
-@query("b09_bootstrap")
-def b09_bootstrap(spark, sf_dir):
-    return backtest.bootstrap(bets(spark, sf_dir), ["surface"])
-
-
-@query("b10_simulation")
-def b10_simulation(spark, sf_dir):
-    let_workers_import(spark)
-    b = bets(spark, sf_dir).where("edge > 0").withColumn("share", S.kelly_share("prob", "odds")).drop("stake", "profit")
-    return backtest.simulated(b, "surface").select("surface", "contest_id", F.round("stake", 4).alias("stake"), F.round("profit", 4).alias("profit"), F.round("bankroll", 4).alias("bankroll"))
-
-
 @query("b02_drawdown_gate", f"""WITH {BETS}, e AS (SELECT *, 1000 + sum(profit) OVER w AS bank FROM bets WINDOW w AS (PARTITION BY surface ORDER BY date, contest_id ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT *, greatest(1000.0::DOUBLE, max(bank) OVER (PARTITION BY surface ORDER BY date, contest_id ROWS UNBOUNDED PRECEDING)) AS peak FROM e)
 SELECT surface, contest_id, coalesce(max(CAST((peak - bank) / peak >= 0.25 AS INTEGER)) OVER (PARTITION BY surface ORDER BY date, contest_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS blocked FROM p""")
@@ -386,14 +344,19 @@ def f10_f14_prices(spark, sf_dir):
     )
 
 
-@query("f19_names", r"SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')) AS plain, array_to_string(list_filter(regexp_split_to_array(lower(c_name), '[^a-z0-9'']+'), lambda x: x <> ''), ' ') AS tokens FROM customer")
+#: First names with accents of several languages, put before the customers' own names.
+ACCENTED = ("Novak Đoković", "Marin Čilić", "Gaël O'Müller-Ångström", "Iga Świątek", "Łukasz  Kubot", "Štěpánková ĀB", "Nguyễn Văn", "Jean-Zoë")
+
+
+@query("f19_names", rf"WITH n AS (SELECT c_custkey, {list(ACCENTED)!r}[c_custkey % {len(ACCENTED)} + 1] || ' ' || c_name AS name FROM customer) SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(strip_accents(name)), '[^a-z\s]', '', 'g'), '\s+', ' ', 'g')) AS plain, array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(name)), '[^a-z0-9'']+'), lambda x: x <> ''), ' ') AS tokens FROM n".replace('"Gaël O\'Müller-Ångström"', "'Gaël O''Müller-Ångström'"))
 def f19_names(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", S.plain_name("c_name").alias("plain"), F.array_join(S.name_tokens("c_name"), " ").alias("tokens"))
+    n = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", F.get(F.lit(list(ACCENTED)), (F.col("c_custkey") % len(ACCENTED)).cast("int")), "c_name").alias("name"))
+    return n.select("c_custkey", S.plain_name("name").alias("plain"), F.array_join(S.name_tokens("name"), " ").alias("tokens"))
 
 
 @query("f38_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events")
 def f38_json(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type")
+    return table(spark, sf_dir, "events").select("event_id", S.json_field("props", "k").cast("long").alias("k"), "event_type")
 
 
 # Joins, sets, order.
@@ -441,9 +404,9 @@ def _best(feed: DataFrame) -> DataFrame:
 
 @query("u04_u05_keep", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS f, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS l FROM events) SELECT user_id, event_type, max(CASE WHEN f = 1 THEN event_id END) AS first_id, max(CASE WHEN l = 1 THEN event_id END) AS last_id FROM k GROUP BY 1, 2")
 def u04_u05_keep(spark, sf_dir):
-    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type")
-    at = F.struct("ts", "event_id")
-    return e.agg(F.min_by("event_id", at).alias("first_id"), F.max_by("event_id", at).alias("last_id"))
+    e, keys, order = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]
+    ends = [ledger.keep(e, keys, order, last).select(*keys, F.col("event_id").alias(n)) for last, n in ((False, "first_id"), (True, "last_id"))]
+    return ends[0].join(ends[1], keys)
 
 
 @query("s19_s21_incremental", """WITH old AS (SELECT * FROM events WHERE event_id % 3 > 0 AND ts < TIMESTAMP '2024-01-20'), inc AS (SELECT event_id, ts, user_id, event_type, value + 1 AS value, props FROM events), m AS (SELECT max(ts) AS m FROM old),
@@ -483,33 +446,6 @@ def s17_page_facts(spark, sf_dir):
     return sources.page_facts(table(spark, sf_dir, "pages")).drop("id")
 
 
-# Ratings and models: ordered folds and learners have no SQL; tests hold them against plain Python.
-@query("e02_surface_elo")
-def e02_surface_elo(spark, sf_dir):
-    return ratings.elo(contests(spark, sf_dir), "surface", k=40.0).select("contest_id", "surface", F.round("elo_1", 6).alias("elo_1"), F.round("elo_2", 6).alias("elo_2"))
-
-
-@query("e03_multi_elo")
-def e03_multi_elo(spark, sf_dir):
-    out = ratings.multi_elo(contests(spark, sf_dir))
-    return out.select("contest_id", *(F.round(c, 6).alias(c) for c in ("elo_p1", "elo_p2", "surf_elo_p1", "surf_elo_p2", "momentum_elo_p1", "momentum_elo_p2")))
-
-
-@query("e04_batched_elo")
-def e04_batched_elo(spark, sf_dir):
-    return ratings.batched_elo(contests(spark, sf_dir)).select("contest_id", "elo_1_pre", "elo_2_pre", "elo_div_1_pre", "elo_div_2_pre")
-
-
-@query("e06_current_ratings")
-def e06_current_ratings(spark, sf_dir):
-    return ratings.ranking(ratings.current(ratings.elo(contests(spark, sf_dir), "series")))
-
-
-@query("e09_features")
-def e09_features(spark, sf_dir):
-    return features_.dataset(ratings.multi_elo(contests(spark, sf_dir)))
-
-
 @query("e13_differentials", f"""WITH {C0}, t AS (SELECT contest_id, player, avg(odds) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS o, avg(won) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS w FROM app)
 SELECT c0.contest_id, round(a.o - b.o, 6) + 0.0 AS diff_odds_l5, round(a.w - b.w, 6) + 0.0 AS diff_won_l5 FROM c0 LEFT JOIN t a ON a.contest_id = c0.contest_id AND a.player = p1 LEFT JOIN t b ON b.contest_id = c0.contest_id AND b.player = p2""")
 def e13_differentials(spark, sf_dir):
@@ -533,17 +469,6 @@ def m01_scaled(spark, sf_dir):
     return models.scaled(c, c, ["odd1", "odd2"]).select("contest_id", F.round("odd1", 6).alias("odd1"), F.round("odd2", 6).alias("odd2"))
 
 
-@query("m06_m08_stack")
-def m06_m08_stack(spark, sf_dir):
-    """Train on years before the last two, calibrate on the one between, predict the last."""
-    c = priced(spark, sf_dir).select("contest_id", F.year("date").alias("year"), "odd1", "odd2", "p1_prob", F.col("win1").cast("double").alias("label")).persist()
-    last = c.agg(F.max("year")).first()[0]
-    columns = ["odd1", "odd2", "p1_prob"]
-    fitted = models.stacked(c.where(F.col("year") < last - 1), columns, ["logistic", "forest"], "contest_id")
-    held = models.stack_predict(fitted, c.where(F.col("year") == last - 1), columns)
-    return models.calibrated(held, models.stack_predict(fitted, c.where(F.col("year") == last), columns), "p").select("contest_id", F.round("p", 6).alias("p"), F.round("p_cal", 6).alias("p_cal"), "label")
-
-
 @query("st1_stream_ingest", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1")
 def st1_stream_ingest(spark, sf_dir):
     """All files of the events as a stream, without repeated ids, drained to a table and then summed."""
