@@ -184,12 +184,13 @@ def bootstrap(bets: DataFrame, keys: list[str], draws: int = 1000, low: float =
 
 
 def yearly_folds(rows: DataFrame, train_years: int = 4, least_train: int = 1000, least_test: int = 50) -> DataFrame:
-    """Test years with the sizes of their training spans; years with too few rows are left out."""
+    """Test years with the sizes of their training spans; years with too few rows, or too few years before them, are left out."""
     years = rows.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     before = years.select(F.col("year").alias("_y"), F.col("n").alias("_n"))
     joined = years.join(before, (F.col("_y") < F.col("year")) & (F.col("_y") >= F.col("year") - train_years), "left")
-    sized = joined.groupBy("year", "n").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_train"), F.min("_y").alias("first_year")).withColumnRenamed("n", "n_test")
-    return sized.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)).withColumn("calibration_year", F.col("year") - 1)
+    sized = joined.groupBy("year", "n").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n_train"), F.min("_y").alias("first_year"), F.count("_y").alias("_years")).withColumnRenamed("n", "n_test")
+    whole = (F.col("_years") == train_years) & (F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)
+    return sized.where(whole).drop("_years").withColumn("calibration_year", F.col("year") - 1)
 
 
 def step_folds(first: str, last: str, months: int = 6) -> list[tuple[str, str]]:

@@ -305,7 +305,7 @@ def e10_e11_single(spark, sf_dir):
     return features_.single(asked, history, rated).select("contest_id", *features_.EARLIER)
 
 
-@query("b04_yearly_folds", f"""WITH {C0}, y AS (SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM c0 GROUP BY 1) SELECT a.year, a.n AS n_test, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n_train, min(b.year) AS first_year, a.year - 1 AS calibration_year FROM y a LEFT JOIN y b ON b.year < a.year AND b.year >= a.year - 4 GROUP BY a.year, a.n HAVING coalesce(sum(b.n), 0) >= 1000 AND a.n >= 50""")
+@query("b04_yearly_folds", f"""WITH {C0}, y AS (SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n FROM c0 GROUP BY 1) SELECT a.year, a.n AS n_test, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n_train, min(b.year) AS first_year, a.year - 1 AS calibration_year FROM y a LEFT JOIN y b ON b.year < a.year AND b.year >= a.year - 4 GROUP BY a.year, a.n HAVING count(b.year) = 4 AND coalesce(sum(b.n), 0) >= 1000 AND a.n >= 50""")
 def b04_yearly_folds(spark, sf_dir):
     return backtest.yearly_folds(contests(spark, sf_dir))
 
