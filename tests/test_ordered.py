@@ -157,3 +157,34 @@ def test_pairs_need_two_rows_and_one_winner(spark):
     rows = [(1, 1, "a", 1), (1, 2, "b", 0), (2, 1, "a", 1), (3, 1, "a", 0), (3, 2, "b", 0), (4, 1, "a", 0), (4, 2, "b", 1), (4, 3, "c", 0)]
     app = spark.createDataFrame(rows, "contest_id long, side int, player string, won int").withColumns({"date": F.lit("2020-01-01").cast("date"), "odds": F.lit(2.0)})
     assert [(r["contest_id"], r["p1"], r["win1"]) for r in backtest.pairs_of(app).collect()] == [(1, "a", 1)]
+
+
+def test_prices_with_noise_follow_from_their_keys(spark):
+    df = spark.range(4000).withColumn("q", 1 / S.noisy_odds(F.lit(0.5), "id", margin=0.0))
+    one, two = df.agg(F.avg("q"), F.stddev("q")).first(), df.agg(F.avg("q"), F.stddev("q")).first()
+    assert one == two and abs(one[0] - 0.5) < 0.01 and abs(one[1] - 0.15) < 0.01
+    assert df.agg(F.min("q"), F.max("q")).first()[0] >= 0.05
+
+
+def test_strategies_from_entries():
+    from tallyline.operators import decision
+
+    made = decision.strategies([{"name": "a", "threshold": 0.7}, {"name": "not one"}, {"name": "b", "threshold": 0.6, "series": ["Grand Slam"]}])
+    assert [(s.name, s.threshold, s.series, s.stake) for s in made] == [("a", 0.7, [], "kelly"), ("b", 0.6, ["Grand Slam"], "kelly")]
+
+
+def test_sessions_and_rates_of_streams(spark, tmp_path):
+    from tallyline.streaming import ingest
+
+    rows = [(1, "2024-01-01 10:00:00", 7), (2, "2024-01-01 10:20:00", 7), (3, "2024-01-01 12:00:00", 7), (4, "2024-01-01 10:05:00", 8), (5, "2024-03-01 00:00:00", 9)]
+    e = spark.createDataFrame(rows, "event_id long, ts string, user_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    (tmp_path / "in").mkdir()
+    for i in range(2):
+        e.where("event_id < 5" if i == 0 else "event_id = 5").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    stream = ingest.events(spark, f"{tmp_path}/in/*", e.schema)
+    out = ingest.drained(ingest.sessions(stream, "30 minutes", "1 hour"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert sorted((r["user_id"], r["n"]) for r in out.where("user_id < 9").collect()) == [(7, 1), (7, 2), (8, 1)]
+    won = stream.select(F.col("user_id").alias("player"), (F.col("event_id") % 2).alias("won"))
+    query = ingest.rolling_rates(won).writeStream.outputMode("update").format("memory").queryName("rates").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r["player"]: (r["matches"], r["wins"]) for r in spark.table("rates").groupBy("player").agg(F.max("matches").alias("matches"), F.max("wins").alias("wins")).collect()} == {7: (3, 2), 8: (1, 0), 9: (1, 1)}
