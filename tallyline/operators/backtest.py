@@ -151,8 +151,15 @@ def t_test(bets: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("p_one_sided", F.when(F.col("n") > 1, S.t_tail("t", F.col("n") - 1)))
 
 
-#: Draws that one digest of a bet's id gives, at seven of its hexadecimal digits each.
-LANES = 4
+#: A prime below 2 to the 31, so that products of two remainders fit into 63 bits.
+PRIME = (1 << 31) - 1
+
+
+def drawn(key: Column, draw: Column) -> Column:
+    """A number in [0, 1) from a key and a draw, alike in every engine: two squarings modulo a prime."""
+    x = (key % PRIME * 48271 + draw * 69621 + 7) % PRIME
+    x = (x * x + draw) % PRIME
+    return (x * x + key % PRIME) % PRIME / float(PRIME)
 
 
 def poisson_weight(u: Column) -> Column:
@@ -169,14 +176,12 @@ def poisson_weight(u: Column) -> Column:
 def bootstrap(bets: DataFrame, keys: list[str], draws: int = 1000, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """ROI intervals from resampling with Poisson weights that follow from (bet, draw).
 
-    A bet is repeated for every few draws within its task and summed there at once; one row a group and few draws moves.
+    A bet is repeated for every draw within its task and summed there at once; one row a group and draw moves.
     """
-    digest = F.md5(F.concat_ws(":", F.col("contest_id").cast("string"), F.col("_b").cast("string")))
-    u = lambda lane: F.conv(F.substring(F.col("_h"), 1 + 7 * lane, 7), 16, 10).cast("double") / float(1 << 28)
-    each = bets.select(*keys, "contest_id", "profit", "stake", F.explode(F.sequence(F.lit(0), F.lit(draws // LANES - 1))).alias("_b")).withColumn("_h", digest)
-    each = each.select(*keys, "_b", "profit", "stake", *(poisson_weight(u(k)).alias(f"_w{k}") for k in range(LANES)))
-    sums = each.groupBy(*keys, "_b").agg(*(F.sum(F.col(f"_w{k}") * F.col(c)).alias(f"_{c}{k}") for k in range(LANES) for c in ("profit", "stake")))
-    rois = sums.select(*keys, F.explode(F.array(*(F.try_divide(f"_profit{k}", f"_stake{k}") for k in range(LANES)))).alias("roi"))
+    draw = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))).alias("_d")
+    each = bets.select(*keys, F.col("contest_id").cast("long").alias("_id"), "profit", "stake", draw)
+    each = each.withColumn("_u", drawn(F.col("_id"), F.col("_d"))).withColumn("_w", poisson_weight(F.col("_u")))
+    rois = each.groupBy(*keys, "_d").agg(F.try_divide(F.sum(F.col("_w") * F.col("profit")), F.sum(F.col("_w") * F.col("stake"))).alias("roi"))
     return rois.groupBy(*keys).agg(
         F.avg("roi").alias("roi_mean"), F.stddev_pop("roi").alias("roi_sd"), F.percentile("roi", low).alias("roi_low"),
         F.percentile("roi", high).alias("roi_high"), F.avg((F.col("roi") > 0).cast("double")).alias("p_positive"),

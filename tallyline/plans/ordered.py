@@ -173,12 +173,12 @@ def _poisson_sql(u: str) -> str:
     return f"CASE {' '.join(out)} ELSE 7 END"
 
 
-_DRAW = "CAST('0x' || substr(h, 1 + 7 * lane, 7) AS BIGINT) / 268435456.0::DOUBLE"
+_P = 2147483647
 
 
-@query("b09_bootstrap", f"""WITH {BETS}, h AS (SELECT surface, profit, stake, block, md5(contest_id || ':' || block) AS h FROM bets, (SELECT unnest(range(0, 250)) AS block)),
-w AS (SELECT surface, block, lane, {_poisson_sql(_DRAW)} AS w, profit, stake FROM h, (SELECT unnest([0, 1, 2, 3]) AS lane)),
-roi AS (SELECT surface, block, lane, sum(w * profit) / sum(w * stake) AS roi FROM w GROUP BY 1, 2, 3)
+@query("b09_bootstrap", f"""WITH {BETS}, a AS (SELECT surface, profit, stake, contest_id AS k, d, (contest_id * 48271 + d * 69621 + 7) % {_P} AS x FROM bets, (SELECT unnest(range(1, 1001)) AS d)),
+u AS (SELECT surface, d, profit, stake, ((((x * x + d) % {_P}) * ((x * x + d) % {_P}) + k) % {_P}) / {_P}.0::DOUBLE AS u FROM a), w AS (SELECT surface, d, {_poisson_sql('u')} AS w, profit, stake FROM u),
+roi AS (SELECT surface, d, sum(w * profit) / sum(w * stake) AS roi FROM w GROUP BY 1, 2)
 SELECT surface, round(avg(roi), 6) AS roi_mean, round(stddev_pop(roi), 6) AS roi_sd, round(quantile_cont(roi, 0.025), 6) AS roi_low, round(quantile_cont(roi, 0.975), 6) AS roi_high, round(avg(CAST(roi > 0 AS DOUBLE)), 6) AS p_positive FROM roi GROUP BY 1""")
 def b09_bootstrap(spark, sf_dir):
     out = backtest.bootstrap(bets(spark, sf_dir), ["surface"])
