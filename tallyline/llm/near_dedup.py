@@ -47,14 +47,14 @@ from tallyline.session import forget, let_workers_import, written
 TREES = 12
 #: Tokens that name the first children, and minwise tokens of a class in all; their low bytes are its sketch.
 FIRST, TOKENS = 2, 128
-#: Children that a class of a large node goes to, classes of a node or block that is compared at once, and pivots of a large node.
-FAN, SMALL, PIVOTS = 2, 100, 100
+#: Children that a class of a large node goes to, classes of a node that is compared at once, of a block of a larger one, and its pivots.
+FAN, SMALL, BLOCK, PIVOTS = 2, 100, 300, 64
 #: Least similarity, and how far below it a sketch may lie.
 SIMILARITY, SLACK = 0.8, 0.13
 #: Similarity of a sketch from which a link is likely enough to prefer the partner that other nodes prefer.
 SURE = 0.87
 #: Columns of a part of the incidence matrix.
-COLUMNS = 1 << 16
+COLUMNS = 1 << 14
 #: Votes of a node's blocks that are held at once, and blocks whose best pivots are chosen together.
 VOTES, BLOCKS = 4096, 16
 #: Copies of what the classes of one component all need.
@@ -255,7 +255,7 @@ def leaves(classes: DataFrame) -> DataFrame:
         large = sized.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        large = large.select("node", "class", F.ceil(F.col("n") / SMALL).cast("int").alias("blocks"))
+        large = large.select("node", "class", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         large = large.withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
         known = written(large.join(classes.select("class", "tokens"), "class").repartition("node", "block").sortWithinPartitions("node", "block"), "large")
         cast = known.select("node", "tokens").mapInArrow(votes, "node bigint, n bigint, values binary, counts binary")

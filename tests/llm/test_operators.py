@@ -334,7 +334,8 @@ def components_of(spark, rows, size=2):
 @pytest.mark.parametrize("rows", [near_copies(300, 0.12), near_copies(400, 0.3, seed=6), template_pairs(400)], ids=["copies", "spread", "template"])
 def test_near_dedup_of_large_nodes(spark, monkeypatch, rows):
     monkeypatch.setattr(near_dedup, "SMALL", 20)
-    monkeypatch.setattr(near_dedup, "PIVOTS", 20)
+    monkeypatch.setattr(near_dedup, "BLOCK", 60)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 13)
     assert components_of(spark, rows) == brute_components(rows, 2, 80)
 
 
