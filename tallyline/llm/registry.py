@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tallyline.llm import decontamination, language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter
+from tallyline.llm import (
+    decontamination, fill_in_middle, language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_files": token_files.op10_token_files,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 
 ORACLES = {
@@ -23,4 +26,5 @@ ORACLES = {
     "op5_secret_scan": secret_scan.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op9_decontamination": decontamination.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
 }
