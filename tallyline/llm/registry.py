@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallyline.llm import (
-    decontamination, fill_in_middle, language_id, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter,
+    decontamination, fill_in_middle, language_id, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_token_files": token_files.op10_token_files,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_best_fit_packing": packing.op12_best_fit_packing,
 }
 
 ORACLES = {
