@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tallyline.llm import (
-    decontamination, fill_in_middle, language_id, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, token_files, url_filter,
+    decontamination, fill_in_middle, language_id, near_dedup, packing, periodic_runs, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup,
+    token_files, url_filter,
 )
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_best_fit_packing": packing.op12_best_fit_packing,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 
 ORACLES = {
