@@ -4,8 +4,8 @@ Lengths are whole numbers up to the capacity, so how many pieces there are of ea
 of bounded size however many pieces there are. The driver plans on that table alone:
 
 1. pieces as long as a sequence have one of their own;
-2. the large ones, longest first, are cut into groups of equal cardinality, and in a group all count as
-   its longest; for these few sizes a linear programme over configurations (columns made as needed by
+2. the large ones, longest first, are cut into groups of equal cardinality (of equal length where there
+   are no more lengths than groups), and in a group all count as its longest; for these few sizes a linear programme over configurations (columns made as needed by
    a knapsack) says how many sequences hold which sizes;
 3. actual lengths take the groups' places, so every sequence's true room is known;
 4. what is left of the large ones (fewer than a sequence for each configuration) and all small ones,
@@ -111,7 +111,7 @@ class Plan:
         """Lay configurations of grouped sizes with actual lengths in them; what is left as (length, rank, pieces)."""
         ends = np.cumsum(counts)
         total = int(ends[-1])
-        starts = list(range(0, total, -(-total // groups)))
+        starts = list(range(0, total, -(-total // groups))) if len(lengths) > groups else [0, *ends[:-1].tolist()]
         sizes = [int(lengths[np.searchsorted(ends, x, "right")]) for x in starts]
         keep = [k for k in range(len(starts)) if k == 0 or sizes[k] != sizes[k - 1]]
         starts, sizes = [starts[k] for k in keep], np.array([sizes[k] for k in keep])
