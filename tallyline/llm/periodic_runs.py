@@ -9,8 +9,8 @@ ordered positions into the larger's, and every two that become neighbours at a d
 (EXPONENT - 1) * d <= l seed a run, which an exact check of its ends and smallest period confirms.
 
 Texts of a block are handled in arrays together: words to numbers, suffix array by doubling with the ranks
-of each round kept, common prefixes by descent over these. Texts without a run of LEAST - 1 words that comes
-twice have no runs and are set aside first by hashes; all else compares the words themselves.
+of each round kept, common prefixes by descent over these. Texts in which no shortest such prefix comes twice
+have no runs and are set aside first by hashes; all else compares the words themselves.
 
 Defined results for odd rows: a null or empty text, or one of white space, has no words and no runs; repeated
 rows are rows like others; an empty table gives an empty one; extra columns pass through, those of the names
@@ -37,6 +37,11 @@ RUN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length",
 Runs = list[tuple[int, int, int]]
 
 
+def shortest_prefix(least: int, exponent: int) -> int:
+    """Words in which the two suffixes of any run agree at least."""
+    return min(max(least, exponent * q) - q for q in range(1, least + 1))
+
+
 def suffixes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix array of texts in a row whose words have numbers of their own, and the ranks after 1, 2, 4, ... words.
 
@@ -197,7 +202,7 @@ def found_runs(words: np.ndarray, counts: np.ndarray, least: int = LEAST, expone
     stops = np.cumsum(counts)
     starts, ends = np.repeat(stops - counts, counts), np.repeat(stops, counts)
     order, levels = suffixes(words, ends)
-    shortest = least - 1
+    shortest = shortest_prefix(least, exponent)
     kept, prefix = near_only(order, common_prefixes(order, levels, ends), shortest, exponent)
     found = confirmed(seeds(kept, prefix, shortest, exponent), words, starts, ends, least, exponent)
     return [sorted(found.get(s, []), key=lambda r: (r[0], r[2])) if c else [] for s, c in zip((stops - counts).tolist(), counts.tolist(), strict=True)]
@@ -248,7 +253,7 @@ class Block:
             begins, stops = begins[at], stops[at]
         self.begins, self.stops, self.first = begins, stops, first
         hashes = Hasher(self.data).of(begins, stops) if len(begins) else np.zeros(0, np.uint64)
-        some = repeating(hashes, self.counts, least - 1)
+        some = repeating(hashes, self.counts, shortest_prefix(least, exponent))
         self.runs: list[Runs] = [[] for _ in self.counts]
         if some.any():
             which = np.flatnonzero(some)
