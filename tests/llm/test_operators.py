@@ -569,19 +569,63 @@ def plain_spans(text):
         at = m.start()
         for a, z in [*sorted(b for b in base if b[0] < m.end() and m.start() < b[1]), (m.end(), m.end())]:
             piece, start, at = text[at:a], at, max(at, z)
-            kind = next((c for c in secret_scan.CLASSES if re.search(c.pattern, piece)), None)
-            if kind is None or len(piece) < 20 or re.search(secret_scan.ALLOWED, piece):
+            if len(piece) < 20 or re.search(secret_scan.ALLOWED, piece):
                 continue
-            hot = []
-            for k in range(len(piece) - kind.window + 1):
-                w = piece[k : k + kind.window]
-                if round(sum(-n / len(w) * math.log2(n / len(w)) for n in (w.count(x) for x in set(w))), 9) >= kind.bits:
-                    hot.append(k)
-            if hot:
-                out.append((start + hot[0], start + hot[-1] + kind.window))
+            hot = set()
+            for c in secret_scan.CLASSES:
+                for r in re.finditer(f"[{c.chars}]+", piece):
+                    if not all(re.search(x, r[0]) for x in c.needs):
+                        continue
+                    for k in range(len(r[0]) - c.window + 1):
+                        w = r[0][k : k + c.window]
+                        if round(sum(-n / len(w) * math.log2(n / len(w)) for n in (w.count(x) for x in set(w))), 9) >= c.bits:
+                            hot.add((start + r.start() + k, start + r.start() + k + c.window))
+            islands = []
+            for x, y in sorted(hot):
+                if islands and islands[-1][1] >= x:
+                    islands[-1] = (islands[-1][0], max(islands[-1][1], y))
+                else:
+                    islands.append((x, y))
+            out += islands
     return sorted(out)
 
 
+def made_strings(rng, n):
+    """Random strings of several classes and signs, in words between."""
+    kinds = ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "aB3-/_=+xYz019", "ab", "0123456789"]
+    for _ in range(n):
+        parts = ["".join(rng.choice(list(kinds[rng.integers(len(kinds))]), int(rng.integers(1, 60)))) for _ in range(int(rng.integers(1, 5)))]
+        yield "so " + str(rng.choice(["_", "-", "/", "=", "+", " ", ""])).join(parts) + str(rng.choice(["", " and more", "!", " token=abc"]))
+
+
+def test_mixed_strings_by_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(2)
+    rows = list(enumerate(made_strings(rng, 1000)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.op5_secret_scan(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        assert sorted(tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x) == plain_spans(t), t
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    r = c.execute(secret_scan.ORACLE)
+    names = [d[0] for d in r.description]
+    assert {x[names.index("doc_id")]: x[names.index("spans")] for x in r.fetchall()} == got
+
+
+def test_random_strings_of_mixed_shapes_are_found(spark):
+    rng = np.random.default_rng(6)
+    lower, upper = list("abcdefghijklmnopqrstuvwxyz0123456789"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    both = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    some = lambda chars, n: "".join(rng.choice(chars, n))
+    shapes = [f"k_{some(lower, 50)}", f"{some(lower, 12)}-{some(lower, 40)}", f"{some(lower, 30)}/{some(lower, 30)}", f"x={some(lower, 40)}", some([*upper, "_"], 50), some(both, 60), some(lower, 40)]
+    plain = ["theQuickBrownFoxJumpsOverTheLazyDog", "a-long-title-in-lower-case-with-2024-in-it", "MAXIMUM_NUMBER_OF_CONNECTIONS", "2024-11-28/2024-11-29/2024-11-30"]
+    df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate([*shapes, *plain])], "doc_id long, text string")
+    got = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["secret_spans"]) for r in secret_scan.scan(df).collect()}
+    assert all(got[i] >= 0.6 * len(x) for i, x in enumerate(shapes)) and all(got[len(shapes) + i] == 0 for i in range(1, len(plain)))
+
+
 def test_pipeline_stages_by_brute_force(spark, sf):
     import re
 
