@@ -1,14 +1,14 @@
 """Substring dedup: every run of consecutive sentences hashed, joined over the whole corpus, repeats taken out.
 
 Every run of SIZE consecutive sentences of every document is hashed, short or long, and all equal
-runs meet. Of equal runs the first in order of (doc_id, text hash, place) stays. Sentences that a
-later one covers are marked; marked sentences in a row are a span, so a repeated passage of any
-length of SIZE sentences or more is one span, whole. A span goes if it has LEAST_WORDS words: fewer
-are stock phrases that texts share by chance. What stands between the rest is kept as it was.
-Passages within one document that repeat go as those across documents do.
+runs meet. Of equal runs the first in order of (doc_id, text hash, place) stays; every sentence that
+a later one covers goes, so a repeated passage of SIZE sentences or more goes whole, however short
+its sentences are. What stands between the rest is kept as it was. Passages within one document
+that repeat go as those across documents do. A caller may ask that a span of removed sentences in a
+row has a least number of words.
 
-Runs are told apart by two independent 64-bit hashes, 128 bits in all. A passage that is one
-sentence is no run of several, and stays.
+Runs are told apart by two independent 64-bit hashes, 128 bits in all. A passage of fewer sentences
+than a run stays: two neighbouring sentences of two words each are alike by chance all over a corpus.
 
 Defined results for odd rows: a null or empty text has no sentences and stays as it is; rows with
 equal doc_id and text are one document and get the same result; rows with one doc_id and different
@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of a run, and words that a span has at least.
-SIZE, LEAST_WORDS = 2, 40
+#: Sentences of a run.
+SIZE = 3
 #: A sentence ends after a full stop, exclamation or question mark before white space, and after a line.
 BOUNDARY = r"(?<=[.!?])(?=[\x20\x09-\x0D])|(?<=\n)"
 BLANK = " \t\n\x0b\x0c\r"
@@ -62,37 +62,46 @@ def marked(docs: DataFrame, text: str = "text", size: int = SIZE) -> DataFrame:
     return later.groupBy("doc_id", "h").agg(F.collect_set("p").alias("starts"))
 
 
-def spans(starts: str, words: str, size: int, least: int) -> Column:
-    """Spans (first, last) of marked sentences in a row that have enough words, from the runs' starts and each sentence's words."""
-    at = F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + size - 1)))))
-    before, after = F.concat(F.array(F.lit(-2)), at), F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.lit(-2)))
+def covered(starts: str, size: int) -> Column:
+    """Places of all sentences that the runs with these starts cover, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + size - 1)))))
+
+
+def in_spans(at: str, words: str, least: int) -> Column:
+    """Those places that stand in spans of places in a row with so many words."""
+    before, after = F.concat(F.array(F.lit(-2)), F.col(at)), F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.lit(-2)))
     first = F.filter(F.zip_with(at, F.slice(before, F.lit(1), F.size(at)), lambda p, q: F.when(p != q + 1, p)), lambda p: p.isNotNull())
     last = F.filter(F.zip_with(at, after, lambda p, q: F.when(q != p + 1, p)), lambda p: p.isNotNull())
     counted = lambda s: F.aggregate(F.slice(words, s["a"] + 1, s["z"] - s["a"] + 1), F.lit(0), lambda n, w: n + w)
-    return F.filter(F.zip_with(first, last, lambda a, z: F.struct(a.alias("a"), z.alias("z"))), lambda s: counted(s) >= least)
+    long = F.filter(F.zip_with(first, last, lambda a, z: F.struct(a.alias("a"), z.alias("z"))), lambda s: counted(s) >= least)
+    return F.flatten(F.transform(long, lambda s: F.sequence(s["a"], s["z"])))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", size: int = SIZE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents with repeated spans taken out of the text, n_sentences and n_removed."""
-    found = marked(docs, text, size).select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"), F.col("starts").alias("__tl_starts"))
+def deduplicated(docs: DataFrame, text: str = "text", size: int = SIZE, least_words: int = 0) -> DataFrame:
+    """The documents with repeated sentences taken out of the text, n_sentences and n_removed."""
+    found = marked(docs, text, size).select(F.col("doc_id").alias("__tl_id"), F.col("h").alias("__tl_h"), covered("starts", size).alias("__tl_lost"))
     out = docs.drop("n_sentences", "n_removed").withColumn("__tl_key", text_key(text))
     out = out.join(found, F.col("doc_id").eqNullSafe(F.col("__tl_id")) & (F.col("__tl_key") == F.col("__tl_h")), "left")
     trimmed = F.transform("__tl_p", lambda p: F.btrim(p, F.lit(BLANK)))
     # Places count the pieces with characters alone; what has none stays.
     at = F.filter(F.transform(trimmed, lambda t, i: F.when(t != "", i)), lambda i: i.isNotNull())
-    words = F.transform(F.filter(trimmed, lambda t: t != ""), lambda t: F.size(F.split(t, r"[\x20\x09-\x0D]+")))
-    gone = F.flatten(F.transform("__tl_spans", lambda s: F.transform(F.sequence(s["a"], s["z"]), lambda n: F.get("__tl_at", n))))
+    out = out.withColumn("__tl_p", pieces(text)).withColumn("__tl_at", at)
+    if least_words:
+        words = F.transform(F.filter(trimmed, lambda t: t != ""), lambda t: F.size(F.split(t, r"[\x20\x09-\x0D]+")))
+        out = out.withColumn("__tl_words", F.when(F.col("__tl_lost").isNotNull(), words)).withColumn("__tl_lost", in_spans("__tl_lost", "__tl_words", least_words)).drop("__tl_words")
+    gone = F.transform("__tl_lost", lambda n: F.get("__tl_at", n))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__tl_p") - 1), "__tl_gone")
-    some = F.col("__tl_starts").isNotNull()
-    out = out.withColumn("__tl_p", pieces(text)).withColumn("__tl_at", at).withColumn("__tl_words", F.when(some, words))
-    out = out.withColumn("__tl_spans", F.when(some, spans("__tl_starts", "__tl_words", size, least_words))).withColumn("__tl_gone", gone)
-    return out.withColumns(
-        {
-            "n_sentences": F.size("__tl_at").cast("long"),
-            "n_removed": F.coalesce(F.size("__tl_gone"), F.lit(0)).cast("long"),
-            text: F.when(F.size("__tl_gone") > 0, F.array_join(F.transform(kept, lambda i: F.get("__tl_p", i)), "")).otherwise(F.col(text)),
-        }
-    ).drop("__tl_key", "__tl_id", "__tl_h", "__tl_starts", "__tl_p", "__tl_at", "__tl_words", "__tl_spans", "__tl_gone")
+    return (
+        out.withColumn("__tl_gone", gone)
+        .withColumns(
+            {
+                "n_sentences": F.size("__tl_at").cast("long"),
+                "n_removed": F.coalesce(F.size("__tl_gone"), F.lit(0)).cast("long"),
+                text: F.when(F.size("__tl_gone") > 0, F.array_join(F.transform(kept, lambda i: F.get("__tl_p", i)), "")).otherwise(F.col(text)),
+            }
+        )
+        .drop("__tl_key", "__tl_id", "__tl_h", "__tl_lost", "__tl_p", "__tl_at", "__tl_gone")
+    )
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -105,12 +114,10 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH pieces AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1)) AS ps FROM documents),
 p AS (SELECT doc_id, i, ps[i] AS piece, trim(ps[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM pieces)),
-s AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words FROM p WHERE t <> ''),
-w AS (SELECT doc_id, n, t || chr(2) || lead(t) OVER (PARTITION BY doc_id ORDER BY n) AS x FROM s),
+s AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM p WHERE t <> ''),
+w AS (SELECT doc_id, n, t {"".join(f"|| chr(2) || lead(t, {k}) OVER (PARTITION BY doc_id ORDER BY n) " for k in range(1, SIZE))}AS x FROM s),
 later AS (SELECT doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id, n) AS c FROM w WHERE x IS NOT NULL) WHERE c > 1),
-marks AS (SELECT DISTINCT doc_id, unnest(range(n, n + {SIZE})) AS n FROM later),
-islands AS (SELECT doc_id, n, words, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS g FROM marks JOIN s USING (doc_id, n)),
-gone AS (SELECT doc_id, n FROM (SELECT doc_id, n, sum(words) OVER (PARTITION BY doc_id, g) AS all_words FROM islands) WHERE all_words >= {LEAST_WORDS}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(n, n + {SIZE})) AS n FROM later),
 flags AS (SELECT p.doc_id, p.i, p.piece, s.n IS NOT NULL AS sentence, gone.n IS NOT NULL AS lost FROM p
   LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.n = s.n)
 SELECT f.doc_id, count(*) FILTER (sentence) AS n_sentences, count(*) FILTER (lost) AS n_removed,

@@ -101,8 +101,8 @@ def brute_spans(rows, size, least):
     return out
 
 
-@pytest.mark.parametrize("size", [2, 3])
-def test_substring_dedup_equals_brute_force(spark, size):
+@pytest.mark.parametrize("size,least", [(2, 0), (3, 0), (2, 12), (3, 12)])
+def test_substring_dedup_equals_brute_force(spark, size, least):
     rng = np.random.default_rng(11)
     stock = [" ".join(rng.choice(["moon", "sea", "tide", "wind", "NOW!!", "salt"], rng.integers(1, 9))) + rng.choice([".", "\n", "!"]) for _ in range(40)]
     rows = []
@@ -112,8 +112,8 @@ def test_substring_dedup_equals_brute_force(spark, size):
             a = int(rng.integers(0, 30))
             parts += stock[a : a + int(rng.integers(1, 10))] + [f"Own sentence {rng.integers(0, 10**9)} here."]
         rows.append((i, " ".join(parts)))
-    out = substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), size=size, least_words=12)
-    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == brute_spans(rows, size, 12)
+    out = substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), size=size, least_words=least)
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == brute_spans(rows, size, least)
 
 
 def test_repeated_passage_goes_from_all_but_the_first(spark):
@@ -131,8 +131,9 @@ def test_passages_of_short_sentences_go(spark):
     rows = [(3 * k + i, f"Own start {3 * k + i}.\n{t}\nOwn end {3 * k + i}.") for k, t in enumerate((shouts, lines)) for i in range(3)]
     rows += [(20, "One.\nTwo.\nThree.\nFour.\nFive."), (21, "One.\nTwo.\nThree.\nFour.\nFive.")]
     out = {r["doc_id"]: r["text"] for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, t in rows:
-        assert out[i] == t if i >= 20 or i % 3 == 0 else out[i].split() == f"Own start {i}. Own end {i}.".split()
+    assert out[20] == rows[-2][1] and out[21].strip() == ""  # five short lines are a passage like others
+    for i, t in rows[:-2]:
+        assert out[i] == t if i % 3 == 0 else out[i].split() == f"Own start {i}. Own end {i}.".split()
 
 
 def test_language_on_odd_rows(odd, empty):
