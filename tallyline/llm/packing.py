@@ -269,7 +269,7 @@ def placed(rows: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] =
             yield pa.RecordBatch.from_arrays([*batch.columns, *new.values()], names=[*batch.schema.names, *new])
 
     fields = [*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
-    return kept.join(bases, ["length", "_chunk"]).select(*rows.columns, "_chunk", "_nth", "_base").mapInArrow(place, T.StructType(fields))
+    return kept.join(bases.hint("merge"), ["length", "_chunk"]).select(*rows.columns, "_chunk", "_nth", "_base").mapInArrow(place, T.StructType(fields))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
