@@ -34,6 +34,26 @@ def e01_elo(spark, sf_dir):
     return ratings.elo(contests(spark, sf_dir)).select("contest_id", *(F.round(c, 6).alias(c) for c in ("elo_1", "elo_2", "elo_1_post")))
 
 
+@query("st2_stream_ratings", f"WITH RECURSIVE {_E01} SELECT contest_id, round(e1, 6) AS elo_1, round(e2, 6) AS elo_2, round(e1 + m, 6) AS elo_1_post FROM r JOIN seq USING (i)")
+def st2_stream_ratings(spark, sf_dir):
+    """The contests as a stream of files in disorder of up to four months, rated in state behind the watermark; a last row of another league closes all days."""
+    from tallyline.session import scratch
+    from tallyline.streaming import ingest
+    from tallyline.streaming import ratings as streamed
+
+    c = written(contests(spark, sf_dir).withColumn("league", F.lit("all")), "contests")
+    folder, moved = scratch(spark, "stream-in"), F.datediff("date", F.lit("1970-01-01")) + F.pmod(F.xxhash64("contest_id"), F.lit(120))
+    first, last = c.agg(F.min(moved), F.max(moved)).first()
+    for k in range(4):  # one after the other, for files are read in order of their times
+        low = first + (last + 1 - first) * k // 4
+        c.where((moved >= low) & (moved < first + (last + 1 - first) * (k + 1) // 4)).coalesce(4).write.parquet(f"{folder}/part-{k}")
+    c.orderBy(F.desc("date")).limit(1).withColumns({"date": F.date_add("date", 3650), "league": F.lit("end")}).write.parquet(f"{folder}/part-9")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/*")
+    with streamed.rocksdb(spark):
+        out = ingest.drained(streamed.rated(stream, ratings.elo_rule(), late="130 days"), scratch(spark, "stream"), scratch(spark, "stream-state"))
+    return out.where("league = 'all' and not late").select("contest_id", *(F.round(x, 6).alias(x) for x in ("elo_1", "elo_2", "elo_1_post")))
+
+
 @query("e02_surface_elo", f"""WITH RECURSIVE {C0}, seq AS MATERIALIZED (SELECT row_number() OVER (PARTITION BY surface ORDER BY date, contest_id) AS i, contest_id, CAST(p1 + 1 AS INTEGER) AS a, CAST(p2 + 1 AS INTEGER) AS b, win1, surface FROM c0),
 r AS (SELECT surface, 0::BIGINT AS i, {_PLAYERS} AS g, 0.0::DOUBLE AS e1, 0.0::DOUBLE AS e2 FROM (SELECT DISTINCT surface FROM c0)
  UNION ALL SELECT surface, i, list_transform(g, lambda v, k: CASE WHEN k = a THEN e1 + m WHEN k = b THEN e2 - m ELSE v END), e1, e2 FROM (
