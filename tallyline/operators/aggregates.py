@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyline.operators.running import running
+from tallyline.operators.quantiles import quantiles
 
 
 def measures() -> list[Column]:
@@ -49,25 +49,19 @@ def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation, by ranks from counts of the distinct values: no group's values meet in one buffer."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    ranked = running(counts, keys, F.floor(F.col("_v")), ["_v"], {"_upto": ("sum", F.col("_n"))})
-    total = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"))
-    both = ranked.join(total.withColumnsRenamed({k: f"_k_{k}" for k in keys}), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.lit(True)))
-    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
-    each = []
-    for name, p in ps.items():
-        h = (F.col("_all") - 1) * p
-        each += [at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}"), F.first(h - F.floor(h)).alias(f"_f_{name}")]
-    out = both.groupBy(*keys).agg(*each)
-    return out.select(*keys, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in ps))
+    """Exact percentiles with linear interpolation, a row a group, by refined histograms."""
+    found = quantiles(rows, keys, [value], list(ps.values()))
+    at = lambda p: F.max(F.when(F.col("share") == F.lit(float(p)), F.col("value")))
+    return found.groupBy(*keys).agg(*(at(p).alias(n) for n, p in ps.items()))
 
 
 def described(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation, least, quartiles and largest of each numeric column, a row a column."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.*")
     basic = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("least"), F.max("x").alias("largest"))
-    return basic.join(percentiles(long, ["column"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "column", "left")
+    quarters = quantiles(rows, [], columns, [0.25, 0.5, 0.75]).groupBy("column")
+    at = lambda p: F.max(F.when(F.col("share") == p, F.col("value")))
+    return basic.join(quarters.agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3")), "column", "left")
 
 
 def edge_bins(rows: DataFrame, value: str, y: str, bins: int = 8) -> DataFrame:
