@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as S
-from tallyline.operators import asof, models
+from tallyline.operators import asof, boosting, models
+from tallyline.operators.quantiles import quantiles
 from tallyline.operators.ratings import fold
 from tallyline.operators.running import month, running
+from tallyline.session import written
 
 ORDER = ["date", "contest_id"]
 
@@ -232,41 +234,72 @@ def caps(bets: DataFrame, daily: float = 0.10, tournament: float = 0.08, concurr
     return out.withColumn("refused", refused)
 
 
-def walk_forward(rows: DataFrame, columns: list[str], folds: DataFrame, kind: str = "logistic") -> DataFrame:
+def folded(rows: DataFrame, columns: list[str], folds: list[dict[str, Column]], kind: str, gaps: list[list[float]] | None = None, **settings) -> DataFrame:
+    """Calibrated predictions p_cal of the test rows of every fold, by its number _fold: a fold says which rows train, calibrate and test.
+
+    All folds' models learn over one table, one pass scores the rows that calibrate or test, each by its folds' models, and the
+    folds' curves are fitted side by side.
+    """
+    n = len(folds)
+    if n > boosting.MOST_MODELS:
+        raise ValueError(f"{boosting.MOST_MODELS} folds fit side by side")
+    table = written(models.vectors(rows, columns).withColumns({f"_{part}": models.masked([f[part] for f in folds]) for part in ("train", "calibrate", "test")}), "tagged")
+    fitted = models.fit(kind, table.select("x", "label", F.col("_train").alias("train")), n, gaps, **settings)
+    part = F.expr(f"filter(sequence(0, {n - 1}), k -> shiftright(_calibrate | _test, k) % 2 = 1)")
+    asked = table.where(F.col("_calibrate").bitwiseOR(F.col("_test")) != 0).withColumn("_fold", F.explode(part))
+    scored = written(fitted.scored(asked, "p", "_fold").drop("x", "_train"), "scored")
+    own = lambda k, what: scored.where((F.col("_fold") == k) & F.expr(f"shiftright(_{what}, {k}) % 2 = 1"))
+    out = models.side_by_side(lambda k: models.calibrated(own(k, "calibrate"), own(k, "test"), "p"), n)
+    return reduce(DataFrame.unionByName, out).drop("_calibrate", "_test")
+
+
+def walk_forward(rows: DataFrame, columns: list[str], folds: DataFrame, kind: str = "logistic", **settings) -> DataFrame:
     """Calibrated predictions of every fold's test year: fitted on the train years but the last, calibrated on that one.
 
     rows: contest_id, date, label and the columns; folds are those of yearly_folds, a row a year.
     """
-    dated = rows.withColumn("_year", F.year("date"))
-    out = []
-    for f in folds.orderBy("year").collect():  # a fold is a model to train, so there are as many as years
-        first, last, year = f["first_year"], f["calibration_year"], f["year"]
-        fitted = models.estimator(kind).fit(models.vectors(dated.where(F.col("_year").between(first, last - 1)), columns))
-        held = models.predicted(fitted, models.vectors(dated.where(F.col("_year") == last), columns), "p")
-        test = models.predicted(fitted, models.vectors(dated.where(F.col("_year") == year), columns), "p")
-        out.append(models.calibrated(held, test, "p").drop("x").withColumn("test_year", F.lit(year)))
-    if not out:
-        return dated.withColumns({"p": F.lit(None).cast("double"), "p_cal": F.lit(None).cast("double"), "test_year": F.lit(None).cast("int")}).where("false").drop("_year")
-    return reduce(DataFrame.unionByName, out).drop("_year")
-
-
-def stepped(rows: DataFrame, columns: list[str], first: str, months: int = 6, least_train: int = 200, least_test: int = 20, kind: str = "boosted") -> DataFrame:
-    """Predictions of steps of some months, fitted on all before but the last fifth by date, which calibrates; gaps become the training medians."""
-    from tallyline.operators.features import with_medians
-
-    end = rows.agg(F.max("date").alias("m")).first()["m"]
-    sizes = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    out = []
-    for a, b in step_folds(first, end.isoformat()) if end else []:
-        n = sizes.agg(F.sum(F.when(F.col("date") < a, F.col("n"))).alias("train"), F.sum(F.when((F.col("date") >= a) & (F.col("date") < b), F.col("n"))).alias("test")).first()
-        if (n["train"] or 0) < least_train or (n["test"] or 0) < least_test:
+    years = [r.asDict() for r in folds.orderBy("year").collect()]  # a fold is a model to train, so there are as many as years
+    if not years:
+        return rows.withColumns({"p": F.lit(None).cast("double"), "p_cal": F.lit(None).cast("double"), "test_year": F.lit(None).cast("int")}).where("false")
+    y = F.year("date")
+    parts = [{"train": y.between(f["first_year"], f["calibration_year"] - 1), "calibrate": y == f["calibration_year"], "test": y == f["year"]} for f in years]
+    out = [folded(rows, columns, parts[k : k + boosting.MOST_MODELS], kind, **settings).withColumn("test_year", F.get(F.lit([f["year"] for f in years[k : k + boosting.MOST_MODELS]]), "_fold")) for k in range(0, len(parts), boosting.MOST_MODELS)]
+    return reduce(DataFrame.unionByName, out).drop("_fold")
+
+
+def stepped(rows: DataFrame, columns: list[str], first: str, months: int = 6, least_train: int = 200, least_test: int = 20, kind: str = "level", **settings) -> DataFrame:
+    """Predictions of steps of some months, fitted on all before but the last fifth by date, which calibrates; test_from names the step.
+
+    A logistic's gaps become the medians of the rows that each step trains on; trees know gaps as such. Steps with too
+    few rows are left out; without any step, and for an empty table, there are no rows.
+    """
+    days = {r["date"]: r["n"] for r in rows.where(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n")).orderBy("date").collect()}  # as many as days
+    steps = []
+    for a, b in step_folds(first, max(days).isoformat()) if days else []:
+        before = [(d.isoformat(), n) for d, n in days.items() if d.isoformat() < a]
+        total = sum(n for _, n in before)
+        if total < least_train or sum(n for d, n in days.items() if a <= d.isoformat() < b) < least_test:
             continue
-        train, held = split_by_date(rows.where(F.col("date") < a), 0.8, least_held=50)
-        test = rows.where((F.col("date") >= a) & (F.col("date") < b))
-        train, held, test = (models.vectors(with_medians(x, train, columns), columns) for x in (train, held, test))
-        fitted = models.estimator(kind).fit(train)
-        out.append(models.calibrated(models.predicted(fitted, held, "p"), models.predicted(fitted, test, "p"), "p").drop("x").withColumn("test_from", F.lit(a)))
-    return reduce(DataFrame.unionByName, out)
+        at, seen, cut = min(int(total * 0.8), total - 50), 0, a
+        for d, n in before:
+            seen += n
+            if seen > at:
+                cut = d
+                break
+        steps.append((a, b, cut))
+    if not steps:
+        return rows.withColumns({"p": F.lit(None).cast("double"), "p_cal": F.lit(None).cast("double"), "test_from": F.lit(None).cast("string")}).where("false")
+    date, out = F.col("date"), []
+    for low in range(0, len(steps), boosting.MOST_MODELS):
+        some = steps[low : low + boosting.MOST_MODELS]
+        parts = [{"train": date < cut, "calibrate": (date >= cut) & (date < a), "test": (date >= a) & (date < b)} for a, b, cut in some]
+        gaps = None
+        if kind == "logistic":
+            spread = rows.where(date < max(cut for *_, cut in some)).withColumn("_step", F.explode(F.filter(F.array(*(F.when(p["train"], F.lit(k)) for k, p in enumerate(parts))), lambda k: k.isNotNull())))
+            found = {(r["_step"], r["column"]): r["value"] for r in quantiles(spread, ["_step"], columns, [0.5]).collect()}
+            gaps = [[found.get((k, c), float("nan")) for c in columns] for k in range(len(some))]
+        out.append(folded(rows, columns, parts, kind, gaps, **settings).withColumn("test_from", F.get(F.lit([a for a, *_ in some]), "_fold")))
+    return reduce(DataFrame.unionByName, out).drop("_fold")
 
 
 def split_by_date(rows: DataFrame, share: float = 0.8, least_held: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -337,12 +337,20 @@ def _labelled(spark, sf_dir):
     return priced(spark, sf_dir).withColumns({"label": F.col("win1").cast("double"), "market_logit": S.logit(S.devig("odd1", "odd2"))})
 
 
+def _featured(spark, sf_dir):
+    """The 47 features of every contest beside its own columns, with prices and the result as label."""
+    c = contests(spark, sf_dir)
+    rows = features_.dataset(ratings.multi_elo(c), c).select("contest_id", *features_.FEATURES, F.col("label").cast("double").alias("label"))
+    own = ["contest_id", "date", "surface", "series", "round", "tournament", "p1", "p2", "win1", "odd1", "odd2"]
+    return written(c.select(*own).join(rows, "contest_id"), "features")
+
+
 @query("b04_walk_forward")
 def b04_walk_forward(spark, sf_dir):
-    """Every fold's model, its calibrated predictions, the bets on them and the metrics of the whole: a row a strategy."""
-    rows = written(_labelled(spark, sf_dir).select("contest_id", "date", "surface", "series", "round", "tournament", "p1", "p2", "win1", "odd1", "odd2", "p1_prob", "market_logit", "label"), "rows")
+    """Every fold's logistic over the 47 features, its calibrated predictions, the bets on them and the metrics of the whole: a row a strategy."""
+    rows = _featured(spark, sf_dir)
     folds = written(backtest.yearly_folds(rows), "folds")
-    predicted = written(backtest.walk_forward(rows, _COLUMNS, folds), "predicted")
+    predicted = written(backtest.walk_forward(rows, features_.FEATURES, folds), "predicted")
     picks = decision.recommended(predicted.withColumn("p1_prob", F.col("p_cal")), decision.STRATEGIES)
     won = F.when(F.col("side") == 1, F.col("win1")).otherwise(1 - F.col("win1"))
     log = backtest.flat_log(picks.withColumn("won", won), ["strategy"], share=F.col("share"))
@@ -353,26 +361,27 @@ def b04_walk_forward(spark, sf_dir):
 
 @query("b15_stepped")
 def b15_stepped(spark, sf_dir):
-    """Six-month steps over the last year and a half, a boosted model each, one more curve over all of them: scores by step."""
-    rows = written(_labelled(spark, sf_dir).select("contest_id", "date", "label", *_COLUMNS), "rows")
-    out = written(backtest.stepped(rows, _COLUMNS, "2000-03-01"), "stepped")
+    """Six-month steps from 1998, a boosted model each over the 47 features and the fair price, one more curve over all of them: scores by step."""
+    rows = _featured(spark, sf_dir).withColumn("market_logit", S.logit(S.devig("odd1", "odd2")))
+    out = written(backtest.stepped(rows, [*features_.FEATURES, "market_logit"], "1998-01-01", **BOOSTED), "stepped")
     pooled = models.pooled_curve(out, "p_cal").transform(out)
     return models.scores(pooled, "p_cal_pooled", "label", ["test_from"]).select("test_from", "n", *(F.round(c, 6).alias(c) for c in ("brier", "log_loss", "accuracy", "auc")))
 
 
 @query("m06_m08_stack")
 def m06_m08_stack(spark, sf_dir):
-    """Three learners stacked on years before the last two, calibrated on the one between, with the last predicted."""
+    """Five learners stacked on years before the last two, calibrated on the one between, with the last predicted."""
     c = written(_labelled(spark, sf_dir).select("contest_id", "date", F.year("date").alias("year"), "label", *_COLUMNS), "rows")
     last = c.agg(F.max("year")).first()[0]
-    fitted = models.stacked(c.where(F.col("year") < last - 1), _COLUMNS, ["logistic", "forest", "boosted"], "contest_id", settings=STACK)
-    held = models.stack_predict(fitted, c.where(F.col("year") == last - 1), _COLUMNS)
-    out = models.calibrated(held, models.stack_predict(fitted, c.where(F.col("year") == last), _COLUMNS), "p")
+    fitted = models.stacked(c.where(F.col("year") < last - 1), _COLUMNS, ["logistic", "forest", "level", "leaf", "symmetric"], "contest_id", settings=STACK)
+    held = models.stack_predict(fitted, c.where(F.col("year") == last - 1))
+    out = models.calibrated(held, models.stack_predict(fitted, c.where(F.col("year") == last)), "p")
     return out.select("contest_id", F.round("p", 6).alias("p"), F.round("p_cal", 6).alias("p_cal"), "label", models.hard("p_cal").alias("said"))
 
 
-#: Smaller than the library's defaults: thirty fits of the full forest would take the query from a minute to half an hour on eight cores.
-STACK = {"forest": {"numTrees": 60, "maxDepth": 8}, "boosted": {"maxIter": 15}}
+#: Smaller than the library's defaults (800 rounds at 0.03, 300 trees of depth 12), which would take the queries from a minute to an hour on eight cores.
+BOOSTED = {"rounds": 8, "rate": 0.25, "bins": 32}
+STACK = {"forest": {"numTrees": 60, "maxDepth": 8}} | dict.fromkeys(("level", "leaf", "symmetric"), BOOSTED)
 
 
 @query("m05_m16_final")
@@ -380,8 +389,8 @@ def m05_m16_final(spark, sf_dir):
     """A boosted model with early stopping beside a final logistic of all rows with the last two years' curve: both scores, and the curve's gain."""
     rows = written(_labelled(spark, sf_dir).select("contest_id", "date", "label", *_COLUMNS), "rows")
     train, held = backtest.split_by_date(rows, 0.8)
-    stopped = models.predicted(models.early_stopped(train, _COLUMNS, maxIter=40), models.vectors(held, _COLUMNS), "p")
-    final = models.final_predict(models.final(train, _COLUMNS), held)
+    stopped = models.early_stopped(train, _COLUMNS, patience=5, **BOOSTED | {"rounds": 30}).scored(models.vectors(held, _COLUMNS), "p")
+    final = written(models.final_predict(models.final(train, _COLUMNS), held), "final")
     one = models.scores(stopped, "p", "label").withColumn("model", F.lit("boosted, stopped early"))
     two = models.scores(final, "p_cal", "label").withColumn("model", F.lit("final, calibrated"))
     choice = models.better_calibrated(final, "p", "p_cal", "label").select("chosen")
@@ -421,9 +430,9 @@ def m14_single_predictions(spark, sf_dir):
 def m13_weights(spark, sf_dir):
     """Each feature's share over two learners, and each learner's share in the meta model."""
     rows = written(_labelled(spark, sf_dir).select("contest_id", "date", "label", *_COLUMNS), "rows")
-    base, meta = models.stacked(rows, _COLUMNS, ["logistic", "forest"], "contest_id", settings={"forest": {"numTrees": 20, "maxDepth": 6}})
-    own = models.importances(base, _COLUMNS, spark).withColumnRenamed("importance", "share")
-    shares = F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(v).alias("share")) for k, v in models.meta_weights(meta, ["logistic", "forest"]).items()))
+    stack = models.stacked(rows, _COLUMNS, ["logistic", "forest"], "contest_id", settings={"forest": {"numTrees": 20, "maxDepth": 6}})
+    own = models.importances(stack, spark).withColumnRenamed("importance", "share")
+    shares = F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(v).alias("share")) for k, v in models.meta_weights(stack).items()))
     return own.unionByName(rows.limit(1).select(F.explode(shares).alias("s")).select("s.*"))
 
 

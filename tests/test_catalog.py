@@ -3,15 +3,12 @@ from helpers import duckdb_rows, spark_rows
 
 from tallyline.plans import queries
 
-#: Queries that fit models: a row count at the smallest scale, where folds of a thousand rows may be missing.
-MODELS = {"m06_m08_stack", "b15_stepped", "m05_m16_final", "m13_weights", "m14_single_predictions", "b04_walk_forward"}
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf, name):
     assert spark_rows(queries.QUERIES[name](spark, sf)) == duckdb_rows(sf, queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_query_without_sql_has_rows(spark, sf, name):
-    assert queries.QUERIES[name](spark, sf).count() > 0
+    """Their values are held by the tests of their operators; the yearly folds need a thousand rows, which the smallest tables lack."""
+    assert queries.QUERIES[name](spark, sf.replace("sf0.001", "sf0.01") if name == "b04_walk_forward" else sf).count() > 0

@@ -119,15 +119,15 @@ def test_stack_by_plain_numpy(spark):
     for label in (0.0, 1.0):
         sizes = [n[label, f] for f in range(5)]
         assert max(sizes) - min(sizes) <= 4
-    fitted = models.stacked(df, ["a", "b"], ["logistic", "forest"], "contest_id", settings={"forest": {"numTrees": 10, "maxDepth": 3}})
-    meta = fitted[1]
-    for r in models.stack_predict(fitted, df, ["a", "b"]).limit(50).collect():
-        z = meta.intercept + float(np.dot(meta.coefficients.toArray(), [r["p_logistic"], r["p_forest"]]))
+    stack = models.stacked(df, ["a", "b"], ["logistic", "forest"], "contest_id", settings={"forest": {"numTrees": 10, "maxDepth": 3}})
+    meta = stack.meta.members[0]
+    for r in models.stack_predict(stack, df).limit(50).collect():
+        z = meta.intercept + float(np.dot(meta.coefficients, [r["p_logistic"], r["p_forest"]]))
         assert abs(r["p"] - 1 / (1 + math.exp(-z))) < 1e-9
-    oof = models.out_of_fold(models.vectors(df, ["a", "b"]), ["logistic"], "contest_id")
+    oof, _ = models.out_of_fold(models.vectors(df, ["a", "b"]), ["logistic"], "contest_id")
     loss = oof.agg(F.avg(F.pow(F.col("p_logistic") - F.col("label"), 2))).first()[0]
     assert 0.1 < loss < 0.24 and oof.count() == 600
-    assert abs(sum(models.meta_weights(meta, ["logistic", "forest"]).values()) - 1) < 1e-9
+    assert abs(sum(models.meta_weights(stack).values()) - 1) < 1e-9
 
 
 def test_walk_forward_trains_on_earlier_years_only(spark):
