@@ -126,17 +126,20 @@ def j01_j08_lookups(spark, sf_dir):
     return out.join(lines, ["contest_id", "p1"], "left").groupBy("contest_id", "nation_1", "nation_2", "region").agg(F.count("extra").alias("fanned"))
 
 
-@query("j10_scored_names", """WITH known AS (SELECT n_nationkey AS known_seq, 'Fam' || chr(CAST(97 + n_nationkey % 20 AS INTEGER)) || 'ou' || CASE WHEN n_nationkey % 3 = 0 THEN ' Deux' ELSE '' END || ' ' || chr(CAST(65 + n_nationkey % 4 AS INTEGER)) || '.' AS known_name FROM nation),
-names AS (SELECT DISTINCT chr(CAST(65 + c_custkey % 4 AS INTEGER)) || 'nn ' || CASE c_custkey % 4 WHEN 0 THEN 'Fam' || chr(CAST(97 + c_custkey % 25 AS INTEGER)) || 'ou' WHEN 1 THEN 'Fam' || chr(CAST(97 + c_custkey % 25 AS INTEGER)) || 'oux' WHEN 2 THEN 'Fam' || chr(CAST(97 + c_custkey % 25 AS INTEGER)) || 'ou Deux' ELSE 'Deux' END AS name FROM customer),
+@query("j10_scored_names", """WITH known AS (SELECT n_nationkey AS known_seq, CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE 'Fam' END || chr(CAST(97 + n_nationkey % 20 AS INTEGER)) || CASE WHEN n_nationkey % 7 = 0 THEN '' ELSE 'ou' END || CASE WHEN n_nationkey % 3 = 0 THEN ' Deux' ELSE '' END || ' ' || chr(CAST(65 + n_nationkey % 4 AS INTEGER)) || '.' AS known_name FROM nation),
+names AS (SELECT DISTINCT chr(CAST(65 + c_custkey % 4 AS INTEGER)) || 'nn ' || CASE c_custkey % 6 WHEN 0 THEN 'Fam' || chr(CAST(97 + c_custkey % 25 AS INTEGER)) || 'ou' WHEN 1 THEN 'Fam' || chr(CAST(97 + c_custkey % 25 AS INTEGER)) || 'oux' WHEN 2 THEN 'Fam' || chr(CAST(97 + c_custkey % 25 AS INTEGER)) || 'ou Deux' WHEN 3 THEN 'Deux'
+  WHEN 4 THEN chr(CAST(97 + c_custkey % 25 AS INTEGER)) || 'o' ELSE chr(CAST(97 + c_custkey % 25 AS INTEGER)) END AS name FROM customer),
 p AS (SELECT name, known_name, known_seq, string_split(lower(name), ' ') AS t, string_split(regexp_replace(lower(known_name), '[^a-z ]', '', 'g'), ' ') AS u FROM names, known),
 s AS (SELECT name, known_name, known_seq, CASE WHEN t[-1] = u[1] THEN 3.0 WHEN contains(u[1], t[-1]) OR contains(t[-1], u[1]) THEN 2.0 WHEN array_to_string(t[2:], ' ') = array_to_string(u[:-2], ' ') THEN 3.0 WHEN contains(array_to_string(u[:-2], ' '), t[-1]) THEN 1.5 END + CASE WHEN t[1][1] = u[-1][1] THEN 1.0 ELSE 0.0 END AS score FROM p)
 SELECT name, arg_min(known_name, (-score, known_seq)) AS known_name, CAST(max(score) AS DOUBLE) AS score FROM s WHERE score >= 2 GROUP BY 1""")
 def j10_scored_names(spark, sf_dir):
     k, s = F.col("n_nationkey"), lambda c, n, base: F.char(base + F.col(c) % n)
-    last = F.concat(F.lit("Fam"), s("n_nationkey", 20, 97), F.lit("ou"), F.when(k % 3 == 0, " Deux").otherwise(""))
+    long = lambda part: F.when(k % 7 == 0, "").otherwise(part)
+    last = F.concat(long("Fam"), s("n_nationkey", 20, 97), long("ou"), F.when(k % 3 == 0, " Deux").otherwise(""))
     known = table(spark, sf_dir, "nation").select(k.alias("known_seq"), F.concat(last, F.lit(" "), s("n_nationkey", 4, 65), F.lit(".")).alias("known_name"))
     c, fam = F.col("c_custkey"), F.concat(F.lit("Fam"), s("c_custkey", 25, 97), F.lit("ou"))
-    own = F.when(c % 4 == 0, fam).when(c % 4 == 1, F.concat(fam, F.lit("x"))).when(c % 4 == 2, F.concat(fam, F.lit(" Deux"))).otherwise("Deux")
+    letter, kind = s("c_custkey", 25, 97), c % 6
+    own = F.when(kind == 0, fam).when(kind == 1, F.concat(fam, F.lit("x"))).when(kind == 2, F.concat(fam, F.lit(" Deux"))).when(kind == 3, "Deux").when(kind == 4, F.concat(letter, F.lit("o"))).otherwise(letter)
     names = table(spark, sf_dir, "customer").select(F.concat(s("c_custkey", 4, 65), F.lit("nn "), own).alias("name"))
     return joins.score_names(names, known)
 
@@ -160,9 +163,8 @@ def j14_j15_spans(spark, sf_dir):
     cal = written(ledger.calendar(c, "tournament", "1998-06-01", 3).select("tournament", "start", "end"), "calendar")
     finals = c.where("round = 'The Final'").withColumn("winner", F.when(F.col("win1") == 1, F.col("p1")).otherwise(F.col("p2")))
     hit = joins.in_range(cal, finals, "tournament", "start", "end", "date", F.struct("date", "contest_id", "winner"))
-    longer = cal.where(F.col("end") > F.col("start")).withColumnRenamed("start", "_o")
-    near = (F.col("tournament") == F.col("_t")) & (F.col("start") != F.col("_o")) & (F.year("start") == F.year("_o")) & (F.abs(F.datediff("start", "_o")) < 12)
-    alone = cal.join(longer.select(F.col("tournament").alias("_t"), "_o"), near, "left_anti").select("tournament", "start", F.lit(1).alias("alone"))
+    longer = cal.where(F.col("end") > F.col("start"))
+    alone = joins.without_neighbours(cal, longer, "tournament", "start", 12, same_day=False).select("tournament", "start", F.lit(1).alias("alone"))
     out = hit.join(alone, ["tournament", "start"], "left").select("tournament", "start", "end", F.col("hit.winner").alias("winner"), F.coalesce("alone", F.lit(0)).alias("alone"))
     return dated(out, "start", "end")
 
