@@ -31,6 +31,8 @@ from tallyline.llm.decontamination import Words
 from tallyline.llm.ftrl import Ftrl, probabilities, train
 from tallyline.session import forget, let_workers_import, table, written
 
+#: Sites up to which their table is broadcast, some 20 MB; beyond, documents meet theirs by shuffle, each site in so many copies.
+MAX_SITES, SALTS = 100_000, 16
 #: Labelled documents that the fit uses at most.
 MAX_TRAIN = 12_000
 #: Bins of hashed words and of their first bytes, and after them those of the shapes.
@@ -185,8 +187,14 @@ def updated(scores: DataFrame, host: str = "source", path: str = "lang") -> Data
     columns = [c for c in scores.columns if c not in {f"p_{k}" for k in FAULTS}]
     by_site = sites(scores.select(host, path, *(f"p_{k}" for k in FAULTS)), host, path)
     mine = {c: c if c.startswith("__tl_") else f"__tl_{c}" for c in by_site.columns}  # a document's own columns may have these names
-    by_site = by_site.select(*(F.col(c).alias(n) for c, n in mine.items()))
-    out = scores.join(by_site, F.col(host).eqNullSafe(F.col("__tl_host")) & F.col(path).eqNullSafe(F.col("__tl_path")), "left")
+    by_site = written(by_site.select(*(F.col(c).alias(n) for c, n in mine.items())), "sites")
+    same = F.col(host).eqNullSafe(F.col("__tl_host")) & F.col(path).eqNullSafe(F.col("__tl_path"))
+    if by_site.count() <= MAX_SITES:
+        out = scores.join(F.broadcast(by_site), same, "left")
+    else:  # documents of a site are dealt over copies of its row, so that a large site is many tasks' work
+        copies = by_site.withColumn("__tl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = scores.withColumn("__tl_deal", F.pmod(F.xxhash64("p_low", "p_toxic"), F.lit(SALTS)).cast("int"))
+        out = dealt.join(copies, same & (F.col("__tl_deal") == F.col("__tl_salt")), "left").drop("__tl_deal")
     posterior = {}
     for k in FAULTS:
         site = {x: F.col(f"__tl_{x}_{k}") for x in ("rate", "k1", "k2", "h", "s")}
