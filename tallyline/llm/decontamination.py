@@ -178,11 +178,13 @@ def find(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS)
     """Add n_words, n_hit, hit_items (sorted strings), contaminated, and hit_spans of (s, e) in words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(item_windows, "hash bigint, size int, words binary, item string")
-    windows = written(items.groupBy("hash", "size", "words").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+    # A part holds so many windows of items; one that very many items share is dealt over the parts too.
+    windows = written(items.distinct(), "windows")
     parts = max(1, -(-windows.count() // max_windows))
 
     def looked_up(rows: DataFrame, part: int) -> DataFrame:
-        of = windows.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == part).collect()
+        own = windows.where(F.pmod(F.xxhash64("hash", "item"), F.lit(parts)) == part)
+        of = own.groupBy("hash", "size", "words").agg(F.sort_array(F.collect_set("item")).alias("items")).collect()
         index = spark.sparkContext.broadcast(Index([(r["hash"], r["size"], bytes(r["words"]), r["items"]) for r in of]))
         ints, none = F.array().cast("array<int>"), F.array().cast("array<string>")
         schema = rows.withColumns({"n_words": F.lit(0).cast("long"), "__tl_starts": ints, "__tl_ends": ints, "hit_items": none}).schema
@@ -203,7 +205,7 @@ def find(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS)
         none = F.array()
         out = out.withColumns(
             {
-                "hit_spans": F.array_sort(F.concat("hit_spans", F.coalesce("__tl_spans", none.cast("array<struct<s:int,e:int>>")))),
+                "hit_spans": F.array_sort(F.array_union("hit_spans", F.coalesce("__tl_spans", none.cast("array<struct<s:int,e:int>>")))),
                 "hit_items": F.array_sort(F.array_union("hit_items", F.coalesce("__tl_items", none.cast("array<string>")))),
             }
         ).drop("__tl_key", "__tl_hit", "__tl_spans", "__tl_items")
