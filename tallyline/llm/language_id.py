@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3)
 BITS = 16
 BINS = 1 << BITS
 MAX_TRAIN = 12_000
+#: Languages at most: the driver holds a weight for each of them and every bin.
+MAX_LANGS = 1000
 #: One in so many of the sample is kept for the temperature.
 CALIBRATE = 5
 TEMPERATURES = np.round(np.geomspace(0.1, 10, 41), 4)
@@ -110,7 +112,9 @@ def learn(docs: DataFrame, max_train: int = MAX_TRAIN, settings: Ftrl = SETTINGS
 
     sc = docs.sparkSession.sparkContext
     usable = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    langs = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in usable.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang: these are no languages, or MAX_LANGS is to be raised with the driver's memory")
     if not langs:
         return None
     counts = usable.select("text").mapInArrow(document_frequency, "bin bigint, df bigint").groupBy("bin").agg(F.sum("df").alias("df")).collect()
