@@ -159,6 +159,20 @@ def combined_initial(rows: DataFrame, default: float = 1000.0) -> DataFrame:
     return each.groupBy("user_id").agg(F.coalesce(F.sum("a"), F.lit(default)).alias("initial"))
 
 
+def initialised(files: DataFrame, users: DataFrame, default: float = 1000.0) -> DataFrame:
+    """(user_id, initial, bankroll) of all users: a file's initial amount, without one its bankroll; users without a file start with the default."""
+    start = F.coalesce("initial", "bankroll", F.lit(default))
+    have = files.select("user_id", start.alias("initial"), F.coalesce("bankroll", start).alias("bankroll"))
+    return have.unionByName(unknown(users.select("user_id").distinct(), files, "user_id").withColumns({"initial": F.lit(default), "bankroll": F.lit(default)}))
+
+
+def saved(files: DataFrame, amounts: DataFrame) -> DataFrame:
+    """Files with the bankrolls of (user_id, bankroll): the initial amount stays, a new file's is its first bankroll."""
+    new = amounts.select(F.col("user_id").alias("_u"), F.col("bankroll").alias("_b"))
+    both = files.join(new, F.col("user_id") == F.col("_u"), "full")
+    return both.select(F.coalesce("user_id", "_u").alias("user_id"), F.coalesce("initial", "_b").alias("initial"), F.coalesce("_b", "bankroll").alias("bankroll"))
+
+
 def listed(events: DataFrame, sport: str | None = None, with_completed: bool = True) -> DataFrame:
     """Events of a sport, or of all, upcoming ones first, by time (those without one before others), the newest of one time first."""
     rows = events if sport is None else events.where(F.col("sport") == sport)

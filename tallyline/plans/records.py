@@ -352,6 +352,37 @@ def s20_p15_listing(spark, sf_dir):
     return ledger.listed(ledger.unknown(events, known, "event_id"), "tennis").select("event_id", F.row_number().over(place).alias("place"))
 
 
+@query("s20_listing_stop", f"""WITH {C0}, m AS (SELECT *, CAST(datediff('month', date, (SELECT max(date) FROM c0)) AS INTEGER) AS page, date < DATE '2001-03-01' OR contest_id % 3 = 0 AS known FROM c0),
+w AS (SELECT min(page) AS stop FROM (SELECT page, bool_and(known) AS whole FROM m GROUP BY 1) WHERE whole) SELECT contest_id, page FROM m, w WHERE NOT known AND page < stop""")
+def s20_listing_stop(spark, sf_dir):
+    """Contests listed by month, the newest first, that aren't among the known ones, up to the first month that is known whole."""
+    from tallyline.session import scratch
+    from tallyline.sources import listing
+
+    c = contests(spark, sf_dir).select("contest_id", "date")
+    last = c.agg(F.max("date")).first()[0]
+    month = lambda d: F.year(d) * 12 + F.month(d)
+    folder = scratch(spark, "pages")
+    c.withColumn("page", month(F.lit(last)) - month("date")).write.partitionBy("page").parquet(folder)
+    pages = spark.read.parquet(folder)
+    known = c.where("date < '2001-03-01' or contest_id % 3 = 0")
+    read = lambda a, b: pages.where((F.col("page") >= a) & (F.col("page") < b))
+    out, _, _ = listing.new_entries(read, pages.agg(F.max("page") + 1).first()[0], known, "contest_id", first=2)
+    return out.select("contest_id", "page")
+
+
+@query("l13_bankroll_files", f"""WITH {LEDGER}, f AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 > 0 THEN c_acctbal END AS initial, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal * 2 END AS bankroll FROM customer WHERE c_custkey % 3 = 0),
+i AS (SELECT c.c_custkey AS user_id, coalesce(f.initial, f.bankroll, 1000.0) AS initial FROM customer c LEFT JOIN f ON f.user_id = c.c_custkey),
+m AS (SELECT user_id, sum(CASE WHEN status = 'resolved' THEN coalesce(profit, 0) ELSE -stake END) AS m FROM lbets GROUP BY 1)
+SELECT i.user_id, i.initial, CASE WHEN m IS NOT NULL OR i.user_id % 3 = 0 THEN round(i.initial + coalesce(m, 0), 2) ELSE i.initial END AS bankroll FROM i LEFT JOIN m USING (user_id)""")
+def l13_bankroll_files(spark, sf_dir):
+    """Every user's bankroll, started where there is none and worked out anew from the bets, then saved."""
+    c = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").select(c.alias("user_id"), F.when(c % 5 > 0, F.col("c_acctbal")).alias("initial"), F.when(c % 7 > 0, F.col("c_acctbal") * 2).alias("bankroll"))
+    started = ledger.initialised(customers.where("user_id % 3 = 0"), customers.select("user_id"))
+    return ledger.saved(started, A.bankrolls(started, ledger_bets(spark, sf_dir)))
+
+
 @query("o01_o08_sorts", f"""WITH {BETS}, r AS (SELECT contest_id, row_number() OVER (ORDER BY date DESC, contest_id DESC) AS late, row_number() OVER (ORDER BY abs(edge) DESC, contest_id) AS far, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date, contest_id) AS in_month FROM bets)
 SELECT contest_id, CAST(CASE WHEN late <= 10 THEN late END AS INTEGER) AS late, CAST(CASE WHEN far <= 10 THEN far END AS INTEGER) AS far, CAST(in_month AS INTEGER) AS in_month FROM r WHERE late <= 10 OR far <= 10 OR in_month <= 3""")
 def o01_o08_sorts(spark, sf_dir):
