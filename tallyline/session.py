@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +41,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths given out within each open temporary_tables().
+_held: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; no two calls get the same one."""
-    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    if _held:
+        _held[-1].append(path)
+    return path
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, whatever store it is in."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Whatever is written to new paths within it is deleted at its end, when nothing may read it any more."""
+    _held.append([])
+    try:
+        yield
+    finally:
+        for path in _held.pop():
+            deleted(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -60,5 +86,4 @@ def forget(*tables: DataFrame) -> None:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/tables/" in path:
-                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                deleted(spark, path)

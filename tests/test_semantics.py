@@ -195,3 +195,16 @@ def test_price_feed(spark):
         {"key": "x", "title": "X", "last_update": "", "markets": market(2.0, 1.8)}, {"key": "y", "title": "Y", "last_update": "", "markets": market(2.2, None)}, {"key": "z", "title": "Z", "last_update": "", "markets": []}]}]
     r = joins.best_prices(tables.prices(spark.createDataFrame(feed, tables.FEED)), ["Y", "X"]).collect()
     assert len(r) == 1 and (r[0]["n_books"], r[0]["bookmaker"], r[0]["best_1"], r[0]["prices"]) == (1, "X", 2.0, {"X": 2.0})
+
+
+def test_temporary_tables_go_and_others_stay(spark):
+    import os
+
+    from tallyline import session
+
+    before = session.written(spark.range(3), "stays")
+    with session.temporary_tables(spark):
+        inner = session.written(before, "goes")
+        path = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.exists(path) and inner.count() == 3
+    assert not os.path.exists(path) and before.count() == 3
