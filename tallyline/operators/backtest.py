@@ -302,6 +302,15 @@ def stepped(rows: DataFrame, columns: list[str], first: str, months: int = 6, le
     return reduce(DataFrame.unionByName, out).drop("_fold")
 
 
+def split_by_year(rows: DataFrame, test_year: int | None = None, train_years: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(train, calibrate, test): the test year, the last one if none is named, the year before it, and those before, or so many of them."""
+    if test_year is None:
+        test_year = rows.agg(F.max(F.year("date"))).first()[0] or 0
+    year = F.year("date")
+    train = (year < test_year - 1) if train_years is None else year.between(test_year - 1 - train_years, test_year - 2)
+    return rows.where(train), rows.where(year == test_year - 1), rows.where(year == test_year)
+
+
 def split_by_date(rows: DataFrame, share: float = 0.8, least_held: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, held): rows before and from the day that the row at this share of all has, in order of date; at least so many are held.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as S
@@ -42,6 +43,32 @@ def strategies(configs: list[dict]) -> list[Strategy]:
     return [Strategy(**c) for c in configs if "threshold" in c]
 
 
+#: Names of a strategy's settings in a configuration file.
+SETTINGS = {
+    "model_threshold": "threshold", "min_edge": "min_edge", "min_ev": "min_ev", "min_odds": "min_odds", "max_odds": "max_odds", "series_filter": "series", "surface_filter": "surfaces",
+    "stake_type": "stake", "flat_pct": "flat_pct", "kelly_fraction": "fraction", "min_stake_pct": "low", "max_stake_pct": "high",
+}
+
+
+def configured(spark: SparkSession, path: str) -> list[Strategy]:
+    """Strategies of a configuration file in any store that Spark reads: JSON, or YAML where a reader of it is installed.
+
+    The file's entry strategies, or all of it, has a record a strategy by name. A record without a threshold, or that isn't
+    enabled, is none; what it lacks has the default; a file without content has none.
+    """
+    text = spark.read.text(path, wholetext=True).first()
+    text = text["value"] if text else ""
+    try:
+        content = json.loads(text) if text.strip() else {}
+    except json.JSONDecodeError:
+        import yaml
+
+        content = yaml.safe_load(text) or {}
+    entries = content.get("strategies", content)
+    records = [(name, r) for name, r in entries.items() if isinstance(r, dict) and "model_threshold" in r and r.get("enabled", True)]
+    return [Strategy(name=name, **{new: r[old] for old, new in SETTINGS.items() if r.get(old) is not None}) for name, r in records]
+
+
 def judged(c: DataFrame, rules: list[Strategy], p: str = "p1_prob") -> DataFrame:
     """Each side of each contest under each strategy, with edge, value, the first reason against and the share to stake.
 

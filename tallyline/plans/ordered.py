@@ -371,11 +371,9 @@ def b15_stepped(spark, sf_dir):
 @query("m06_m08_stack")
 def m06_m08_stack(spark, sf_dir):
     """Five learners stacked on years before the last two, calibrated on the one between, with the last predicted."""
-    c = written(_labelled(spark, sf_dir).select("contest_id", "date", F.year("date").alias("year"), "label", *_COLUMNS), "rows")
-    last = c.agg(F.max("year")).first()[0]
-    fitted = models.stacked(c.where(F.col("year") < last - 1), _COLUMNS, ["logistic", "forest", "level", "leaf", "symmetric"], "contest_id", settings=STACK)
-    held = models.stack_predict(fitted, c.where(F.col("year") == last - 1))
-    out = models.calibrated(held, models.stack_predict(fitted, c.where(F.col("year") == last)), "p")
+    train, calibrate, test = backtest.split_by_year(written(_labelled(spark, sf_dir).select("contest_id", "date", "label", *_COLUMNS), "rows"))
+    fitted = models.stacked(train, _COLUMNS, ["logistic", "forest", "level", "leaf", "symmetric"], "contest_id", settings=STACK)
+    out = models.calibrated(models.stack_predict(fitted, calibrate), models.stack_predict(fitted, test), "p")
     return out.select("contest_id", F.round("p", 6).alias("p"), F.round("p_cal", 6).alias("p_cal"), "label", models.hard("p_cal").alias("said"))
 
 

@@ -166,6 +166,29 @@ def test_prices_with_noise_follow_from_their_keys(spark):
     assert df.agg(F.min("q"), F.max("q")).first()[0] >= 0.05
 
 
+def test_strategies_from_a_file(spark, tmp_path):
+    import json
+
+    from tallyline.operators import decision
+
+    entries = {"sure": {"model_threshold": 0.72, "series_filter": ["Grand Slam"], "stake_type": "flat", "max_stake_pct": 0.03}, "off": {"model_threshold": 0.5, "enabled": False}, "note": "text", "none": {"min_ev": 1}}
+    (tmp_path / "a.json").write_text(json.dumps({"strategies": entries}))
+    (tmp_path / "empty.json").write_text("")
+    want = [decision.Strategy("sure", threshold=0.72, series=["Grand Slam"], stake="flat", high=0.03)]
+    assert decision.configured(spark, f"{tmp_path}/a.json") == want and decision.configured(spark, f"{tmp_path}/empty.json") == []
+    yaml = pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text(yaml.safe_dump(entries))
+    assert decision.configured(spark, f"{tmp_path}/a.yaml") == want
+
+
+def test_years_are_split_in_order(spark):
+    df = spark.sql("SELECT id, make_date(CAST(2010 + id % 7 AS INT), 1 + CAST(id % 12 AS INT), 3) AS date FROM range(100)")
+    years = lambda t: sorted(r[0] for r in t.select(F.year("date")).distinct().collect())
+    assert [years(t) for t in backtest.split_by_year(df)] == [[2010, 2011, 2012, 2013, 2014], [2015], [2016]]
+    assert [years(t) for t in backtest.split_by_year(df, 2014, 2)] == [[2011, 2012], [2013], [2014]]
+    assert [t.count() for t in backtest.split_by_year(df.where("false"))] == [0, 0, 0]
+
+
 def test_strategies_from_entries():
     from tallyline.operators import decision
 
