@@ -419,7 +419,8 @@ def m14_single_predictions(spark, sf_dir):
     rows = written(features_.dataset(rated.select(*history.columns, *_RATED), history).withColumn("label", F.col("label").cast("double")), "features")
     columns = [f for f in features_.FEATURES if f not in ("month_sin", "month_cos")]
     fitted = models.final(rows, columns)
-    p = models.final_predict(fitted, features_.single(asked.drop("win1"), history, rated)).select("contest_id", models.routed_first("p_cal", "p").alias("p1_prob"))
+    said = models.final_predict(fitted, features_.single(asked.drop("win1"), history, rated))
+    p = said.select("contest_id", models.routed(said, ["p_cal", "p"]).alias("p1_prob"))
     found = decision.recommended(asked.join(p, "contest_id"), decision.STRATEGIES)
     return found.select("contest_id", "side", "strategy", "odds", F.round("prob", 6).alias("prob"), F.round("edge", 6).alias("edge"), F.round("ev", 6).alias("ev"), F.round("share", 6).alias("share"))
 
