@@ -37,6 +37,8 @@ from tallyline.llm.token_files import encoded, encoder
 CAPACITY = 4096
 #: Pieces of a capacity's this part or more are large; how many groups these are cut into (each is tried, the fewest sequences win).
 LARGE = 8
+#: Columns of a piece's rank: the task that made it, and how many of its length that had made before.
+RANK = ("_chunk", "_nth")
 GROUPS = (16, 64)
 
 
@@ -195,9 +197,28 @@ def planned(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int,
     return min((Plan(counts, capacity, g) for g in groups), key=lambda p: p.sequences)
 
 
-def cut_batches(tokenizer: str, capacity: int, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+class Ranks:
+    """Counts the pieces of each length in a task: a piece is the task's number and how many of its length came before it."""
+
+    def __init__(self, capacity: int):
+        from pyspark import TaskContext
+
+        self.part, self.seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+
+    def added(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        length = batch.column("length").to_numpy()
+        order = np.argsort(length, kind="stable")
+        counts = np.bincount(length, minlength=len(self.seen))
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(length)) - (np.cumsum(counts) - counts)[length[order]]
+        nth += self.seen[length]
+        self.seen += counts
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(nth), self.part)), pa.array(nth)], names=[*batch.schema.names, *RANK])
+
+
+def cut_batches(tokenizer: str, capacity: int, full: bool, ranked: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer)
+        words, ranks = encoder(tokenizer), Ranks(capacity)
         for batch in batches:
             for doc_ids, sizes, ids in encoded(batch, words):
                 sizes = sizes.astype(np.int64)
@@ -215,41 +236,40 @@ def cut_batches(tokenizer: str, capacity: int, full: bool) -> Callable[[Iterator
                 }
                 if full:
                     rows["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
+                out = pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
+                yield ranks.added(out) if ranked else out
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, full: bool = True) -> DataFrame:
-    """doc_id, piece, start, length and checksum of the ids of every document, cut where it exceeds the capacity; full: the ids too."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * full
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_batches(tokenizer, capacity, full), schema)
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, full: bool = True, ranked: bool = False) -> DataFrame:
+    """doc_id, piece, start, length and checksum of the ids of every document, cut where it exceeds the capacity; full: the ids too.
+
+    ranked: with what placed() counts otherwise, so that it needs no pass of its own for that.
+    """
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * full + f", {RANK[0]} long, {RANK[1]} long" * ranked
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_batches(tokenizer, capacity, full, ranked), schema)
 
 
 def number_batches(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        ranks = Ranks(capacity)
         for batch in batches:
-            length = batch.column("length").to_numpy()
-            order = np.argsort(length, kind="stable")
-            counts = np.bincount(length, minlength=capacity + 1)
-            nth = np.empty(len(length), np.int64)
-            nth[order] = np.arange(len(length)) - (np.cumsum(counts) - counts)[length[order]]
-            nth += seen[length]
-            seen += counts
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(nth), part)), pa.array(nth)], names=[*batch.schema.names, "_chunk", "_nth"])
+            yield ranks.added(batch)
 
     return run
 
 
 def placed(rows: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS) -> DataFrame:
-    """Rows with a length of 1 to the capacity get sequence_id and offset; columns of these names are replaced."""
+    """Rows with a length of 1 to the capacity get sequence_id and offset; columns of these names are replaced, and those of RANK are read as ranks and go."""
     from tallyline.session import written
 
-    rows = rows.drop("sequence_id", "offset", "_chunk", "_nth", "_base")
-    kept = written(rows.mapInArrow(number_batches(capacity), T.StructType([*rows.schema.fields, T.StructField("_chunk", T.LongType()), T.StructField("_nth", T.LongType())])), "pieces")
+    rows = rows.drop("sequence_id", "offset", "_base")
+    ranked = rows
+    if not set(RANK) <= set(rows.columns):
+        rows = rows.drop(*RANK)
+        ranked = rows.mapInArrow(number_batches(capacity), T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in RANK)]))
+    rows, kept = rows.drop(*RANK), written(ranked, "pieces")
     counts = written(kept.groupBy("length", "_chunk").agg(F.count(F.lit(1)).alias("_n")), "counts")
     plan = planned({r["length"]: r["_n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("_n")).collect()}, capacity, groups)  # at most a row for each length
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
@@ -282,4 +302,4 @@ def op12_best_fit_packing(spark, sf_dir: str, tokenizer: str = "word_bpe_49k.jso
     from tallyline.session import let_workers_import, table
 
     let_workers_import(spark)
-    return placed(pieces(table(spark, sf_dir, "documents"), tokenizer, full=False))
+    return placed(pieces(table(spark, sf_dir, "documents"), tokenizer, full=False, ranked=True))

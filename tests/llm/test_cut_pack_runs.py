@@ -157,6 +157,8 @@ def test_packed_pieces_are_the_tokenizers(odd):
     for x in placed.values():
         x.sort()
         assert [o for o, _ in x] == [0, *np.cumsum([n for _, n in x])[:-1].tolist()] and sum(n for _, n in x) <= 500
+    ranked = packing.placed(packing.pieces(odd, "word_bpe_49k.json", capacity=500, ranked=True), capacity=500)
+    assert ranked.columns == rows.columns and ranked.select("sequence_id").distinct().count() == len(placed)
     whole = packing.sequences(rows)
     assert whole.count() == len(placed) and whole.agg(F.sum(F.size("ids"))).first()[0] == sum(len(w[2]) for w in want)
     assert packing.placed(packing.pieces(odd.where("false"), "word_bpe_49k.json")).count() == 0
