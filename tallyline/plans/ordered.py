@@ -141,7 +141,7 @@ def e05_e08_states(spark, sf_dir):
     return out.select("p1", "p2", *(F.round(x, 6).alias(x) for x in ("elo_1", "elo_2", "p_elo", "career_1", "elo_1_later")))
 
 
-def _features_sql() -> str:
+def _features_sql(extra: str = "") -> str:
     w01 = ORACLES["w01_w10_player_features"]
     w01 = w01[w01.index("h AS (SELECT") :]
     h, last = w01[: w01.rindex("SELECT contest_id, side, player")].rstrip(), w01[w01.rindex("SELECT contest_id, side, player") :]
@@ -151,7 +151,7 @@ def _features_sql() -> str:
     rounds = "CASE round " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.ROUND_RANK["v3"][0].items()) + f" ELSE {S.ROUND_RANK['v3'][1]} END"
     rank = lambda n: f"(CASE WHEN rank_{n} > 0 THEN rank_{n}::DOUBLE ELSE 100.0 END)"
     return f"""WITH RECURSIVE {_E03}, {h.replace(' r AS (', ' w_ AS (').replace(',' + chr(10) + 'r AS (', ',' + chr(10) + 'w_ AS (')}, ft AS ({last.replace('FROM r', 'FROM w_')}), e AS (SELECT contest_id, o0, o1, o2, o3, o4, o5 FROM r JOIN seq USING (i))
-SELECT c0.contest_id, round(o0 - o1, 4) AS elo_diff, round(o2 - o3, 4) AS surf_elo_diff, round(o4 - o5, 4) AS momentum_elo_diff, round(o0, 4) AS elo_p1, round(o3, 4) AS surf_elo_p2,
+SELECT c0.contest_id, {extra}round(o0 - o1, 4) AS elo_diff, round(o2 - o3, 4) AS surf_elo_diff, round(o4 - o5, 4) AS momentum_elo_diff, round(o0, 4) AS elo_p1, round(o3, 4) AS surf_elo_p2,
 {', '.join(side(n, c, new) for c, new in names for n in (1, 2))}, f1.h2h_rate AS h2h_p1_wr, f1.h2h_total AS h2h_total, f1.h2h_surface_rate AS h2h_surf_p1_wr,
 {rank(1)} - {rank(2)} AS rank_diff, round({rank(1)} / {rank(2)}, 6) AS rank_ratio, greatest(0, pts_1)::DOUBLE - greatest(0, pts_2) AS pts_diff, round(ln({rank(1)} + 1) - ln({rank(2)} + 1), 6) + 0.0 AS log_rank_diff,
 CAST(surface = 'Hard' AS INTEGER) AS is_hard, CAST(surface = 'Clay' AS INTEGER) AS is_clay, CAST(surface = 'Grass' AS INTEGER) AS is_grass, CASE WHEN surface = 'Carpet' OR regexp_matches(lower(tournament), '{'|'.join(S.INDOOR_TOWNS)}') THEN 1 ELSE 0 END AS is_indoor,
@@ -307,12 +307,21 @@ def w26_split(spark, sf_dir):
     return both.groupBy("surface").agg(F.sum(1 - F.col("k")).alias("n_train"), F.sum("k").alias("n_held")).crossJoin(F.broadcast(cut))
 
 
-@query("e12_notebook_matrix")
+_FILLED = {"rank_diff": "0.0", "pts_diff": "0.0", "rank_ratio": "1.0"}
+
+
+@query(
+    "e12_notebook_matrix",
+    f"WITH f AS ({_features_sql('round(o1, 4) AS elo_p2, ')}) SELECT contest_id, label, "
+    + ", ".join(f"coalesce({c}, {_FILLED.get(c, f'(SELECT median({c}) FROM f)')}) AS {c}" for c in features_.NOTEBOOK)
+    + " FROM f",
+)
 def e12_notebook_matrix(spark, sf_dir):
-    """The 26 columns without gaps, of contests with prices; tests hold the medians against plain Python."""
+    """The 26 columns without gaps; tests hold the medians of made gaps against plain Python."""
     c = contests(spark, sf_dir)
     rows = written(features_.dataset(ratings.multi_elo(c), c), "features")
-    return features_.matrix(rows, features_.NOTEBOOK, ["contest_id", "label"])
+    out = features_.matrix(rows, features_.NOTEBOOK, ["contest_id", "label"])
+    return out.withColumns({x: F.round(x, 4 if "elo" in x else 6) + 0.0 for x in features_.NOTEBOOK if "elo" in x or "form" in x or "surf_wr" in x or x in ("h2h_p1_wr", "rank_ratio")})
 
 
 @query("e10_e11_single")
