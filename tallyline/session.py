@@ -30,6 +30,19 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(p for p in (have, ROOT) if p)
 
 
+#: Rows of a batch that goes to a Python worker, where rows hold whole texts.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def batches_of_texts(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows in a batch than Spark's ten thousand: of texts, that many take tens of megabytes on each side of every worker.
+
+    Only the default is changed; a session that sets a size of its own keeps it.
+    """
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a local session without one gets a local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
