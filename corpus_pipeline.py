@@ -11,7 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import decontamination, near_dedup, quality_classifier, secret_scan, sentencepiece_codec
-from tallyline.session import deleted, let_workers_import, scratch, table, temporary_tables
+from tallyline.session import batches_of_texts, deleted, let_workers_import, scratch, table, temporary_tables
+
+
+def prepared(spark: SparkSession) -> None:
+    """What the workers of every stage need, and batches of a size for whole texts."""
+    let_workers_import(spark)
+    batches_of_texts(spark)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is judged by its shape and its site; null sources and languages are sites of their own.
     """
-    let_workers_import(spark)
+    prepared(spark)
     return quality_classifier.classified(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
 
 
@@ -29,13 +35,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The least doc_id of a group stays, of repeated rows of it one; rows without an id stay where all
     of their group are so; null and empty texts are like no other and all stay.
     """
-    let_workers_import(spark)
+    prepared(spark)
     return near_dedup.deduplicated(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark; a null or empty text has none and stays."""
-    let_workers_import(spark)
+    prepared(spark)
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -49,7 +55,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns n_tokens, ids, decoded and round_trip are replaced, text and n_chars go, all others stay.
     """
-    let_workers_import(spark)
+    prepared(spark)
     out = sentencepiece_codec.encoded(docs.drop("n_chars", "round_trip"), sentencepiece_codec.model_path())
     whole = F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False))
     return out.withColumn("round_trip", whole).drop("text", "decoded")
