@@ -299,7 +299,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op12_best_fit_packing(spark, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    from tallyline.session import let_workers_import, table
+    from tallyline.session import batches_of_texts, let_workers_import, table
 
     let_workers_import(spark)
+    batches_of_texts(spark)
     return placed(pieces(table(spark, sf_dir, "documents"), tokenizer, full=False, ranked=True))
