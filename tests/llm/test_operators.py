@@ -194,15 +194,6 @@ def test_sentencepiece_on_random_texts():
     assert [c.decode(x).decode() for x in some] == [sp.decode(x) for x in some]
 
 
-def test_many_sites_meet_by_shuffle_as_by_broadcast(spark, sf, monkeypatch):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang")
-    scores = docs.select("doc_id", "source", F.when(F.col("doc_id") % 9 > 0, F.col("lang")).alias("lang"), *(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(97)).cast("double").alias(f"p_{n}") / 100 + 0.01 for k, n in enumerate(("low", "toxic"))))
-    scores = scores.toDF("doc_id", "source", "lang", "p_low", "p_toxic")
-    one = spark_rows(quality_classifier.updated(scores))
-    monkeypatch.setattr(quality_classifier, "MAX_SITES", 0)
-    assert spark_rows(quality_classifier.updated(scores)) == one and len(one[1]) == docs.count()
-
-
 def test_very_many_languages_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(language_id, "MAX_LANGS", 3)
     docs = spark.createDataFrame([(i, f"text number {i}", f"l{i % 4}") for i in range(60)], "doc_id long, text string, lang string")
