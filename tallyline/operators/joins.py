@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.functions.scalars import name_tokens, plain_name
 
@@ -131,9 +132,10 @@ def in_range(spans: DataFrame, rows: DataFrame, key: str, start: str, end: str,
     """The best (least) row of the same key within each span, ends included, null without one.
 
     The best of every block of days is found first, at each level, and a span reads the few blocks that
-    make it up: rows grow with the rows and spans, however many of one key fall into a span.
+    make it up: rows grow with the rows and spans, however many of one key fall into a span. Places are days, or whole numbers.
     """
-    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    whole = isinstance(rows.schema[at].dataType, T.IntegralType)
+    day = lambda c: F.col(c).cast("long") if whole else F.unix_date(F.col(c).cast("date"))
     held = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(day(at) / size).cast("long").alias("block")) for k, size in enumerate(LEVELS))))
     points = rows.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), best.alias("_b"), held.alias("_h"))
     tops = points.groupBy("_key", F.col("_h.level").alias("_level"), F.col("_h.block").alias("_block")).agg(F.min("_b").alias("_b"))
