@@ -189,6 +189,13 @@ def equity(bets: DataFrame, keys: list[str], order: list[str], initial: float =
 
 
 def compounded(bets: DataFrame, keys: list[str], order: list[str], share: str, initial: float = 1000.0) -> DataFrame:
-    """Bankroll after each bet of a share of it: the initial one times a running product, no loop."""
+    """Bankroll after each bet of a share of it: the initial one times a running product, no loop.
+
+    growth is the logarithm of that product, which stays finite where the bankroll is too large for a number. Parts are
+    days, so that products of few factors are put together and little is lost to rounding.
+    """
     gain = F.when(F.col("won") == 1, F.col("odds") - 1).otherwise(-1.0)
-    return running(bets, keys, month(), order, {"bankroll": ("product", 1 + F.col(share) * gain)}).withColumn("bankroll", initial * F.col("bankroll"))
+    factor = 1 + F.col(share) * gain
+    log = F.when(factor > 0, F.ln(factor)).otherwise(F.when(factor <= 0, float("-inf")))
+    out = running(bets, keys, F.col(order[0]), order, {"bankroll": ("product", factor), "growth": ("sum", log)})
+    return out.withColumn("bankroll", initial * F.col("bankroll"))

@@ -1,6 +1,7 @@
 """Edge cases of the time semantics and the ordered folds, against plain Python."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -208,3 +209,17 @@ def test_temporary_tables_go_and_others_stay(spark):
         path = inner.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
         assert os.path.exists(path) and inner.count() == 3
     assert not os.path.exists(path) and before.count() == 3
+
+
+def test_growth_stays_finite_where_the_bankroll_does_not(spark):
+    rows = [(i, D0 + dt.timedelta(days=i // 50), "x", 1, 3.0, 0.5) for i in range(2000)]
+    b = spark.createDataFrame(rows, "contest_id long, date date, surface string, won int, odds double, share double")
+    got = backtest.compounding(b, ["surface"]).orderBy("contest_id").collect()
+    assert got[-1]["bankroll"] == float("inf") and abs(got[-1]["growth"] - 2000 * math.log(2)) < 1e-9
+
+
+def test_growth_of_a_lost_bankroll(spark):
+    rows = [(0, D0, "x", 1, 3.0, 0.5), (1, D0, "x", 0, 3.0, 1.0), (2, D0 + dt.timedelta(days=1), "x", 1, 3.0, 0.5)]
+    b = spark.createDataFrame(rows, "contest_id long, date date, surface string, won int, odds double, share double")
+    got = backtest.compounding(b, ["surface"]).orderBy("contest_id").collect()
+    assert [r["growth"] for r in got][1:] == [float("-inf")] * 2 and [r["bankroll"] for r in got][1:] == [0.0, 0.0]
