@@ -19,11 +19,6 @@ def by(*keys: str):
     return Window.partitionBy(*keys).orderBy(*ORDER)
 
 
-def history(keys: tuple[str, ...], k: int | None = None) -> Column:
-    """(date, won) of the last k earlier rows of the keys, oldest first."""
-    return F.collect_list(F.struct("date", "won")).over(by(*keys).rowsBetween(-k if k else Window.unboundedPreceding, -1))
-
-
 def form(n: int, least: int = 1) -> Column:
     """Share won of the last n contests; one half with fewer than least."""
     w = by("player").rowsBetween(-n, -1)
@@ -38,40 +33,55 @@ def rate(past: str, since: Column | None = None, default: Column | float | None
     return out if default is None else F.coalesce(out, default if isinstance(default, Column) else F.lit(default))
 
 
-def player_features(app: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20), slam: str = "Grand Slam") -> DataFrame:
-    """Form, surface rates, rest, fatigue, head-to-head and experience of each appearance before its contest."""
-    before = Window.unboundedPreceding
-    out = app.withColumns(
-        {f"form_{n}": form(n) for n in windows}
+def player_features(app: DataFrame, windows: tuple[int, ...] = (3, 5, 10, 20), slam: str = "Grand Slam", asked: str | None = None) -> DataFrame:
+    """Form, surface rates, rest, fatigue, head-to-head and experience of each appearance before its contest.
+
+    asked names a boolean column of rows that only ask: they see the rows of earlier days and count for no row. Histories of some
+    rows become figures before the next window sorts, so that no sort carries them.
+    """
+    before, real = Window.unboundedPreceding, F.lit(True)
+    frame = lambda keys, n=None: by(*keys).rowsBetween(-n if n else before, -1)
+    out = app.repartition("player")
+    if asked is not None:
+        # Rows that ask take no number, so a span of numbers holds so many rows that count, whatever asks between them.
+        real = ~F.col(asked)
+        first = lambda keys: Window.partitionBy(*keys).orderBy("date", F.desc(asked), "contest_id", "side")
+        number = lambda keys: F.sum(real.cast("int")).over(first(keys).rowsBetween(before, 0))
+        out = out.withColumn("_at_player", number(("player",))).withColumn("_at_surface", number(("player", "surface")))
+        frame = lambda keys, n=None: first(keys).rowsBetween(before, -1) if n is None else Window.partitionBy(*keys).orderBy(f"_at_{keys[-1]}").rangeBetween(1 - n, 0)
+    past = lambda keys, n: F.collect_list(F.when(real, F.struct("date", "won"))).over(frame(keys, n))
+    since = lambda d: F.date_sub("date", d)
+    own, mine = ("player",), F.when(real, F.col("won"))
+    share = lambda n: F.when(F.count(mine).over(frame(own, n)) >= 1, F.avg(mine).over(frame(own, n))).otherwise(0.5)
+    out = out.withColumns(
+        {f"form_{n}": share(n) for n in windows}
         | {
-            "_last20": history(("player",), 20),
-            "_last30": history(("player",), 30),
-            "matches": F.count("won").over(by("player").rowsBetween(before, -1)),
-            "wins": F.coalesce(F.sum("won").over(by("player").rowsBetween(before, -1)), F.lit(0)),
-            "slam_experience": F.coalesce(F.sum((F.col("series") == slam).cast("int")).over(by("player").rowsBetween(before, -1)), F.lit(0)),
-            "days_since": F.datediff("date", F.lag("date").over(by("player"))),
+            "_last20": past(own, 20),
+            "_last30": past(own, 30),
+            "matches": F.count(mine).over(frame(own)),
+            "wins": F.coalesce(F.sum(mine).over(frame(own)), F.lit(0)),
+            "slam_experience": F.coalesce(F.sum((real & (F.col("series") == slam)).cast("int")).over(frame(own)), F.lit(0)),
+            "days_since": F.datediff("date", F.last(F.when(real, F.col("date")), ignorenulls=True).over(frame(own))),
         }
     )
-    out = out.withColumns({"_surface50": history(("player", "surface"), 50)})
-    h2h, h2h_surface = by("player", "opponent").rowsBetween(before, -1), by("player", "opponent", "surface").rowsBetween(before, -1)
-    out = out.withColumns({"h2h_total": F.count("won").over(h2h), "h2h_rate": F.coalesce(F.avg("won").over(h2h), F.lit(0.5))})
-    out = out.withColumns({"h2h_surface_rate": F.coalesce(F.avg("won").over(h2h_surface), F.lit(0.5))})
-    since = lambda d: F.date_sub("date", d)
     earlier = F.array_max(F.transform(F.filter("_last30", lambda x: x["date"] < F.col("date")), lambda x: x["date"]))
-    overall = rate("_last20", since(365), None)
-    on_surface = rate("_surface50", since(365), None)
-    special = F.when(F.coalesce(overall, F.lit(0.0)) > 0, F.least(F.lit(3.0), F.coalesce(on_surface, F.lit(0.5)) / overall)).otherwise(1.0)
-    return out.withColumns(
+    out = out.withColumns(
         {
-            "surface_rate_90": rate("_surface50", since(90)),
-            "surface_rate_180": rate("_surface50", since(180)),
-            "surface_rate_365": rate("_surface50", since(365)),
-            "surface_specialist": special,
+            "_overall": rate("_last20", since(365), None),
             "fatigue_14": F.size(F.filter("_last30", lambda x: x["date"] >= since(14))),
             "days_rest": F.coalesce(F.datediff("date", earlier), F.lit(30)),
             "momentum": F.col("form_5") - F.col("form_20") if {5, 20} <= set(windows) else F.lit(None).cast("double"),
         }
-    ).drop("_last20", "_last30", "_surface50")
+    ).drop("_last20", "_last30")
+    on_surface = F.col("surface_rate_365")
+    special = F.when(F.coalesce("_overall", F.lit(0.0)) > 0, F.least(F.lit(3.0), on_surface / F.col("_overall"))).otherwise(1.0)
+    out = out.withColumn("_surface50", past(("player", "surface"), 50))
+    out = out.withColumns({f"surface_rate_{d}": rate("_surface50", since(d)) for d in (90, 180, 365)}).drop("_surface50")
+    out = out.withColumn("surface_specialist", special).drop("_overall")
+    h2h, h2h_surface = frame(("player", "opponent")), frame(("player", "opponent", "surface"))
+    out = out.withColumns({"h2h_total": F.count(mine).over(h2h), "h2h_rate": F.coalesce(F.avg(mine).over(h2h), F.lit(0.5))})
+    out = out.withColumns({"h2h_surface_rate": F.coalesce(F.avg(mine).over(h2h_surface), F.lit(0.5))})
+    return out.drop("_at_player", "_at_surface")
 
 
 def sided(app: DataFrame, columns: list[str]) -> DataFrame:
