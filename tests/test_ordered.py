@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import scalars as S
 from tallyline.operators import asof, backtest, features, joins, models, ratings
-from tallyline.operators.contests import contests
+from tallyline.operators.contests import appearances, contests
 from tallyline.operators.running import running
 
 
@@ -211,3 +211,50 @@ def test_sessions_and_rates_of_streams(spark, tmp_path):
     query = ingest.rolling_rates(won).writeStream.outputMode("update").format("memory").queryName("rates").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {r["player"]: (r["matches"], r["wins"]) for r in spark.table("rates").groupBy("player").agg(F.max("matches").alias("matches"), F.max("wins").alias("wins")).collect()} == {7: (3, 2), 8: (1, 0), 9: (1, 1)}
+
+
+def test_histories_do_not_pass_through_later_sorts(spark, sf):
+    """No sort of the windows carries the lists of a player's last rows, and one shuffle serves them all."""
+    out = asof.player_features(appearances(contests(spark, sf).persist()))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    inner = plan.splitlines()
+    at = [i for i, line in enumerate(inner) if "Window [" in line]
+    listed = [i for i in at if "collect_list" in inner[i]]
+    assert listed and all("_last20" not in inner[i] or "collect_list" in inner[i] for i in at if i < min(listed))
+
+
+def test_questions_see_the_history_alone(spark, sf):
+    """Several questions of one player, on one day and later ones, each as if it were asked alone."""
+    c = contests(spark, sf).persist()
+    cut = "1999-06-01"
+    history, later = c.where(F.col("date") < cut), c.where(F.col("date") >= cut)
+    player = later.groupBy("p1").count().orderBy(F.desc("count"), "p1").first()["p1"]
+    asked = later.where((F.col("p1") == player) | (F.col("p2") == player)).drop("win1").orderBy("date", "contest_id").limit(6).persist()
+    rated = ratings.multi_elo(history).persist()
+    together = {r["contest_id"]: r for r in features.single(asked, history, rated).collect()}
+    assert len(together) == 6
+    for i in list(together)[::3]:
+        alone = features.single(asked.where(F.col("contest_id") == i), history, rated).first()
+        assert alone == together[i]
+
+
+def test_spans_hand_their_states_on(spark, sf, monkeypatch):
+    """Ratings in many small jobs equal the plain fold over all contests, of all kinds of ratings and for leagues of their own."""
+    monkeypatch.setattr(ratings, "SPAN", 100)
+    c = contests(spark, sf).persist()
+    plain = lambda rule, league: ratings.fold(ratings.with_league(c, league), "_league", ["date", "contest_id"], rule.step, rule.inputs, rule.outputs)
+    for rule, league in ((ratings.elo_rule(), None), (ratings.elo_rule(40.0), "surface"), (ratings.multi_rule(), None), (ratings.multi_rule(), "series")):
+        want = {r["contest_id"]: r for r in plain(rule, league).collect()}
+        got = rule.over(c, league).collect()
+        assert len(got) == len(want) > 1000
+        for r in got:
+            assert all(abs(r[o] - want[r["contest_id"]][o]) < 1e-8 for o in rule.outputs)
+    cut = {r["contest_id"]: tuple(r[f"elo_{x}_pre"] for x in ("1", "2", "div_1", "div_2")) for r in ratings.batched_elo(c).collect()}
+    monkeypatch.setattr(ratings, "SPAN", 10_000_000)
+    assert cut == {r["contest_id"]: tuple(r[f"elo_{x}_pre"] for x in ("1", "2", "div_1", "div_2")) for r in ratings.batched_elo(c).collect()}
+
+
+def test_layers_keep_each_players_order():
+    a, b = [1, 3, 2, 1, 5], [2, 4, 3, 3, 6]
+    assert [x.tolist() for x in ratings.layers(a, b)] == [[0, 1, 4], [2], [3]]
+    assert ratings.layers([], []) == []
