@@ -258,3 +258,15 @@ def test_layers_keep_each_players_order():
     a, b = [1, 3, 2, 1, 5], [2, 4, 3, 3, 6]
     assert [x.tolist() for x in ratings.layers(a, b)] == [[0, 1, 4], [2], [3]]
     assert ratings.layers([], []) == []
+
+
+def test_large_bankrolls_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    from tallyline.plans.catalog import rounded_by_product
+
+    values = [s * (a * 10.0**e + k / 7) for s in (1, -1) for a in (1.2345678901234, 5.635326790224775) for e in range(0, 13) for k in range(40)]
+    values += [0.0, -0.0, 0.00005, 1e304, 1.7e308, float("inf"), float("-inf"), float("nan")]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 4) + 0.0", [v]).fetchone()[0] for v in values]
+    got = [r["r"] for r in spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", rounded_by_product("v", 4).alias("r")).orderBy("i").collect()]
+    assert list(map(repr, got)) == list(map(repr, want))
