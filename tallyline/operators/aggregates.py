@@ -115,17 +115,34 @@ def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """Type, filled rows, share of nulls, distinct values and an example of each column: one aggregation, then unpivoted."""
-    each = []
+#: Rows that a task counts values of at most, about.
+PROFILED = 250_000
+
+
+def value_totals(rows: DataFrame, parts: int) -> DataFrame:
+    """v and n: how often each value of the column v stands in the rows, null too.
+
+    Values are counted in so many even shares of the rows first, then by value, so that a task's table of values
+    stays as small however many rows a file has, and a value that most rows have sends a row a share.
+    """
+    if parts > 1:
+        spread = rows.withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(16 * parts))).repartition(parts, "_s")
+        each = spread.groupBy("_s", "v").agg(F.count(F.lit(1)).alias("n")).repartition(parts, "v")
+        return each.groupBy("v").agg(F.sum("n").alias("n"))
+    return rows.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def profile(df: DataFrame, at_once: int = PROFILED) -> DataFrame:
+    """Type, filled rows, share of nulls, distinct values and an example of each column, by totals of its values."""
+    rows, each = df.count(), []
     for c, kind in df.dtypes:
+        values = value_totals(df.select(F.col(c).alias("v")), max(1, -(-rows // at_once)))
+        filled = F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0))
         each.append(
-            F.struct(
-                F.lit(c).alias("column"), F.lit(kind).alias("type"), F.count(c).alias("filled"),
-                F.round(1 - F.count(c) / F.count(F.lit(1)), 6).alias("null_share"), F.countDistinct(c).alias("distinct"), F.min(c).cast("string").alias("example"),
-            )
+            values.agg(filled.alias("filled"), F.round(1 - F.try_divide(filled, F.sum("n")), 6).alias("null_share"), F.count("v").alias("distinct"), F.min("v").cast("string").alias("example"))
+            .select(F.lit(c).alias("column"), F.lit(kind).alias("type"), "filled", "null_share", "distinct", "example")
         )
-    return df.agg(F.array(*each).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+    return reduce(DataFrame.unionByName, each)
 
 
 def last_values(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:

@@ -223,3 +223,21 @@ def test_growth_of_a_lost_bankroll(spark):
     b = spark.createDataFrame(rows, "contest_id long, date date, surface string, won int, odds double, share double")
     got = backtest.compounding(b, ["surface"]).orderBy("contest_id").collect()
     assert [r["growth"] for r in got][1:] == [float("-inf")] * 2 and [r["bankroll"] for r in got][1:] == [0.0, 0.0]
+
+
+def test_profile_counts_values_in_even_shares(spark):
+    from tallyline.operators import aggregates
+
+    nan, rows = float("nan"), []
+    for i in range(900):
+        rows.append((i, None if i % 9 == 0 else f"n{i % 400}", "same", [0.0, -0.0, nan, -nan, 1.5, None][i % 6]))
+    df = spark.createDataFrame(rows, "k long, name string, hot string, v double")
+    for at_once in (50, 10_000):
+        got = {r["column"]: tuple(r)[1:] for r in aggregates.profile(df, at_once).collect()}
+        assert got["k"] == ("bigint", 900, 0.0, 900, "0") and got["hot"] == ("string", 900, 0.0, 1, "same")
+        assert got["name"] == ("string", 800, round(1 / 9, 6), len({r[1] for r in rows} - {None}), min(r[1] for r in rows if r[1]))
+        assert got["v"][:4] == ("double", 750, round(1 / 6, 6), 3)
+    none = {r["column"]: tuple(r)[1:] for r in aggregates.profile(df.where("false"), 50).collect()}
+    assert none["name"] == ("string", 0, None, 0, None)
+    held = aggregates.value_totals(df.select(F.col("k").alias("v")), 18).select(F.spark_partition_id().alias("p")).groupBy("p").count()
+    assert max(r["count"] for r in held.collect()) < 150  # of 900 values that one task would have held
