@@ -359,15 +359,14 @@ def s20_listing_stop(spark, sf_dir):
     from tallyline.session import scratch
     from tallyline.sources import listing
 
-    c = contests(spark, sf_dir).select("contest_id", "date")
-    last = c.agg(F.max("date")).first()[0]
-    month = lambda d: F.year(d) * 12 + F.month(d)
     folder = scratch(spark, "pages")
-    c.withColumn("page", month(F.lit(last)) - month("date")).write.partitionBy("page").parquet(folder)
-    pages = spark.read.parquet(folder)
-    known = c.where("date < '2001-03-01' or contest_id % 3 = 0")
-    read = lambda a, b: pages.where((F.col("page") >= a) & (F.col("page") < b))
-    out, _, _ = listing.new_entries(read, pages.agg(F.max("page") + 1).first()[0], known, "contest_id", first=2)
+    c = contests(spark, sf_dir).select("contest_id", "date").withColumn("month", F.year("date") * 12 + F.month("date"))
+    c.write.partitionBy("month").parquet(folder)  # once; the known ones, which every group of pages asks for, are read from it
+    listed = spark.read.parquet(folder)
+    oldest, last = listed.agg(F.min("month"), F.max("month")).first()
+    read = lambda a, b: listed.where((F.col("month") <= last - a) & (F.col("month") > last - b)).withColumn("page", F.lit(last) - F.col("month"))
+    known = listed.where("date < '2001-03-01' or contest_id % 3 = 0")
+    out, _, _ = listing.new_entries(read, last - oldest + 1, known, "contest_id", first=2)
     return out.select("contest_id", "page")
 
 

@@ -53,3 +53,13 @@ def test_days_to_come_and_nothing_known(spark, pages):
     known = spark.createDataFrame([("f200",), ("f201",)], "id string")
     out, _, stopped = listing.new_entries(read, 40, known, "id", date="date", today="2024-06-27")
     assert stopped == -1 and {r["page"] for r in out.select("page").distinct().collect()} == {p for p, _, d in rows if d <= dt.date(2024, 6, 27)}
+
+
+def test_listing_query_derives_its_contests_once(spark, sf, monkeypatch):
+    from tallyline.plans import queries
+
+    read = []
+    whole = listing.new_entries
+    monkeypatch.setattr(listing, "new_entries", lambda r, n, known, *a, **k: read.extend(known.inputFiles()) or whole(r, n, known, *a, **k))
+    assert queries.QUERIES["s20_listing_stop"](spark, sf).count() > 0
+    assert read and not [f for f in read if "lineitem" in f]
