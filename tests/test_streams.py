@@ -89,3 +89,59 @@ def test_a_null_league_and_an_empty_stream(spark, league, tmp_path):
     close(out.where("league = ''"), rule.over(some, F.lit("")), list(rule.outputs))
     league.where("false").write.parquet(f"{tmp_path}/none/0")
     assert run(spark, f"{tmp_path}/none", league.schema, f"{tmp_path}/state", rule).isEmpty()
+
+
+class Held(dict):
+    """A map or value state in memory, which counts the calls."""
+
+    calls = 0
+
+    def getValue(self, key):
+        Held.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        Held.calls += 1
+        self[key] = value
+
+    def keys(self):
+        return list(super().keys())
+
+    removeKey = dict.pop
+    containsKey = dict.__contains__
+
+    def exists(self):
+        return "value" in self
+
+    def get(self, *key):
+        return dict.get(self, *key or ("value",))
+
+    def update(self, value):
+        self["value"] = value
+
+
+def test_state_is_asked_by_buckets_and_days(monkeypatch):
+    import datetime as dt
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+
+    rng, rule = np.random.default_rng(5), ratings.elo_rule()
+    day = [dt.date(2020, 1, 1) + dt.timedelta(int(k)) for k in rng.integers(0, 20, 30_000)]
+    p1 = rng.integers(0, 20_000, 30_000)
+    rows = pd.DataFrame({"contest_id": np.arange(30_000), "date": day, "p1": p1, "p2": (p1 + rng.integers(1, 20_000, 30_000)) % 20_000, "win1": rng.integers(0, 2, 30_000)})
+    monkeypatch.setattr(streamed, "AT_ONCE", 7_000, raising=False)
+    league = streamed.League(rule, "bigint", "bigint")
+    league.init(SimpleNamespace(getMapState=lambda *a: Held(), getValueState=lambda *a: Held(), registerTimer=lambda at: None))
+    Held.calls = 0
+    batches = (rows[low : low + 1000] for low in range(0, len(rows), 1000))
+    assert not list(league.handleInputRows(("all",), batches, None))
+    at = lambda d: (d - dt.date(1970, 1, 1)).days * 86_400_000
+    out = pd.concat(league.handleExpiredTimer(("all",), SimpleNamespace(getCurrentWatermarkInMs=lambda: at(dt.date(2021, 1, 1))), SimpleNamespace(getExpiryTimeInMs=lambda: at(min(day)))))
+    assert Held.calls < 2 * 1024 + 20 * 2 * 5 + 10  # of 20,000 players
+    state, want = {}, {}
+    for r in rows.sort_values(["date", "contest_id"]).itertuples():
+        want[r.contest_id] = rule.step(state, (r.p1, r.p2, r.win1))
+    got = out.set_index("contest_id")[list(rule.outputs)]
+    assert len(got) == 30_000 and np.allclose(got.loc[list(want)].to_numpy(), np.array(list(want.values())), atol=1e-9)
