@@ -259,7 +259,8 @@ def leaves(classes: DataFrame) -> DataFrame:
         large = large.withColumn("block", F.pmod(F.xxhash64("class", "node"), F.col("blocks")).cast("int"))
         known = written(large.join(classes.select("class", "tokens"), "class").repartition("node", "block").sortWithinPartitions("node", "block"), "large")
         cast = known.select("node", "tokens").mapInArrow(votes, "node bigint, n bigint, values binary, counts binary")
-        common = cast.repartition("node").sortWithinPartitions("node").mapInArrow(elections, "node bigint, common binary")
+        # Written first: joined as it comes, a task of the next step would hold two Python workers at once.
+        common = written(cast.repartition("node").sortWithinPartitions("node").mapInArrow(elections, "node bigint, common binary"), "common")
         spans = known.select("node", "block").distinct()
         judged = known.join(spans.join(common, "node"), ["node", "block"]).select("node", "block", "blocks", "class", "tokens", "common")
         judged = written(judged.mapInArrow(branches, "node bigint, block int, blocks int, class bigint, agree int, children array<bigint>"), "judged")
@@ -270,7 +271,7 @@ def leaves(classes: DataFrame) -> DataFrame:
             pivots = pivots.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
         everywhere = pivots.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class")
         done.append(written(judged.select("node", "block", "class").union(everywhere).distinct(), "blocks"))
-        scratch += [known, judged, done[-1]]
+        scratch += [known, common, judged, done[-1]]
         frontier = judged.select(F.explode("children").alias("node"), "class")
     groups = written(reduce(DataFrame.union, done), "groups")
     forget(*scratch)

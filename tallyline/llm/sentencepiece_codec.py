@@ -290,20 +290,17 @@ def framed(ids: np.ndarray, sizes: np.ndarray, begin: int, end: int) -> np.ndarr
 
 
 def coder(path: str, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """full: the ids and the decoded text themselves, else their digests."""
+    """full: the ids and the decoded text themselves, else their digests. A block's rows are handed on before the next block is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         ends = np.array([c.begin], "<u4").tobytes(), np.array([c.end], "<u4").tobytes()
         for batch in batches:
             data, offsets = flat(texts(batch))
-            counts, made, read = [], [], []
             for i, j in cuts(offsets):
+                made, read = [], []
                 ids, sizes = c.encode(data, offsets[i : j + 1])
                 raw, at = ids.astype("<u4").tobytes(), np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
-                counts.append(sizes + 2)
-                if full:
-                    made.append(framed(ids, sizes, c.begin, c.end))
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     text = c.decode(ids[a:b].tolist())
                     if full:
@@ -311,13 +308,13 @@ def coder(path: str, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     else:
                         made.append(hashlib.sha256(ends[0] + raw[4 * a : 4 * b] + ends[1]).hexdigest())
                         read.append(hashlib.sha256(text).hexdigest())
-            n = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-            if full:
-                values = pa.array(np.concatenate(made) if made else [], pa.int32())
-                edges = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else [0], pa.int32())
-                yield with_column(batch, n_tokens=n, ids=pa.ListArray.from_arrays(edges, values), decoded=pa.array(read, pa.string()))
-            else:
-                yield with_column(batch, n_tokens=n, ids_sha256=pa.array(made, pa.string()), decoded_sha256=pa.array(read, pa.string()))
+                rows, n = batch.slice(i, j - i), pa.array(sizes + 2, pa.int64())
+                if full:
+                    edges = pa.array(np.concatenate([[0], np.cumsum(sizes + 2)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(edges, pa.array(framed(ids, sizes, c.begin, c.end), pa.int32()))
+                    yield with_column(rows, n_tokens=n, ids=lists, decoded=pa.array(read, pa.string()))
+                else:
+                    yield with_column(rows, n_tokens=n, ids_sha256=pa.array(made, pa.string()), decoded_sha256=pa.array(read, pa.string()))
 
     return run
 

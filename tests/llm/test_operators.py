@@ -175,6 +175,20 @@ def test_sentencepiece_query_equals_the_library_on_all_documents(spark, sf):
         assert [r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]] == [len(want), *digests]
 
 
+@pytest.mark.parametrize("full", [True, False])
+def test_sentencepiece_hands_on_a_block_at_a_time(full):
+    import pyarrow as pa
+
+    n = len(LONG)
+    texts = [None, *(f"{i} {LONG}" for i in range(12)), "", "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    run = sentencepiece_codec.coder(sentencepiece_codec.model_path(), full)
+    parts = list(run(iter([batch])))
+    assert len(parts) > 1 and all(sum(map(len, filter(None, p.column("text").to_pylist()))) <= (1 << 20) + n for p in parts)
+    alone = [r for i in range(len(texts)) for p in run(iter([batch.slice(i, 1)])) for r in p.to_pylist()]
+    assert [r for p in parts for r in p.to_pylist()] == alone and [r["text"] for r in alone] == texts
+
+
 def test_sentencepiece_on_random_texts():
     import pyarrow as pa
     import sentencepiece
@@ -347,6 +361,23 @@ def test_near_dedup_of_large_nodes(spark, monkeypatch, rows):
     assert components_of(spark, rows) == brute_components(rows, 2, 80)
 
 
+def test_no_task_of_the_trees_holds_two_python_workers(spark, monkeypatch):
+    from tallyline.session import written
+
+    seen = []
+
+    def noted(df, name):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        seen.append((name, sum("MapInArrow" in line for line in plan.splitlines())))
+        return written(df, name)
+
+    monkeypatch.setattr(near_dedup, "written", noted)
+    monkeypatch.setattr(near_dedup, "SMALL", 20)
+    components_of(spark, near_copies(300, 0.12))
+    judged = [n for name, n in seen if name == "judged"]
+    assert judged and set(judged) == {1}  # the elections' step stands in a job of its own
+
+
 def test_near_dedup_with_shingles_of_five_words(spark):
     rows = near_copies(120, 0.06, seed=7) + [(200 + i, t) for i, t in near_copies(60, 0.3, seed=8)]
     assert components_of(spark, rows, 5) == brute_components(rows, 5, 80)
