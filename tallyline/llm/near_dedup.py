@@ -63,6 +63,8 @@ SALTS = 16
 MAX_BROADCAST = 200_000
 #: A key with more than a thousandth of the rows is hot; there are at most a thousand, so these may be broadcast.
 HOT = 1000
+#: Rows of a file of a small table, and the most files of one that counts as small.
+FILE_ROWS, FEW = 50_000, 16
 
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -229,6 +231,15 @@ def branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["node", "block", "blocks", "class", "agree", "children"])
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """About so many rows, dealt to few tasks before they are written where a shuffle has many more partitions than they need.
+
+    Where Hadoop has no native library, an executor starts a process for the mode of each file and folder that it makes.
+    """
+    n = max(1, -(-rows // FILE_ROWS))
+    return df.repartition(n) if n <= FEW and int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 4 * n else df
+
+
 def with_sizes(rows: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """(node, class, n) of the rows whose node has n > 1 classes; of nodes that hold the same classes one stays. Tables written go to scratch.
 
@@ -236,9 +247,11 @@ def with_sizes(rows: DataFrame, scratch: list[DataFrame]) -> DataFrame:
     """
     members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")]
     counts = rows.groupBy("node").agg(*members).where("n > 1")
-    counts = written(counts.select("node", "n", (F.min("node").over(Window.partitionBy("n", "x", "y")) == F.col("node")).alias("keep")), "sizes")
+    total = rows.count()
+    counts = counts.select("node", "n", (F.min("node").over(Window.partitionBy("n", "x", "y")) == F.col("node")).alias("keep"))
+    counts = written(few_files(counts, total), "sizes")
     scratch.append(counts)
-    cut = max(10 * SMALL, rows.count() // HOT)
+    cut = max(10 * SMALL, total // HOT)
     marked = rows.join(F.broadcast(counts.where(F.col("n") > cut)), "node", "left")
     rest = marked.where(F.col("n").isNull()).select("node", "class").join(counts.where(F.col("keep") & (F.col("n") <= cut)), "node")
     return marked.where("keep").select("node", "class", "n").union(rest.select("node", "class", "n"))
@@ -247,9 +260,12 @@ def with_sizes(rows: DataFrame, scratch: list[DataFrame]) -> DataFrame:
 def leaves(classes: DataFrame) -> DataFrame:
     """(node, block, class) of the groups to compare: small nodes, and blocks of large ones, each with its node's pivots."""
     done, scratch, frontier = [], [], classes.mapInArrow(roots, "node bigint, class bigint")
+    n, most = TREES * classes.count(), 0
     while True:
-        frontier = written(frontier, "frontier")
-        sized = written(with_sizes(frontier, scratch), "nodes")
+        frontier = written(few_files(frontier, n), "frontier")
+        n = frontier.count()
+        most += n
+        sized = written(few_files(with_sizes(frontier, scratch), n), "nodes")
         scratch += [frontier, sized]
         done.append(sized.where(F.col("n") <= SMALL).select("node", F.lit(0).alias("block"), "class"))
         large = sized.where(F.col("n") > SMALL)
@@ -260,20 +276,22 @@ def leaves(classes: DataFrame) -> DataFrame:
         known = written(large.join(classes.select("class", "tokens"), "class").repartition("node", "block").sortWithinPartitions("node", "block"), "large")
         cast = known.select("node", "tokens").mapInArrow(votes, "node bigint, n bigint, values binary, counts binary")
         # Written first: joined as it comes, a task of the next step would hold two Python workers at once.
-        common = written(cast.repartition("node").sortWithinPartitions("node").mapInArrow(elections, "node bigint, common binary"), "common")
+        common = cast.repartition("node").sortWithinPartitions("node").mapInArrow(elections, "node bigint, common binary")
+        common = written(few_files(common, n), "common")
         spans = known.select("node", "block").distinct()
         judged = known.join(spans.join(common, "node"), ["node", "block"]).select("node", "block", "blocks", "class", "tokens", "common")
-        judged = written(judged.mapInArrow(branches, "node bigint, block int, blocks int, class bigint, agree int, children array<bigint>"), "judged")
+        judged = judged.mapInArrow(branches, "node bigint, block int, blocks int, class bigint, agree int, children array<bigint>")
+        judged = written(few_files(judged, n), "judged")
         # In two steps, so that few rows of a very large node come to one task.
         pivots = judged.select("node", "blocks", "class", "agree", F.floor(F.col("block") / BLOCKS).alias("part"))
         for keys in (["node", "part"], ["node"]):
             rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("agree"), F.xxhash64("class"), "class"))
             pivots = pivots.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).drop("rank")
         everywhere = pivots.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class")
-        done.append(written(judged.select("node", "block", "class").union(everywhere).distinct(), "blocks"))
+        done.append(written(few_files(judged.select("node", "block", "class").union(everywhere).distinct(), n), "blocks"))
         scratch += [known, common, judged, done[-1]]
         frontier = judged.select(F.explode("children").alias("node"), "class")
-    groups = written(reduce(DataFrame.union, done), "groups")
+    groups = written(few_files(reduce(DataFrame.union, done), most), "groups")
     forget(*scratch)
     return groups
 
@@ -475,22 +493,23 @@ def ends(pairs: DataFrame) -> DataFrame:
 def linked_classes(docs: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
     """(u, label) of the classes with a confirmed link: the least class that each reaches."""
     groups = leaves(classes)
-    first = written(candidates(groups, classes, None, similarity).select("u", "v"), "pairs")
+    n = groups.count()
+    first = written(few_files(candidates(groups, classes, None, similarity).select("u", "v"), n), "pairs")
     sets = sets_of(ends(first), docs, classes, size)
-    links = written(confirmed(first, sets, similarity), "links")
+    links = written(few_files(confirmed(first, sets, similarity), n), "links")
     forget(sets)
-    labels = written(components(links), "labels")
-    second = written(candidates(groups, classes, labels, similarity), "pairs")
+    labels = written(few_files(components(links), n), "labels")
+    second = written(few_files(candidates(groups, classes, labels, similarity), n), "pairs")
     pairs = second.where(F.col("v").isNotNull()).select("u", "v").join(first, ["u", "v"], "left_anti")
     dense = labelled(second.where(F.col("v").isNull()).select("node", "block", F.col("u").alias("class")), labels)
     sets = sets_of(ends(pairs).union(dense.select("class")).distinct(), docs, classes, size)
     full = dense.join(sets, "class").repartition("node", "block").sortWithinPartitions("node", "block", "class")
     more = confirmed(pairs, sets, similarity).union(full.mapInArrow(multiplier(round(100 * similarity)), "u bigint, v bigint"))
-    more = written(more, "links")
+    more = written(few_files(more, n), "links")
     forget(sets, groups, first, second)
     if more.isEmpty():
         return labels
-    return written(components(more.union(labels.select("u", F.col("label").alias("v")))), "labels")
+    return written(few_files(components(more.union(labels.select("u", F.col("label").alias("v")))), n), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -504,6 +523,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARI
     profiles = written(profiles, "profiles")
     grouped = profiles.where(F.col("class").isNotNull()).groupBy("class")
     whole = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n_shingles", "tokens", "sketch"))]
+    n = profiles.count()
     classes = written(grouped.agg(*whole), "classes")
     rows = profiles.select("doc_id", "key", "class", "n_shingles")
     labels = linked_classes(docs, classes, size, similarity)
@@ -513,7 +533,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARI
     dealt = linked.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int"))
     by_class = dealt.join(names, ["label", "salt"]).select("class", "component_id")
     named = classes.select("class", "least", "n").join(by_class, "class", "left")
-    named = written(named.select("class", "n", F.coalesce("component_id", "least").alias("component_id")), "named")
+    named = written(few_files(named.select("class", "n", F.coalesce("component_id", "least").alias("component_id")), n), "named")
     # A class may hold a third of all rows: hot ones are told to every task, and their rows stay where they are.
     cut = max(HOT, named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT)
     hot = named.where(F.col("n") > cut).select("class", F.struct("component_id").alias("hot"))

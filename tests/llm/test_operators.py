@@ -378,6 +378,30 @@ def test_no_task_of_the_trees_holds_two_python_workers(spark, monkeypatch):
     assert judged and set(judged) == {1}  # the elections' step stands in a job of its own
 
 
+def test_small_tables_have_few_files(spark, monkeypatch):
+    from tallyline.session import written
+
+    files = []
+
+    def counted(df, name):
+        out = written(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    many = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        rows = near_copies(60, 0.1)
+        assert components_of(spark, rows) == brute_components(rows, 2, 80)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(n for name, n in files if name in ("frontier", "sizes", "nodes", "groups", "pairs", "links", "labels", "named")) == 1
+
+
 def test_near_dedup_with_shingles_of_five_words(spark):
     rows = near_copies(120, 0.06, seed=7) + [(200 + i, t) for i, t in near_copies(60, 0.3, seed=8)]
     assert components_of(spark, rows, 5) == brute_components(rows, 5, 80)
