@@ -33,6 +33,20 @@ def test_running_totals_equal_one_window(bets, current):
         seen.append(r["profit"])
 
 
+def test_long_products_equal_the_sql_to_the_last_bit(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 9 // 8] if i % 5 else None, f"{2000 + i // 1200}-{1 + i // 100 % 12:02d}-{1 + i % 27:02d}", 1.2 + float(rng.integers(1, 400)) / 100, int(rng.random() < 0.35)) for i in range(24_000)]
+    b = spark.createDataFrame(rows, "contest_id long, surface string, date string, odds double, won int").withColumns({"date": F.col("date").cast("date"), "share": F.lit(0.01)})
+    got = {r["contest_id"]: r["bankroll"] for r in backtest.compounding(b, ["surface"]).collect()}
+    b.write.parquet(f"{tmp_path}/b")
+    # A group at a time: groups that share one of DuckDB's partitions are multiplied from where they begin in it.
+    sql = "SELECT contest_id, 1000 * product(1 + 0.01::DOUBLE * (CASE WHEN won = 1 THEN odds - 1 ELSE -1 END)) OVER (PARTITION BY surface ORDER BY date, contest_id ROWS UNBOUNDED PRECEDING)"
+    want = [r for g in ("= 'a'", "= 'b'", "IS NULL") for r in duckdb.sql(f"{sql} FROM '{tmp_path}/b/*.parquet' WHERE surface {g}").fetchall()]
+    assert len(got) == len(want) == 24_000 and got == dict(want)
+
+
 def test_losing_streaks_go_over_months(bets):
     got = {r["k"]: r["longest_losing_streak"] for r in asof.losing_streak(bets, ["k"], ["date", "contest_id"]).collect()}
     runs = {}
